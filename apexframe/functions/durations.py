@@ -39,12 +39,11 @@ def clean_time_columns(df: DataFrame, keep_days: bool = False) -> DataFrame:
 def duration_seconds(c: Column) -> Column:
     """``h:m:s``, ``m:s`` or ``s`` to seconds; null for null, empty, NaT and malformed text (FN2)."""
     parts = F.split(c, ":")
-    n = F.size(parts)
-    last = to_double(F.element_at(parts, -1))
-    whole = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("int")
-    return F.when(c.isNull() | c.isin(*K.EMPTY_DURATIONS), F.lit(None).cast("double")).when(
-        n == 3, whole(0) * 3600 + whole(1) * 60 + last
-    ).when(n == 2, whole(0) * 60 + last).when(n == 1, last)
+    whole = lambda i: F.coalesce(F.trim(F.try_element_at(parts, F.lit(i))).try_cast("int"), F.lit(0))
+    return F.when(
+        c.rlike(r"^(\s*[+-]?\d+\s*:){0,2}[^:]+$"),
+        whole(-3) * 3600 + whole(-2) * 60 + to_double(F.element_at(parts, -1)),
+    )
 
 
 def is_missing_duration(c: Column) -> Column:

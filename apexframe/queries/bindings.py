@@ -16,21 +16,19 @@ DAY_MS = 86400000
 
 
 def clock3(ms: Column) -> Column:
-    return F.format_string(
-        "%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000
-    )
+    return F.date_format(F.timestamp_millis(ms), "HH:mm:ss.SSS")
 
 
 def clock2(ms: Column) -> Column:
-    return F.format_string("%02d:%02d.%03d", F.floor(ms / 60000), F.floor(ms / 1000) % 60, ms % 1000)
+    return F.date_format(F.timestamp_millis(ms), "mm:ss.SSS")
 
 
 def sql_clock3(ms: str) -> str:
-    return f"printf('%02d:%02d:%02d.%03d', ({ms}) // 3600000, (({ms}) // 60000) % 60, (({ms}) // 1000) % 60, ({ms}) % 1000)"
+    return f"strftime(make_timestamp(({ms}) * 1000), '%H:%M:%S.%g')"
 
 
 def sql_clock2(ms: str) -> str:
-    return f"printf('%02d:%02d.%03d', ({ms}) // 60000, (({ms}) // 1000) % 60, ({ms}) % 1000)"
+    return f"strftime(make_timestamp(({ms}) * 1000), '%M:%S.%g')"
 
 
 def _text(prefix: str, c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.durations import duration_seconds, format_clock
-from .ordered import scan
+from .ordered import scan, settle
 
 
 def lap_spans(laps: DataFrame, keys: Sequence[str] = ("Year", "GrandPrix", "SessionType", "Driver")) -> DataFrame:
@@ -106,7 +106,8 @@ def assign_interval(
             .agg(F.min(F.struct(F.col(payload).alias("p"), F.col("_e").alias("until"))).alias("_edge"))
         )
     else:
-        segments = disjoint_segments(clean, keys, payload)
+        # read by every pass of the scan below, and far fewer rows than there are points
+        segments = settle(disjoint_segments(settle(clean), keys, payload))
         edges = segments.select(
             *keys, "_at", F.struct(F.col("_payload").alias("p"), F.lit(None).cast("long").alias("until")).alias("_edge")
         )

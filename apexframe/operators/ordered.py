@@ -84,22 +84,24 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
     if not cut_lists or not cut_lists[0]:
         return shaped.withColumns({"_c1": F.lit(0), "_c2": F.lit(0)}).drop(*names)
     heavy = sorted({a for a, b in zip(cut_lists[0], cut_lists[0][1:]) if a == b})
-    buckets = {}
-    for name, cuts in zip(names, cut_lists):
-        inner = sorted({c for c in cuts if c > _LOW})
-        buckets[name] = Bucketizer(
-            splits=[float("-inf"), *inner, float("inf")], inputCol=name, outputCol=f"_b{name[-1]}"
-        )
-    shaped = buckets["_o1"].transform(shaped)
+    borders = {name: [_LOW, *sorted({c for c in cuts if c > _LOW})] for name, cuts in zip(names, cut_lists)}
+
+    def bucketed(rows: DataFrame, name: str) -> DataFrame:
+        out = f"_b{name[-1]}"
+        if len(borders[name]) == 1:
+            return rows.withColumn(out, F.lit(0.0))
+        splits = [float("-inf"), *borders[name][1:], float("inf")]
+        return Bucketizer(splits=splits, inputCol=name, outputCol=out).transform(rows)
+
+    shaped = bucketed(shaped, "_o1")
     c1, c2 = F.col("_b1") * 2, F.lit(0.0)
     if heavy:
         is_heavy = F.col("_o1").isin(*heavy)
         # a light value above a heavy border belongs after all rows of that border value
-        borders = [_LOW, *sorted({c for c in cut_lists[0] if c > _LOW})]
-        starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders) if v in heavy])
+        starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders["_o1"]) if v in heavy])
         c1 = c1 + F.when(starts_heavy & ~is_heavy, 1).otherwise(0)
         if len(names) == 2:
-            shaped = buckets["_o2"].transform(shaped)
+            shaped = bucketed(shaped, "_o2")
             c2 = F.when(is_heavy, F.col("_b2")).otherwise(0.0)
     return shaped.withColumns({"_c1": c1.cast("int"), "_c2": c2.cast("int")}).drop("_o1", "_o2", "_b1", "_b2")
 

@@ -188,6 +188,44 @@ def fill_last_known(
     ).drop("_known").select(*df.columns, flag_name)
 
 
+def fill_across_batches(
+    batch: DataFrame,
+    known: DataFrame,
+    value: str,
+    keys: Sequence[str],
+    order: str,
+    flag_name: str = "LapTimeFilledByPrevious",
+) -> tuple[DataFrame, DataFrame]:
+    """The last-known fill of one batch, given what earlier batches left (STR5): filled rows, new state.
+
+    ``known`` has one row per key: ``seen`` (largest order value so far) and ``known`` (last valid value).
+    Rows older than ``seen`` keep their own value and leave the state alone.
+    """
+    from ..functions.durations import is_missing_duration
+
+    mark = "_late"
+    joined = batch.join(known.select(*keys, "seen"), list(keys), "left")
+    marked = joined.withColumn(mark, F.coalesce(F.col(order) < F.col("seen"), F.lit(False))).drop("seen")
+    late = marked.filter(mark).drop(mark)
+    fresh = marked.filter(~F.col(mark)).drop(mark).withColumn("_old", F.lit(False))
+    old = known.select(*keys, F.lit(_LOW).alias(order), F.col("known").alias(value), F.lit(True).alias("_old"))
+    seeded = fresh.unionByName(old, allowMissingColumns=True)
+    filled = fill_last_known(seeded, value, keys, [F.col(order)], flag_name).filter(~F.col("_old")).drop("_old")
+    rows = filled.unionByName(late.withColumn(flag_name, F.lit(False)))
+    valid = F.when(~is_missing_duration(F.col(value)), F.col(value))
+    news = fresh.select(*keys, F.col(order).alias("seen"), valid.alias("known"))
+    state = (
+        known.select(*keys, "seen", "known")
+        .unionByName(news)
+        .groupBy(*keys)
+        .agg(
+            F.max("seen").alias("seen"),
+            F.max_by("known", F.when(F.col("known").isNotNull(), F.col("seen"))).alias("known"),
+        )
+    )
+    return rows, state
+
+
 def fill_speed(df: DataFrame, speed: str, keys: Sequence[str], order: Sequence[Column], **kw) -> DataFrame:
     """Zero and missing speeds take the previous non-zero one, a leading gap is zero (WIN2)."""
     known = F.when(F.col(speed) != 0, F.col(speed))

@@ -268,19 +268,19 @@ def _predictions(t) -> DataFrame:
         _text("Team ", F.col("o_custkey") % 10).alias("TeamName"),
         F.year("o_orderdate").alias("Year"),
         F.get(race, (F.col("o_custkey") % 6).cast("int")).alias("GrandPrix"),
-        (F.lit(10) + F.floor(F.col("o_totalprice") / 2500)).cast("double").alias("tenths"),
+        (F.sqrt("o_totalprice") / 40 + 1).alias("PredictedPosition"),
         ((k * 7) % 20 + 1).cast("double").alias("GridPosition"),
         ((k % 70) / 2.0).alias("AvgAirTemp"),
         ((k % 130) / 2.0 - 5).alias("AvgTrackTemp"),
         ((k % 997) / 10.0).alias("AvgHumidity"),
         ((k % 50) / 2.0).alias("AvgWindSpeed"),
         F.when(k % 9 == 0, 1).when(k % 9 != 1, 0).alias("HadRainfall"),
-    ).withColumn("PredictedPosition", F.col("tenths") / 10).drop("tenths")
+    )
 
 
 _SQL_PREDICTIONS = f"""
 SELECT 'D' || o_orderkey AS "FullName", 'Team ' || (o_custkey % 10) AS "TeamName", CAST(year(o_orderdate) AS INTEGER) AS "Year",
-  ({_RACES!r})[o_custkey % 6 + 1] AS "GrandPrix", CAST(10 + floor(o_totalprice / 2500) AS DOUBLE) / 10 AS "PredictedPosition",
+  ({_RACES!r})[o_custkey % 6 + 1] AS "GrandPrix", sqrt(o_totalprice) / 40 + 1 AS "PredictedPosition",
   CAST((o_orderkey * 7) % 20 + 1 AS DOUBLE) AS "GridPosition", (o_orderkey % 70) / 2.0::DOUBLE AS "AvgAirTemp",
   (o_orderkey % 130) / 2.0::DOUBLE - 5 AS "AvgTrackTemp", (o_orderkey % 997) / 10.0::DOUBLE AS "AvgHumidity",
   (o_orderkey % 50) / 2.0::DOUBLE AS "AvgWindSpeed",

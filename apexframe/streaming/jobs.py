@@ -32,6 +32,7 @@ TRIGGER_SECONDS = {
     "weather-data": 10,
 }
 _TEAM_IDS = T.StructType.fromDDL("TeamName STRING, TeamID INT")
+_LAST_KNOWN = T.StructType.fromDDL("Year INT, GrandPrix STRING, SessionType STRING, Driver STRING, seen DOUBLE, known STRING")
 
 
 @dataclass(frozen=True)
@@ -58,37 +59,37 @@ def serving_table(spark: SparkSession, settings: JobSettings, name: str, schema:
         return spark.createDataFrame([], schema)
 
 
-def current_team_ids(spark: SparkSession, settings: JobSettings) -> DataFrame:
-    """Team ids of the newest version of the dictionary (STR6)."""
-    versions = serving_table(spark, settings, "team_ids", _TEAM_IDS)
+def newest_version(
+    spark: SparkSession, settings: JobSettings, name: str, schema: T.StructType, before: int | None = None
+) -> DataFrame:
+    """Newest version of a small state table kept by batch number; ``before`` leaves a batch's own out."""
+    versions = serving_table(spark, settings, name, schema)
     if "batch_id" not in versions.columns:
         return versions
+    if before is not None:
+        versions = versions.filter(F.col("batch_id") < before)
     newest = versions.agg(F.max("batch_id").alias("b"))
-    return versions.filter(F.col("batch_id") == newest.scalar()).select("TeamName", "TeamID")
+    return versions.filter(F.col("batch_id") == newest.scalar()).select(*schema.names)
 
 
 def grow_team_ids(batch: DataFrame, batch_id: int, settings: JobSettings) -> DataFrame:
     """New version of the team dictionary with the names of this batch; ids never change (STR6)."""
     spark = batch.sparkSession
-    versions = serving_table(spark, settings, "team_ids", _TEAM_IDS)
-    if "batch_id" in versions.columns:
-        earlier = versions.filter(F.col("batch_id") < batch_id)
-        newest = earlier.agg(F.max("batch_id").alias("b"))
-        known = earlier.filter(F.col("batch_id") == newest.scalar()).select("TeamName", "TeamID")
-    else:
-        known = versions
-    grown = extend_ids(known, batch, "TeamName", "TeamID")
-    write_batch(grown, batch_id, f"{settings.tables}/team_ids")
-    return current_team_ids(spark, settings)
+    known = newest_version(spark, settings, "team_ids", _TEAM_IDS, before=batch_id)
+    write_batch(extend_ids(known, batch, "TeamName", "TeamID"), batch_id, f"{settings.tables}/team_ids")
+    return newest_version(spark, settings, "team_ids", _TEAM_IDS)
 
 
 def _plan(table: str, batch: DataFrame, batch_id: int, settings: JobSettings) -> DataFrame:
     spark = batch.sparkSession
     lap_table = lambda: serving_table(spark, settings, "telemetry", _derived_laps())
     drivers = lambda: serving_table(spark, settings, "driver_info", TOPICS["driver-info-data"][1])
-    ids = partial(current_team_ids, spark, settings)
+    ids = partial(newest_version, spark, settings, "team_ids", _TEAM_IDS)
     if table == "telemetry":
-        return records.laps(batch, ids())
+        known = newest_version(spark, settings, "last_known", _LAST_KNOWN, before=batch_id)
+        rows, state = records.laps_batch(batch, ids(), known)
+        write_batch(state, batch_id, f"{settings.tables}/last_known")
+        return rows
     if table == "car_telemetry":
         return records.car_samples(batch, drivers(), ids(), lap_table())
     if table == "car_position":

@@ -36,14 +36,16 @@ def clean_time_columns(df: DataFrame, keep_days: bool = False) -> DataFrame:
     return df.withColumns({n: clean_duration(F.col(n), keep_days) for n in names}) if names else df
 
 
+#: up to two whole numbers and a decimal number, separated by colons
+_PARSED = r"^(\s*[+-]?\d+\s*:){0,2}\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def duration_seconds(c: Column) -> Column:
     """``h:m:s``, ``m:s`` or ``s`` to seconds; null for null, empty, NaT and malformed text (FN2)."""
     parts = F.split(c, ":")
-    whole = lambda i: F.coalesce(F.trim(F.try_element_at(parts, F.lit(i))).try_cast("int"), F.lit(0))
-    return F.when(
-        c.rlike(r"^(\s*[+-]?\d+\s*:){0,2}[^:]+$"),
-        whole(-3) * 3600 + whole(-2) * 60 + to_double(F.element_at(parts, -1)),
-    )
+    part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
+    zero = F.lit(0.0)
+    return F.when(c.rlike(_PARSED), F.coalesce(part(-3), zero) * 3600 + F.coalesce(part(-2), zero) * 60 + part(-1))
 
 
 def is_missing_duration(c: Column) -> Column:

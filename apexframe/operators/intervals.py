@@ -12,6 +12,11 @@ from ..functions.durations import duration_seconds, format_clock
 from .ordered import scan, settle
 
 
+def span_end_text(spans: DataFrame) -> DataFrame:
+    """End of the lap as clock text (JOIN2)."""
+    return spans.withColumn("EndTime", format_clock(F.col("EndSeconds")))
+
+
 def lap_spans(laps: DataFrame, keys: Sequence[str] = ("Year", "GrandPrix", "SessionType", "Driver")) -> DataFrame:
     """Start and end of every lap in session seconds (JOIN2).
 
@@ -22,8 +27,7 @@ def lap_spans(laps: DataFrame, keys: Sequence[str] = ("Year", "GrandPrix", "Sess
     end = F.coalesce(pit_end, start + F.col("LapTimeSeconds"))
     return (
         laps.select(*keys, "LapNumber", start.alias("StartSeconds"), end.alias("EndSeconds"))
-        .filter(F.col("StartSeconds").isNotNull() & F.col("EndSeconds").isNotNull())
-        .withColumn("EndTime", format_clock(F.col("EndSeconds")))
+        .dropna(subset=["StartSeconds", "EndSeconds"])
     )
 
 
@@ -49,16 +53,51 @@ def _cover(spans: DataFrame, levels: int) -> Column:
 
 
 def disjoint_segments(spans: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
-    """Cut possibly overlapping spans ``[_s, _e]`` into segments, each with its smallest payload.
+    """Cut spans ``[_s, _e]`` into segments, each with the smallest payload that covers it.
+
+    Returns keys, ``_at`` (segment start) and ``_payload`` (null where nothing covers the segment). Keys
+    whose spans follow one another are read off directly; the others go through ``_overlapping``.
+    """
+    earlier = scan(
+        spans, keys, [F.col("_s"), F.col("_e")], last_before={"_before": F.struct("_e", F.col(payload).alias("p"))}
+    )
+    end, held = F.col("_before._e"), F.col("_before.p")
+    touching = (F.col("_s") == end) & (held <= F.col(payload)) & (F.col("_s") < F.col("_e"))
+    follows = F.coalesce((F.col("_s") > end) | touching, F.col("_before").isNull())
+    placed = settle(
+        earlier.select(
+            *keys, "_s", "_e", F.col(payload).alias("_p"), F.coalesce(touching, F.lit(False)).alias("_touch"), (~follows).alias("_clash")
+        )
+    )
+    clashing = placed.filter("_clash").select(*keys).distinct()
+    starts = F.col("_s") + F.col("_touch").cast("long")
+    edge = F.explode(
+        F.array(
+            F.struct(starts.alias("_at"), F.col("_p").alias("_payload")),
+            F.struct((F.col("_e") + 1).alias("_at"), F.lit(None).cast(spans.schema[payload].dataType).alias("_payload")),
+        )
+    ).alias("_x")
+
+    def chained(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, edge).groupBy(*keys, "_x._at").agg(F.min("_x._payload").alias("_payload"))
+
+    if clashing.isEmpty():
+        return chained(placed)
+    return chained(placed.join(clashing, list(keys), "left_anti")).unionByName(
+        _overlapping(placed.join(clashing, list(keys), "left_semi"), keys)
+    )
+
+
+def _overlapping(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segments of spans that overlap, without pairing spans that cover a common stretch.
 
-    Spans that cover a common stretch are never paired with each other: every span is written as a few
-    aligned blocks, a block keeps its smallest payload, and a segment start looks its own blocks up.
-    Returns keys, ``_at`` (segment start) and ``_payload`` (null where nothing covers the segment).
+    Every span is written as a few aligned blocks, a block keeps its smallest payload, and a segment
+    start looks up the blocks it lies in.
     """
     longest = spans.agg(F.max(F.col("_e") - F.col("_s"))).first()[0]
-    levels = max(int(longest) + 1, 1).bit_length() if longest is not None else 0
+    levels = int(longest + 1).bit_length()
     blocks = (
-        spans.select(*keys, F.col(payload).alias("_p"), F.inline(_cover(spans, levels)))
+        spans.select(*keys, "_p", F.inline(_cover(spans, levels)))
         .groupBy(*keys, "level", "block")
         .agg(F.min("_p").alias("_p"))
     )
@@ -94,20 +133,20 @@ def assign_interval(
     in time order per key and the last edge is carried forward, so points and spans are not paired.
     """
     name = name or payload
-    clean = spans.select(
-        *keys, _ticks(spans, start).alias("_s"), _ticks(spans, end).alias("_e"), F.col(payload)
-    ).filter(F.col("_s").isNotNull() & F.col("_e").isNotNull())
+    # spans are few next to points; written once, their times are computed once
+    timed = settle(
+        spans.select(*keys, _ticks(spans, start).alias("_s"), _ticks(spans, end).alias("_e"), F.col(payload))
+    ).dropna(subset=[*keys, "_s", "_e"])
     if mode == "half":
-        clean = clean.withColumn("_e", F.col("_e") - 1)
-    clean = clean.filter(F.col("_s") <= F.col("_e"))
+        timed = timed.withColumn("_e", F.col("_e") - 1)
+    clean = timed.filter(F.col("_s") <= F.col("_e"))
     if mode == "asof":
         edges = (
             clean.groupBy(*keys, F.col("_s").alias("_at"))
             .agg(F.min(F.struct(F.col(payload).alias("p"), F.col("_e").alias("until"))).alias("_edge"))
         )
     else:
-        # read by every pass of the scan below, and far fewer rows than there are points
-        segments = settle(disjoint_segments(settle(clean), keys, payload))
+        segments = settle(disjoint_segments(clean, keys, payload))
         edges = segments.select(
             *keys, "_at", F.struct(F.col("_payload").alias("p"), F.lit(None).cast("long").alias("until")).alias("_edge")
         )

@@ -14,6 +14,7 @@ each time: stored columns and exact arithmetic do, floating-point sums need ``se
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,25 +24,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: computed once, and the same values for every later pass.
+    """``df`` written once and read back: the same values for every later pass, and a known size.
 
-    Wanted before an ordered operator whose order column is a floating-point aggregate. The folder is
-    the session's ``spark.checkpoint.dir``; only where that is unset a folder of this machine is used.
+    Wanted before an ordered operator whose order column is a floating-point aggregate, or for a small
+    side that several passes read. The table goes to the session's shared checkpoint folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint()
+    path = f"{scratch(df.sparkSession)}/apexframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables that only live as long as a query."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for tables that only live as long as a query: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests, a folder of this machine is used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return shared or tempfile.mkdtemp(prefix="apexframe-")
 
 
 _LOW = -1.7976931348623157e308
-_MAX_CHUNKS = 512
+_MAX_CHUNKS = 4096
 
 
 def order_value(df: DataFrame, c: Column) -> Column | None:
@@ -80,7 +83,7 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
     names = ["_o1", "_o2"][: len(values)]
     shaped = df.withColumns(dict(zip(names, values)))
     fractions = [i / n for i in range(1, n)]
-    cut_lists = shaped.select(*names).approxQuantile(names, fractions, 1.0 / (4 * n))
+    cut_lists = shaped.select(*names).approxQuantile(names, fractions, 1.0 / (2 * n))
     if not cut_lists or not cut_lists[0]:
         return shaped.withColumns({"_c1": F.lit(0), "_c2": F.lit(0)}).drop(*names)
     heavy = sorted({a for a, b in zip(cut_lists[0], cut_lists[0][1:]) if a == b})

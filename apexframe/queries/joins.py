@@ -62,7 +62,7 @@ FROM {_SQL_LAP_SPANS} WHERE "EndSeconds" IS NOT NULL""", uses="timed laps timed_
 def _(t):
     from ..functions.records import lap_flags
 
-    return rounded(lap_spans(lap_flags(t.timed_laps)).drop("EndTime"), "StartSeconds", "EndSeconds", digits=3)
+    return rounded(lap_spans(lap_flags(t.timed_laps)), "StartSeconds", "EndSeconds", digits=3)
 
 
 @query("prj8_samples_of_laps", f"""

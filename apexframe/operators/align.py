@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import fill_speed, scan
+from .ordered import fill_speed, scan, settle
 
 
 def zip_align(
@@ -27,7 +27,8 @@ def zip_align(
     other = scan(right, keys, right_order, number="_i").select(*keys, "_i", *right_columns)
     paired = numbered.join(other, [*keys, "_i"], "left")
     if fill:
-        paired = fill_speed(paired, fill, keys, [F.col("_i")])
+        # written once: the fill reads it several times, and it took two numberings and a join to make
+        paired = fill_speed(settle(paired), fill, keys, [F.col("_i")])
     return paired.select(*left.columns, F.col("_i").alias("row_number"), *right_columns)
 
 

@@ -248,7 +248,7 @@ def running_order(laps: DataFrame, race: Sequence[str], driver: str, lap: str, s
     Times are summed in whole microseconds, which gives the same sum in any order of addition.
     """
     micros = F.round(F.col(seconds) * 1e6).cast("long")
-    summed = scan(laps, [*race, driver], [F.col(lap)], running={"_sum": micros})
+    summed = settle(scan(laps, [*race, driver], [F.col(lap)], running={"_sum": micros}))
     placed = scan(summed, [*race, lap], [F.col("_sum"), F.col(driver)], number="RunningPosition")
     return placed.withColumn("CumulativeTime", F.col("_sum") / 1e6).drop("_sum")
 

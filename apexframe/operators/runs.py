@@ -80,6 +80,12 @@ def top_by_metric(wide: DataFrame, metric: str, k: int = 5) -> DataFrame:
     return wide.dropna(subset=[metric]).orderBy(F.desc(metric), F.asc("run_id")).limit(k)
 
 
+def metric_comparison(runs: DataFrame, metrics: Sequence[str], k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Best runs of the chosen metrics, and their correlation matrix (PIPE14)."""
+    chosen = runs.withColumn("metrics", F.map_filter("metrics", lambda name, _: name.isin(*metrics)))
+    return top_runs(chosen, k), correlation_matrix(wide_metrics(runs, metrics), metrics)
+
+
 def recent_runs(runs: DataFrame, k: int = 5) -> DataFrame:
     """Newest k runs of every experiment (SRT6)."""
     newest = Window.partitionBy("experiment").orderBy(F.desc("start_time"), F.asc("run_id"))

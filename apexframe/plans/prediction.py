@@ -282,7 +282,7 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def run(tables: Mapping[str, DataFrame], schedule: DataFrame, race: str, years: Sequence[int], settings: ModelSettings | None = None):
     """Features, model, next-season rows and prediction of one race (MLP8, PIPE13)."""
     chosen = standard_names(seasons_of_event(dict(tables), schedule, race, years))
-    features = feature_table(chosen["results"], chosen["laps"], chosen["weather"])
+    features = settle(feature_table(chosen["results"], chosen["laps"], chosen["weather"]))
     model, _, quality = fit(features, settings)
     return predict(model, next_season_rows(features)), quality
 

@@ -13,7 +13,6 @@ from ..operators import laps as L
 from ..operators import results as P
 from ..operators.align import proportional_align, zip_align
 from ..operators.lookup import by_driver_number, prefer
-from ..operators.ordered import fill_speed
 from ..schemas import SESSION_KEYS, ensure_columns
 
 
@@ -47,8 +46,9 @@ def lap_trace(
         [F.col("_t")],
         [F.col("_t")],
         ["Speed"],
+        fill="Speed",
     )
-    return fill_speed(traced, "Speed", keys, [F.col("row_number")]).drop("_t")
+    return traced.drop("_t")
 
 
 def classification(results: DataFrame, laps: DataFrame, session: Sequence[str] = SESSION_KEYS) -> DataFrame:

@@ -122,3 +122,18 @@ SELECT run_id, kind, name, value FROM (
  SELECT run_id, 'metric', 'samples', CAST(samples AS VARCHAR) FROM runs WHERE samples IS NOT NULL)""", uses="runs")
 def _(t):
     return U.run_details(t.runs)
+
+
+@query("metric_comparison", """
+SELECT metric, run_id, value, CASE metric WHEN 'rmse' THEN 'Rmse Comparison' ELSE 'R2 Score Comparison' END AS title FROM (
+ SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_id) AS place FROM (
+  SELECT run_id, 'r2_score' AS metric, r2_score AS value FROM runs UNION ALL SELECT run_id, 'rmse', rmse FROM runs) WHERE value IS NOT NULL) WHERE place <= 5 UNION ALL
+SELECT 'correlation', NULL, round(corr(r2_score, rmse), 6), NULL FROM runs""", uses="runs")
+def _(t):
+    """Best runs per metric, and how the two metrics correlate."""
+    top, matrix = U.metric_comparison(t.runs, ["r2_score", "rmse"])
+    pair = matrix.filter("metric_a = 'r2_score' AND metric_b = 'rmse'").select(
+        F.lit("correlation").alias("metric"), F.lit(None).cast("string").alias("run_id"), F.round("correlation", 6).alias("value"),
+        F.lit(None).cast("string").alias("title"),
+    )
+    return top.select("metric", "run_id", "value", "title").unionByName(pair)

@@ -105,6 +105,19 @@ def _(t):
     return M.predict(model, M.next_season_rows(features, lineup))
 
 
+@query("mlp8_prediction_run")
+def _(t):
+    """From the tables of several seasons to the predicted order of one race."""
+    results, laps, weather = _inputs(t)
+    tables = {
+        "results": results.withColumns({"Driver": F.col("FullName"), "SessionType": F.lit("Race")}).drop("FullName"),
+        "laps": laps.withColumns({"Driver": F.col("FullName"), "Team": F.lit("Works"), "SessionType": F.lit("Race")}).drop("FullName"),
+        "weather": weather.withColumn("SessionType", F.lit("Race")),
+    }
+    schedule = t.results.select("Year", F.col("GrandPrix").alias("EventName"), F.col("o_orderkey").alias("RoundNumber"))
+    return M.run(tables, schedule, "GP 1", [1996, 1997, 1998, 1999], _SETTINGS)[0]
+
+
 _LINEUP = {"Team 1": ["D1", "X1"], "Team 2": ["X2", "X3"], "Haas": ["X4", "X5"], "Team 3": ["D13", "D23"]}
 
 

@@ -10,15 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "STRING": T.StringType(),
+    "DOUBLE": T.DoubleType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DATE": T.DateType(),
+}
+
+
+def flat_schema(text: str) -> T.StructType:
+    """Schema of plain columns from ``name TYPE, name TYPE``; needs no running session."""
+    pairs = [column.split() for column in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 _SESSION = "Year INT, GrandPrix STRING, SessionType STRING"
 _META = "DataType STRING, RecordId STRING"
 _TAGS = "IsPrediction BOOLEAN, SourceYear INT, SourceEvent STRING"
 
-LAPS = _schema(
+LAPS = flat_schema(
     "Time STRING, Driver STRING, DriverNumber STRING, LapTime STRING, LapNumber DOUBLE, Stint DOUBLE, "
     "PitOutTime STRING, PitInTime STRING, Sector1Time STRING, Sector2Time STRING, Sector3Time STRING, "
     "Sector1SessionTime STRING, Sector2SessionTime STRING, Sector3SessionTime STRING, "
@@ -27,24 +40,24 @@ LAPS = _schema(
     "LapStartDate TIMESTAMP, TrackStatus STRING, Position DOUBLE, Deleted BOOLEAN, DeletedReason STRING, "
     f"FastF1Generated BOOLEAN, IsAccurate BOOLEAN, {_SESSION}, {_TAGS}"
 )
-CAR_TELEMETRY = _schema(
+CAR_TELEMETRY = flat_schema(
     "Time STRING, Date TIMESTAMP, Driver STRING, RPM DOUBLE, Speed DOUBLE, nGear INT, Throttle DOUBLE, "
     f"Brake DOUBLE, DRS INT, {_SESSION}, {_META}, LapNumber DOUBLE, {_TAGS}"
 )
-CAR_POSITION = _schema(
+CAR_POSITION = flat_schema(
     "Time STRING, Date TIMESTAMP, Driver STRING, X DOUBLE, Y DOUBLE, Z DOUBLE, Status STRING, "
     f"{_SESSION}, {_META}, LapNumber DOUBLE, {_TAGS}"
 )
-DRIVER_INFO = _schema(
+DRIVER_INFO = flat_schema(
     "Driver STRING, DriverNumber STRING, FullName STRING, Abbreviation STRING, TeamName STRING, "
     f"Nationality STRING, {_SESSION}, {_META}, {_TAGS}"
 )
-RACE_RESULTS = _schema(
+RACE_RESULTS = flat_schema(
     "Driver STRING, DriverNumber STRING, Position DOUBLE, ClassifiedPosition STRING, GridPosition DOUBLE, "
     "Q1 STRING, Q2 STRING, Q3 STRING, Time STRING, Status STRING, Points DOUBLE, TeamName STRING, "
     f"{_SESSION}, {_META}, {_TAGS}"
 )
-WEATHER = _schema(
+WEATHER = flat_schema(
     "Time STRING, AirTemp DOUBLE, Humidity DOUBLE, Pressure DOUBLE, Rainfall BOOLEAN, TrackTemp DOUBLE, "
     f"WindDirection INT, WindSpeed DOUBLE, {_SESSION}, {_META}, {_TAGS}"
 )
@@ -63,14 +76,16 @@ REQUIRED_TABLES = ("car_position", "car_telemetry", "driver_info", "race_results
 
 SESSION_KEYS = ("Year", "GrandPrix", "SessionType")
 
-SCHEDULE = _schema(
+SCHEDULE = flat_schema(
     "Year INT, RoundNumber INT, EventName STRING, EventDate DATE, Location STRING, Country STRING"
 )
-CIRCUITS_RAW = _schema(
-    "circuitId STRING, circuitName STRING, url STRING, "
-    "Location STRUCT<lat: STRING, long: STRING, locality: STRING, country: STRING>"
+CIRCUITS_RAW = T.StructType(
+    [
+        *flat_schema("circuitId STRING, circuitName STRING, url STRING").fields,
+        T.StructField("Location", flat_schema("lat STRING, long STRING, locality STRING, country STRING")),
+    ]
 )
-PREDICTION_ROW = _schema(
+PREDICTION_ROW = flat_schema(
     "FullName STRING, TeamName STRING, PredictedPosition DOUBLE, GridPosition DOUBLE, PositionChange DOUBLE, "
     "Year INT, GrandPrix STRING, AvgAirTemp DOUBLE, AvgTrackTemp DOUBLE, AvgHumidity DOUBLE, "
     "AvgWindSpeed DOUBLE, HadRainfall INT, WeatherImpact DOUBLE, EstimatedLapTime DOUBLE, "
@@ -84,15 +99,22 @@ PREDICTION_DOCUMENT = T.StructType(
         T.StructField("predictions", T.ArrayType(PREDICTION_ROW)),
     ]
 )
-FEATURES = _schema(
+FEATURES = flat_schema(
     "FullName STRING, TeamName STRING, Year INT, GrandPrix STRING, Position DOUBLE, GridPosition DOUBLE, "
     "GridPositionDelta DOUBLE, AvgLapTime DOUBLE, BestLapTime DOUBLE, LapTimeConsistency DOUBLE, "
     "AvgSpeed DOUBLE, MaxSpeed DOUBLE, PersonalBestCount BIGINT, PitStopCount BIGINT, CompletedLaps BIGINT, "
     "AvgAirTemp DOUBLE, AvgHumidity DOUBLE, AvgTrackTemp DOUBLE, AvgWindSpeed DOUBLE, HadRainfall INT"
 )
-RUNS = _schema(
-    "run_id STRING, run_name STRING, experiment STRING, race_name STRING, status STRING, start_time BIGINT, "
-    "end_time BIGINT, params MAP<STRING, STRING>, metrics MAP<STRING, DOUBLE>, tags MAP<STRING, STRING>"
+RUNS = T.StructType(
+    [
+        *flat_schema(
+            "run_id STRING, run_name STRING, experiment STRING, race_name STRING, status STRING, "
+            "start_time BIGINT, end_time BIGINT"
+        ).fields,
+        T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
+    ]
 )
 
 

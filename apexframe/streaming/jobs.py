@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lookup import extend_ids
 from ..plans import records
-from ..schemas import TOPICS
+from ..schemas import TOPICS, flat_schema
 from ..sources.readers import decode, read_topic, split_corrupt
 from ..sources.writers import unless_empty, write_batch
 
@@ -31,8 +31,8 @@ TRIGGER_SECONDS = {
     "race-results-data": 10,
     "weather-data": 10,
 }
-_TEAM_IDS = T.StructType.fromDDL("TeamName STRING, TeamID INT")
-_LAST_KNOWN = T.StructType.fromDDL("Year INT, GrandPrix STRING, SessionType STRING, Driver STRING, seen DOUBLE, known STRING")
+_TEAM_IDS = flat_schema("TeamName STRING, TeamID INT")
+_LAST_KNOWN = flat_schema("Year INT, GrandPrix STRING, SessionType STRING, Driver STRING, seen DOUBLE, known STRING")
 
 
 @dataclass(frozen=True)

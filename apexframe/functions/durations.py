@@ -48,6 +48,11 @@ def duration_seconds(c: Column) -> Column:
     return F.when(c.rlike(_PARSED), F.coalesce(part(-3), zero) * 3600 + F.coalesce(part(-2), zero) * 60 + part(-1))
 
 
+def is_duration(c: Column) -> Column:
+    """Whether ``duration_seconds`` gives a number."""
+    return F.coalesce(c.rlike(_PARSED), F.lit(False))
+
+
 def is_missing_duration(c: Column) -> Column:
     return c.isNull() | c.isin(*K.EMPTY_DURATIONS)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.durations import duration_seconds, format_clock
+from ..functions.durations import duration_seconds, format_clock, is_duration
 from .ordered import scan, settle
 
 
@@ -23,12 +23,11 @@ def lap_spans(laps: DataFrame, keys: Sequence[str] = ("Year", "GrandPrix", "Sess
     A pit lap ends at pit entry, another one its lap time after the start; laps with neither are left out.
     """
     start = duration_seconds(F.col("LapStartTime"))
-    pit_end = duration_seconds(F.when(F.col("DidPit"), F.col("PitInTime")))
-    end = F.coalesce(pit_end, start + F.col("LapTimeSeconds"))
-    return (
-        laps.select(*keys, "LapNumber", start.alias("StartSeconds"), end.alias("EndSeconds"))
-        .dropna(subset=["StartSeconds", "EndSeconds"])
-    )
+    pit_in = F.when(F.col("DidPit"), F.col("PitInTime"))
+    end = F.coalesce(duration_seconds(pit_in), start + F.col("LapTimeSeconds"))
+    # told from the stored columns, so that the times are worked out once and not again for the filter
+    usable = is_duration(F.col("LapStartTime")) & (F.col("LapTimeSeconds").isNotNull() | is_duration(pit_in))
+    return laps.filter(usable).select(*keys, "LapNumber", start.alias("StartSeconds"), end.alias("EndSeconds"))
 
 
 def _ticks(df: DataFrame, name: str) -> Column:

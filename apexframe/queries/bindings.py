@@ -375,7 +375,8 @@ def _runs(t) -> DataFrame:
             _text("race ", F.col("user_id") % 8).alias("race_name"),
             F.when(F.col("user_id") % 6 == 0, "RUNNING").otherwise("FINISHED").alias("status"),
             "start_time",
-            F.when(F.col("user_id") % 6 != 0, F.col("last_time")).alias("end_time"),
+            # a whole number of hundredths of a minute after the start
+            F.when(F.col("user_id") % 6 != 0, F.col("last_time") - (F.col("last_time") - F.col("start_time")) % 600).alias("end_time"),
             F.create_map(F.lit("max_iter"), (F.col("user_id") % 50).cast("string"), F.lit("step_size"), F.lit("0.1")).alias("params"),
             F.when(
                 F.col("user_id") % 9 != 0,
@@ -390,7 +391,7 @@ _SQL_RUNS = """
 SELECT 'run-' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '-' || event_type AS run_id,
   CASE WHEN user_id % 5 <> 0 THEN 'run of ' || user_id END AS run_name, event_type AS experiment, 'race ' || (user_id % 8) AS race_name,
   CASE WHEN user_id % 6 = 0 THEN 'RUNNING' ELSE 'FINISHED' END AS status,
-  min(epoch_us(ts) // 1000) AS start_time, CASE WHEN user_id % 6 <> 0 THEN max(epoch_us(ts) // 1000) END AS end_time,
+  min(epoch_us(ts) // 1000) AS start_time, CASE WHEN user_id % 6 <> 0 THEN max(epoch_us(ts) // 1000) - (max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000)) % 600 END AS end_time,
   CAST(user_id % 50 AS VARCHAR) AS p_max_iter, CASE WHEN user_id % 9 <> 0 THEN min(value) END AS r2_score, max(value) AS rmse,
   CASE WHEN user_id % 9 <> 0 THEN CAST(count(*) AS DOUBLE) END AS samples
 FROM events GROUP BY user_id, event_type"""

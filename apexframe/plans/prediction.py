@@ -29,6 +29,8 @@ LAP_FEATURES = (
 )
 WEATHER_FEATURES = ("AvgAirTemp", "AvgHumidity", "AvgTrackTemp", "AvgWindSpeed", "HadRainfall")
 NUMERIC = ("Year", "GridPosition", "GridPositionDelta", *LAP_FEATURES, *WEATHER_FEATURES)
+#: numbers the model sees by default; the difference of grid and finish holds the label
+MODEL_NUMERIC = tuple(c for c in NUMERIC if c != "GridPositionDelta")
 
 
 def standard_names(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -74,7 +76,7 @@ class ModelSettings:
     seed: int = 42
     train_share: float = 0.8
     label: str = "Position"
-    numeric: tuple[str, ...] = NUMERIC
+    numeric: tuple[str, ...] = MODEL_NUMERIC
     categorical: tuple[str, ...] = CATEGORICAL
 
 

@@ -74,7 +74,7 @@ def _(t):
     return rounded(M.feature_table(*_inputs(t)), *_NUMBERS)
 
 
-_SETTINGS = M.ModelSettings(numeric=tuple(c for c in M.NUMERIC if c != "GridPositionDelta"))
+_SETTINGS = M.ModelSettings()
 
 
 def _fit(t):

@@ -33,7 +33,7 @@ def write_session_table(
 ) -> None:
     """Parquet laid out by session and sorted inside the files, in place of secondary indexes (SNK5).
 
-    Rows go out by session, driver and a hash of the row, so that a big session is several files.
+    Ranges are cut along session and sort columns, so that a big session is several files.
     """
     keys = [c for c in ("Year", "GrandPrix", "SessionType") if c in df.columns]
     inner = [c for c in sort if c in df.columns]

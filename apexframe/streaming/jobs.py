@@ -111,9 +111,14 @@ def batch_writer(topic: str, settings: JobSettings) -> Callable[[DataFrame, int]
     table, _ = TOPICS[topic]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_corrupt(batch)
-        write_batch(_plan(table, good, batch_id, settings), batch_id, f"{settings.tables}/{table}")
-        unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}"))(bad, batch_id)
+        # several passes read the batch; its size is bounded by the admission limit
+        batch.persist()
+        try:
+            good, bad = split_corrupt(batch)
+            write_batch(_plan(table, good, batch_id, settings), batch_id, f"{settings.tables}/{table}")
+            unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}"))(bad, batch_id)
+        finally:
+            batch.unpersist()
 
     return unless_empty(write)
 

@@ -1,6 +1,7 @@
 """Streams end to end over files: stream = batch, replay, rejected rows, late rows."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -97,6 +98,8 @@ def test_stateful_fill_over_many_batches(spark, tmp_path):
     rows = [("A" if i % 3 else "B", float(i), None if i % 4 else f"00:01:{i:02d}") for i in range(40)]
     for part in range(4):
         write_lines(tmp_path / "in", f"{part}.json", [{"d": d, "lap": n, "LapTime": t} for d, n, t in rows[part * 10 : part * 10 + 10]])
+        # the file source takes files in order of their time stamps
+        os.utime(tmp_path / "in" / f"{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))
     stream = spark.readStream.schema("d STRING, lap DOUBLE, LapTime STRING").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     stream = stream.withColumn("LapTime", clean_duration(F.col("LapTime")))
     query = (

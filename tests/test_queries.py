@@ -62,4 +62,4 @@ def test_query(spark, database, name):
 def test_every_query_is_exposed():
     import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) <= set(entry.queries()) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(QUERIES)

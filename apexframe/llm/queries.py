@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, host_rules, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,50 @@ def _(documents):
 @query("op7_simhash_near_dedup", "documents")
 def _(documents):
     return simhash.near_duplicates(documents).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_host_quality_rules", "documents", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeats AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, coalesce(l.n, 0) AS n_lines,
+  coalesce(p.n, 0) AS n_repeat_words FROM t LEFT JOIN lines l USING (r) LEFT JOIN repeats p USING (r)),
+f AS (SELECT *, unnest([{'rule': 1, 'bad': n_words < 10}, {'rule': 2, 'bad': 100 * n_repeat_words > 20 * n_words}, {'rule': 3, 'bad': 10 * n_symbols > n_words},
+  {'rule': 4, 'bad': 100 * n_dup_lines > 30 * n_lines}, {'rule': 5, 'bad': word_chars < 2 * n_words OR word_chars > 12 * n_words}], recursive := true) FROM m WHERE source IS NOT NULL),
+h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE AS f FROM f GROUP BY ALL),
+s AS (SELECT rule, sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS square, count(*) / sum(n) AS per FROM h GROUP BY rule),
+v AS (SELECT rule, mean, mean * (1 - mean) AS chance, square - mean * mean - mean * (1 - mean) * per AS between_hosts FROM s),
+p AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(chance / between_hosts - 1, 2.0::DOUBLE), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS strength FROM v),
+bad AS (SELECT DISTINCT source FROM h JOIN p USING (rule) WHERE (mean * strength + f) / (strength + n) > 0.5::DOUBLE)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  bad.source IS NOT NULL AS host_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.source IS NULL AS kept
+FROM m LEFT JOIN bad ON m.source = bad.source
+""")
+def _(documents):
+    return host_rules.judged(documents).drop("row_key")
+
+
+@query("op9_mix_sources", "documents", r"""
+WITH t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size) AS DOUBLE) AS most,
+  [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM t GROUP BY source),
+-- the smaller a source's limit by weight, the sooner it is full: the level at which the first k sources are full
+o AS (SELECT *, sum(most) OVER w AS held, sum(weight) OVER () - sum(weight) OVER w AS open_weight, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget,
+  row_number() OVER w AS k,
+  lead(most / weight) OVER (ORDER BY most / weight, source NULLS LAST) AS next FROM s WINDOW w AS (ORDER BY most / weight, source NULLS LAST)),
+l AS (SELECT coalesce(arg_min(level, k), 0) AS level FROM (
+  SELECT k, (budget - held) / open_weight AS level, next FROM o WHERE open_weight > 0 UNION ALL
+  SELECT 0, any_value(budget) / sum(weight), min(most / weight) FROM o) WHERE level <= next),
+p AS (SELECT source, source_size, least(most, weight * level) AS target FROM s, l),
+x AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY t.source ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (CAST(floor(target) AS BIGINT) // source_size) * size
+  + greatest(0, least(size, CAST(floor(target) AS BIGINT) % source_size - before)) END AS BIGINT) AS taken FROM x
+""")
+def _(documents):
+    return mixing.mixed(documents).drop("row")

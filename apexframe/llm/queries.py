@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, mixing, simhash
+from . import chunk_bpe, exact_dedup, host_rules, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,18 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+def tokenizer_file() -> str:
+    """The vocabulary file of the production queries; it is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op3_chunk_bpe", "documents")
+def _(documents):
+    return chunk_bpe.digests(chunk_bpe.chunk_encoding(documents, tokenizer_file()))
+
+
 @query("op5_exact_dedup", "documents", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(n) AS text_sha256

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, exact_dedup, host_rules, mixing, simhash
+from . import chunk_bpe, exact_dedup, host_rules, mixing, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def _(documents):
     return chunk_bpe.digests(chunk_bpe.chunk_encoding(documents, tokenizer_file()))
 
 
+@query("op4_secret_scan", "documents")
+def _(documents):
+    return secret_scan.summary(secret_scan.secrets(documents))
+
+
 @query("op5_exact_dedup", "documents", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(n) AS text_sha256

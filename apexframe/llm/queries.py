@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, exact_dedup, host_rules, mixing, secret_scan, simhash
+from . import chunk_bpe, exact_dedup, host_rules, mixing, secret_scan, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,21 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_warc_normalise", "pages", r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+g AS (SELECT page_id, p, sha1(p) AS h, max(page_id) OVER w AS last, count(*) OVER w AS n FROM t WINDOW w AS (PARTITION BY p))
+SELECT page_id, CAST(octet_length(encode(p)) AS BIGINT) AS payload_bytes,
+  -- five letters of hexadecimal are four of base32
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM g
+""")
+def _(pages):
+    return warc.round_trip(pages).drop("uri")
+
+
 @query("op3_chunk_bpe", "documents")
 def _(documents):
     return chunk_bpe.digests(chunk_bpe.chunk_encoding(documents, tokenizer_file()))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, host_rules, mixing, secret_scan, simhash, warc
+from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table)``, which reads one table, with the SQL that gives the same rows."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register ``fn(*tables)`` with the SQL that gives the same rows."""
 
-    def register(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(spark.read.parquet(f"{folder}/{table}.parquet"))
+    def register(fn: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, folder: fn(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in tables.split()))
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn
@@ -65,6 +66,11 @@ def _(documents):
     return exact_dedup.exact_duplicates(documents).drop("row_key")
 
 
+@query("op6_license_digests", "documents", licenses.licenses_sql())
+def _(documents):
+    return licenses.licenses(documents)
+
+
 @query("op7_simhash_near_dedup", "documents")
 def _(documents):
     return simhash.near_duplicates(documents).select("doc_id", "fingerprint", "component_id")
@@ -95,6 +101,37 @@ def _(documents):
     return host_rules.judged(documents).drop("row_key")
 
 
+def dated_list(events: DataFrame, pages: DataFrame) -> DataFrame:
+    """A dated list that follows from the tables: an event of a user is an entry for the address of the page of that number."""
+    action = F.when(F.col("event_type") == "error", "block").when(F.col("event_type") == "purchase", "allow").when(F.col("event_type") == "signup", "remove")
+    k = F.get_json_object("props", "$.k").cast("int")
+    named = events.withColumns({"action": action, "k": k}).filter("action IS NOT NULL").join(pages.select(F.col("page_id").alias("user_id"), "url"), "user_id")
+    host = url_lists.host(F.col("url"))
+    domain = F.when(F.col("k") < 40, host).otherwise(F.concat_ws(".", F.slice(F.split(host, r"\."), -2, 2)))
+    key = F.when(F.col("k") < 20, F.concat(F.lit("address:"), url_lists.address(F.col("url")))).otherwise(F.concat(F.lit("domain:"), domain))
+    return named.select(key.alias("key"), "action", F.col("ts").alias("listed_at"), (F.col("ts") + F.make_dt_interval(hours="k")).alias("expires_at"))
+
+
+@query("op8_url_lists", "pages events", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, url FROM pages),
+n AS (SELECT *, string_split(host, '.') AS labels, host || path AS address FROM p),
+e AS (SELECT CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 END AS rank, CAST(props->>'$.k' AS INT) AS k, ts, address, host, labels
+  FROM events JOIN n ON user_id = page_id WHERE event_type IN ('error', 'purchase', 'signup')),
+l AS (SELECT CASE WHEN k < 20 THEN 'address:' || address WHEN k < 40 THEN 'domain:' || host ELSE 'domain:' || array_to_string(labels[-2:], '.') END AS key, epoch_us(ts) AS start, rank,
+  epoch_us(ts) + k * 3600000000 AS expires FROM e),
+s AS (SELECT key, start, max((rank, expires)) AS best FROM l GROUP BY ALL),
+v AS (SELECT key, start, best[1] AS rank, least(best[2], coalesce(lead(start) OVER (PARTITION BY key ORDER BY start), best[2])) AS stop FROM s),
+c AS (SELECT page_id, epoch_us(ts) AS at_us, address, labels FROM n LEFT JOIN events ON event_id = page_id),
+q AS (SELECT page_id, at_us, 1 << 20 AS spec, 'address:' || address AS key FROM c UNION ALL
+  SELECT page_id, at_us, len(labels) - i, 'domain:' || array_to_string(labels[i + 1:], '.') FROM c, unnest(range(greatest(len(labels) - 1, 1))) AS t(i)),
+f AS (SELECT page_id, arg_max((rank, q.key, start), spec) AS best FROM q JOIN v ON q.key = v.key AND at_us >= start AND at_us < stop AND rank > 1 GROUP BY page_id)
+SELECT page_id, at_us AS fetched, CASE best[1] WHEN 3 THEN 'block' WHEN 2 THEN 'allow' ELSE 'none' END AS verdict, best[2] AS key, best[3] AS listed FROM c LEFT JOIN f USING (page_id)
+""")
+def _(pages, events):
+    captures = pages.join(events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at")), "page_id", "left")
+    return url_lists.judged(captures, dated_list(events, pages))
+
+
 @query("op9_mix_sources", "documents", r"""
 WITH t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS key FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, url_lists, warc
+from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, tool_calls, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,37 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
 """)
 def _(documents):
     return mixing.mixed(documents).drop("row")
+
+
+#: Tools of the derived calls; the bounds are such that some arguments violate them.
+SCHEMAS = {
+    "search": {
+        "type": "object", "required": ["query", "limit"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 20}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}},
+    },
+    "translate": {
+        "type": "object", "required": ["text", "to"],
+        "properties": {"text": {"type": "string"}, "to": {"type": "string", "enum": ["en", "fr", "de"]}},
+    },
+}
+
+
+def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that follow from the turns: a user's turn calls a tool, and the next turn, if it is the
+    assistant's, is the result. Every call needs that of two turns before, and some that of two turns after."""
+    size, turn = F.length("text"), F.col("turn")
+    name = F.element_at(F.array(F.lit("search"), F.lit("translate"), F.lit("unknown")), F.when(size % 7 == 0, 3).otherwise(size % 2 + 1))
+    search = F.to_json(F.struct(F.col("text").alias("query"), (size % 60).alias("limit")))
+    translate = F.to_json(F.struct(F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("xx")), size % 4 + 1).alias("to"), F.col("text").alias("text")))
+    label = lambda t: F.concat(F.lit("call_"), t.cast("string"))
+    needs = F.array_compact(F.array(label(turn - 2), F.when(size % 11 == 0, label(turn + 2))))
+    calls = conversations.filter("role = 'user'").select(
+        "conv_id", label(turn).alias("call_id"), "turn", name.alias("name"), F.when(size % 2 == 0, search).otherwise(translate).alias("arguments"), needs.alias("needs")
+    )
+    results = conversations.filter("role = 'assistant'").select("conv_id", label(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op10_tool_calls", "conversations")
+def _(conversations):
+    return tool_calls.linked(*derived_calls(conversations), SCHEMAS)

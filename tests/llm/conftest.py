@@ -1,5 +1,12 @@
+import os
+import sys
+
 import pytest
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(os.path.dirname(HERE))]
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

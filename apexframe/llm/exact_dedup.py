@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import scratch, settle
-from .common import keep_rows, row_key, squeezed, slices, texts_of
+from .common import keep_rows, row_key, slices, small_batches, squeezed, texts_of
 
 #: Distinct texts of a bucket, in bytes.
 BUCKET_BYTES = 64 << 20
 #: Bits by which the key counts get finer per look at the data; a look brings at most 2 ** LOOK_BITS rows per overfull bucket.
 LOOK_BITS = 8
 #: Copies are combined over so many bytes of text within a map task.
-COMBINE_BYTES = 16 << 20
+COMBINE_BYTES = 8 << 20
 #: The directory has at most 2 ** MAX_BITS entries of four bytes. A bucket of that depth is not split any more; its owner
 #: still streams through it in key order, so it may be of any size.
 MAX_BITS = 22
@@ -154,7 +154,7 @@ def build_index(docs: DataFrame, row_id: str = "doc_id", text: str = "text", buc
     number of rows. Null text counts as empty; a null id is larger than any other.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("raw"), squeezed(F.col(text)).alias("text"))
+    base = small_batches(docs).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("raw"), squeezed(F.col(text)).alias("text"))
     base = base.withColumn("key", F.xxhash64("text"))
     keys = settle(
         base.select(

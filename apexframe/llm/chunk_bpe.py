@@ -296,7 +296,8 @@ def chunk_encoding(docs: DataFrame, tokenizer_file: str, row_id: str = "doc_id",
     uses = settle(rows.select("key", "text").mapInArrow(_hashed(file), "key long, hash binary").distinct())
     shared = uses.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("owner")).filter("n > 1")
     owned = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("own"))  # at most a document's chunks
-    encoded = rows.join(owned, "key").select("own", "text").mapInArrow(_encoded(file), "hash binary, ids binary")
+    # the id is not needed here, but with the same columns both joins share one shuffle of the texts
+    encoded = rows.join(owned, "key").select("id", "own", "text").mapInArrow(_encoded(file), "hash binary, ids binary")
     known = encoded.groupBy("hash").agg(F.first("ids").alias("ids"))  # rows that are repeated own the same chunks
     given = uses.join(known, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("known"))
     return rows.join(given, "key", "left").select("id", "text", "known").mapInArrow(

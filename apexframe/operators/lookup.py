@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.names import lookup
+from .ordered import numbered
 
 
 def latest(df: DataFrame, keys: Sequence[str], recency: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -22,24 +22,28 @@ def latest(df: DataFrame, keys: Sequence[str], recency: Sequence[str], columns:
     return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in columns])
 
 
-def with_latest_team(samples: DataFrame, driver_info: DataFrame, driver: str = "Driver") -> DataFrame:
-    """Team of each driver's newest record that names one (JOIN3)."""
+def with_latest_team(samples: DataFrame, driver_info: DataFrame, driver: str = "Driver", ids: DataFrame | None = None) -> DataFrame:
+    """Team of each driver's newest record that names one (JOIN3), and with ``ids`` the team's id (JOIN4).
+
+    The id is looked up once per driver, so the samples are joined once.
+    """
     newest = driver_info.groupBy(F.col("Driver").alias(driver)).agg(
         F.max(F.struct("Year", "GrandPrix", "TeamName")).alias("_r")
     )
     teams = newest.select(driver, F.nullif(F.col("_r.TeamName"), F.lit("")).alias("Team"))
-    return samples.drop("Team").join(teams, driver, "left")
+    if ids is None:
+        return samples.drop("Team").join(teams, driver, "left")
+    known = team_id(teams, ids)
+    return samples.drop("Team", "TeamID").join(known, driver, "left").withColumn("TeamID", F.coalesce("TeamID", F.lit(0)))
 
 
 def dense_ids(names: DataFrame, name: str, id_name: str, start: int = 1) -> DataFrame:
     """1..n over the distinct non-null names in sorted order (AGG2).
 
-    Sorted by ranges and numbered partition by partition, so no task sees all names.
+    Sorted by ranges and numbered range by range, so no task sees all names.
     """
-    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name)
-    schema = T.StructType([T.StructField(name, T.StringType()), T.StructField(id_name, T.IntegerType())])
-    numbered = distinct.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1] + start))
-    return names.sparkSession.createDataFrame(numbered, schema)
+    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    return numbered(distinct, [name], id_name, start).withColumn(id_name, F.col(id_name).cast("int"))
 
 
 def extend_ids(known: DataFrame, names: DataFrame, name: str, id_name: str) -> DataFrame:

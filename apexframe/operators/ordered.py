@@ -13,9 +13,13 @@ each time: stored columns and exact arithmetic do, floating-point sums need ``se
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -23,32 +27,92 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+_LOW = -1.7976931348623157e308
+_HERE = threading.local()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: the same values for every later pass, and a known size.
 
     Wanted before an ordered operator whose order column is a floating-point aggregate, or for a small
-    side that several passes read. The table goes to the session's shared checkpoint folder.
+    side that several passes read. The table goes to the scratch folder.
     """
-    path = f"{scratch(df.sparkSession)}/apexframe-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder for tables that only live as long as a query: the session's ``spark.checkpoint.dir``.
+    """The folder for tables that live as long as a query: the scope's, or the application's.
 
-    Only where that is unset, as in tests, a folder of this machine is used.
+    It lies in the session's ``spark.checkpoint.dir``, which all executors share; without one there is an
+    error, except in local mode, where driver and executors are one process. The application's folder is
+    deleted when the process ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return shared or tempfile.mkdtemp(prefix="apexframe-")
+    scopes = getattr(_HERE, "scopes", None)
+    if scopes:
+        return scopes[-1]
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    folder = f"{shared}/apexframe-{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, context._jvm, folder)
+    return folder
 
 
-_LOW = -1.7976931348623157e308
-_MAX_CHUNKS = 4096
+_FOLDERS: set[str] = set()
+
+
+def _delete(jvm, folder: str) -> None:
+    with contextlib.suppress(Exception):  # left-over scratch does no harm, a process that ends may have lost its JVM
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Within it, scratch tables go to a folder of their own, which is deleted at its end.
+
+    For work that is finished inside, such as a micro-batch.
+    """
+    folder = f"{scratch(spark)}/scope-{uuid.uuid4().hex}"
+    if not hasattr(_HERE, "scopes"):
+        _HERE.scopes = []
+    _HERE.scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _HERE.scopes.pop()
+        _delete(spark.sparkContext._jvm, folder)
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """``rows`` with their place in the order of the columns ``order``, counted on from ``start``.
+
+    Sorted by ranges and written once; the rows of a range are numbered on from the counts of the ranges before
+    it, of which there is one per partition. The same for rows that are alike in all of ``order``, in any order.
+    """
+    within = (1 << 33) - 1
+    placed = settle(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.select("*", part).join(starts, "_part").select(
+        *rows.columns, (F.col("_start") + F.col("_place").bitwiseAND(F.lit(within)) + start).alias(name)
+    )
 
 
 def order_value(df: DataFrame, c: Column) -> Column | None:
-    """A double that sorts like ``c`` (nulls first); None for types without one."""
+    """A double that never decreases along ``c`` (nulls first); None for types without one.
+
+    Of a text it is the first six bytes, as a number that a double holds exactly.
+    """
     kind = df.select(c.alias("x")).schema[0].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         number = F.unix_micros(c.cast("timestamp")).cast("double")
@@ -56,15 +120,28 @@ def order_value(df: DataFrame, c: Column) -> Column | None:
         number = F.unix_date(c).cast("double")
     elif isinstance(kind, (T.NumericType, T.BooleanType)):
         number = c.cast("double")
+    elif isinstance(kind, T.StringType):
+        number = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     else:
         return None
     return F.coalesce(F.nanvl(number, -F.lit(_LOW)), F.lit(_LOW))
 
 
 def default_chunks(df: DataFrame) -> int:
-    """Enough chunks for every shuffle partition to get several, within the size of a cut list."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4 * partitions, _MAX_CHUNKS))
+    """Enough chunks for every shuffle partition to get several: four for each, numbers that the driver lists."""
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _cuts(df: DataFrame, name: str, n: int) -> list[float]:
+    found = df.approxQuantile(name, [i / n for i in range(1, n)], 1.0 / (2 * n))
+    return found or []
+
+
+def _bucketed(df: DataFrame, name: str, cuts: Sequence[float], out: str) -> DataFrame:
+    borders = sorted({c for c in cuts if c > _LOW})
+    if not borders:
+        return df.withColumn(out, F.lit(0.0))
+    return Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol=name, outputCol=out).transform(df)
 
 
 def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
@@ -72,41 +149,33 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
 
     Cuts are quantiles of the first order column, a list of at most ``n`` numbers. A single value that
     fills several quantiles is a tie too big for one chunk; its rows are cut again at the quantiles of
-    the second order column. The cut list only places the chunk borders, results do not depend on it.
+    the second order column, or of a hash of the row if there is no second one and any order will do.
+    The cut lists only place the chunk borders, results do not depend on them.
     """
     n = n or default_chunks(df)
-    values = [order_value(df, c) for c in order[:2]]
-    if values[0] is None:
+    first = order_value(df, order[0])
+    if first is None:
         return df.withColumns({"_c1": F.lit(0), "_c2": F.lit(0)})
-    if len(values) == 2 and values[1] is None:
-        values = values[:1]
-    names = ["_o1", "_o2"][: len(values)]
-    shaped = df.withColumns(dict(zip(names, values)))
-    fractions = [i / n for i in range(1, n)]
-    cut_lists = shaped.select(*names).approxQuantile(names, fractions, 1.0 / (2 * n))
-    if not cut_lists or not cut_lists[0]:
-        return shaped.withColumns({"_c1": F.lit(0), "_c2": F.lit(0)}).drop(*names)
-    heavy = sorted({a for a, b in zip(cut_lists[0], cut_lists[0][1:]) if a == b})
-    borders = {name: [_LOW, *sorted({c for c in cuts if c > _LOW})] for name, cuts in zip(names, cut_lists)}
-
-    def bucketed(rows: DataFrame, name: str) -> DataFrame:
-        out = f"_b{name[-1]}"
-        if len(borders[name]) == 1:
-            return rows.withColumn(out, F.lit(0.0))
-        splits = [float("-inf"), *borders[name][1:], float("inf")]
-        return Bucketizer(splits=splits, inputCol=name, outputCol=out).transform(rows)
-
-    shaped = bucketed(shaped, "_o1")
+    shaped = df.withColumn("_o1", first)
+    cuts = _cuts(shaped.select("_o1"), "_o1", n)
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    shaped = _bucketed(shaped, "_o1", cuts, "_b1")
     c1, c2 = F.col("_b1") * 2, F.lit(0.0)
+    drop = ["_o1", "_b1"]
     if heavy:
         is_heavy = F.col("_o1").isin(*heavy)
         # a light value above a heavy border belongs after all rows of that border value
-        starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders["_o1"]) if v in heavy])
+        borders = [_LOW, *sorted({c for c in cuts if c > _LOW})]
+        starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders) if v in heavy])
         c1 = c1 + F.when(starts_heavy & ~is_heavy, 1).otherwise(0)
-        if len(names) == 2:
-            shaped = bucketed(shaped, "_o2")
+        plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+        second = order_value(df, order[1]) if len(order) > 1 else F.xxhash64(*plain).cast("double")
+        if second is not None:
+            shaped = shaped.withColumn("_o2", second)
+            shaped = _bucketed(shaped, "_o2", _cuts(shaped.filter(is_heavy).select("_o2"), "_o2", n), "_b2")
             c2 = F.when(is_heavy, F.col("_b2")).otherwise(0.0)
-    return shaped.withColumns({"_c1": c1.cast("int"), "_c2": c2.cast("int")}).drop("_o1", "_o2", "_b1", "_b2")
+            drop += ["_o2", "_b2"]
+    return shaped.withColumns({"_c1": c1.cast("int"), "_c2": c2.cast("int")}).drop(*drop)
 
 
 def scan(
@@ -258,19 +327,27 @@ def tyre_ramp(degradation: Column, lap: Column, laps: Column) -> Column:
     return 1 + (degradation - 1) * F.least(F.lit(1.0), lap / (laps * 0.7))
 
 
-def group_medians(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Exact medians per group in long form: group columns, ``metric``, ``median`` (AGG12).
-
-    Values are counted first (map-side combined, spread over the values), then ranked by the chunked
-    scan, so a group of any size is never held by one task.
-    """
+def value_counts(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """How often each value of each column comes per group: group columns, ``metric``, ``value``, ``_n``."""
     measures = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
-    counted = (
+    return (
         df.select(*group, F.inline(measures))
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy(*group, "metric", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+
+
+def group_medians(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Exact medians per group in long form: group columns, ``metric``, ``median`` (AGG12).
+
+    Values are counted first (map-side combined, spread over the values), then ranked by the chunked
+    scan, so a group of any size is never held by one task.
+    """
+    return _medians_of(settle(value_counts(df, group, columns)), group)
+
+
+def _medians_of(counted: DataFrame, group: Sequence[str]) -> DataFrame:
     ranked = scan(
         counted, [*group, "metric"], [F.col("value")], running={"_upto": F.col("_n")}, total={"_all": F.col("_n")}
     )
@@ -292,8 +369,10 @@ def impute_by_group(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
         ]
         return medians.groupBy(*keys).agg(*named)
 
-    of_group = wide(group_medians(df, [group], columns), "_g_", [group])
-    overall = wide(group_medians(df, [], columns), "_a_", [])
+    counted = settle(value_counts(df, [group], columns))
+    total = settle(counted.groupBy("metric", "value").agg(F.sum("_n").alias("_n")))
+    of_group = wide(_medians_of(counted, [group]), "_g_", [group])
+    overall = wide(_medians_of(total, []), "_a_", [])
     joined = df.join(of_group, group, "left").withColumn("_all", overall.select(F.struct("*")).scalar())
     filled = {
         c: F.coalesce(F.col(c), F.col(f"_g_{c}"), F.col("_all").getField(f"_a_{c}"), F.lit(0.0)) for c in columns

@@ -110,12 +110,12 @@ def correlation_matrix(wide: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def prediction_quality(scored: DataFrame, label: str, prediction: str = "prediction", group: Sequence[str] = ()) -> DataFrame:
-    """Within-two share, podium agreement, r2, rmse and mae in one aggregation (AGG19)."""
+    """Within-two share, podium agreement, r2 (null if all labels are alike), rmse and mae in one aggregation (AGG19)."""
     y, p = F.col(label), F.col(prediction)
     error = p - y
     share = lambda test: F.avg(test.cast("double"))
     return scored.groupBy(*group).agg(
-        (1 - F.sum(error * error) / (F.var_pop(y) * F.count(y))).alias("r2_score"),
+        (1 - F.try_divide(F.sum(error * error), F.var_pop(y) * F.count(y))).alias("r2_score"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
         share(F.abs(error) <= 2).alias("position_accuracy_within_2"),

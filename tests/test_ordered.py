@@ -45,6 +45,52 @@ def test_chunks_split_a_hot_key(skewed):
     assert sizes.agg(F.max("count")).first()[0] < 3 * 3000 / 30
 
 
+def test_chunks_split_a_hot_key_in_text_order(spark):
+    rows = spark.range(6000).select(F.lit("hot").alias("k"), F.concat(F.lit("ab"), F.lpad(F.conv(F.col("id") * 7919 % 6000, 10, 36), 4, "0")).alias("o"), "id")
+    sizes = W.chunk(rows, [F.col("o"), F.col("id")], 30).groupBy("_c1", "_c2").count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * 6000 / 30
+    got = W.scan(rows, ["k"], [F.col("o"), F.col("id")], number="n", chunks=30)
+    expected = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_chunks_split_ties_without_a_second_column(spark):
+    rows = spark.range(6000).select(F.lit("hot").alias("k"), (F.col("id") % 2).alias("o"), "id")
+    sizes = W.chunk(rows, [F.col("o")], 30).groupBy("_c1", "_c2").count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * 6000 / 30
+    got = W.scan(rows, ["k"], [F.col("o")], number="n", chunks=30).collect()
+    assert sorted(r.n for r in got) == list(range(1, 6001)) and max(r.n for r in got if r.o == 0) == 3000
+
+
+def test_scratch_is_deleted_with_its_scope(spark):
+    import os
+
+    with W.scratch_scope(spark) as folder:
+        assert W.settle(spark.range(3)).count() == 3 and os.listdir(folder)
+    assert not os.path.exists(folder) and W.scratch(spark) != folder
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        W.scratch(Session())
+
+
+def test_numbered_goes_on_from_range_to_range(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x")).repartition(7)
+    got = W.numbered(rows, ["x"], "n", start=1).collect()
+    assert all(r.n == r.x + 1 for r in got) and len(got) == 5000
+
+
 def test_fill_rules(spark):
     rows = [
         ("A", 1, None), ("A", 2, "90"), ("A", 3, ""), ("A", 4, "NaT"), ("A", 5, "91"), ("B", 1, "80"), ("B", 2, None),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import scan
 
 #: rows per insert call of the row writer; fixed value.
 INSERT_BATCH = 1000
@@ -40,11 +40,40 @@ def write_session_table(
     df.repartitionByRange(*keys, *inner).sortWithinPartitions(*keys, *inner).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Micro-batch to its own partition; a repeated batch replaces itself instead of duplicating (SNK2)."""
+def write_batch(df: DataFrame, batch_id: int, path: str, within: Sequence[str] = ()) -> None:
+    """Micro-batch to its own partition; a repeated batch replaces itself instead of duplicating (SNK2).
+
+    ``within`` are columns to partition by first, such as the session, so that readers of a session skip the others.
+    """
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(path)
+    ).partitionBy(*within, "batch_id").parquet(path)
+
+
+def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """Newest version of a small state table that is written whole by ``write_batch``, empty if there is none.
+
+    ``before`` leaves out a batch's own version, so that a repeated batch starts from what the first attempt had.
+    """
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        versions = versions.filter(F.col("batch_id") < before)
+    newest = versions.agg(F.max("batch_id").alias("b"))
+    empty = spark.createDataFrame([], schema)
+    return versions.filter(F.col("batch_id") == newest.scalar()).select(*empty.columns)
+
+
+def prune_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest versions of a state table; two are enough to repeat the last batch."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = [int(f.getPath().getName()[9:]) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch_id=")]
+    for number in sorted(numbers)[:-keep]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={number}"), True)
 
 
 def insert_rows(df: DataFrame, connect: Callable[[], object], insert: Callable[[object, list[dict]], None]) -> None:
@@ -67,26 +96,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def prediction_documents(
-    predictions: DataFrame, timestamp: str | Column, race: str = "GrandPrix", rows_per_document: int = 1000
-) -> DataFrame:
-    """``{race, timestamp, part, predictions: [...]}`` in order of predicted place (SNK4).
+def prediction_documents(predictions: DataFrame, timestamp: str | Column, race: str = "GrandPrix") -> DataFrame:
+    """``{race, timestamp, place, predictions: [...]}``, a document per race and predicted place (SNK4).
 
-    A race has one document; beyond ``rows_per_document`` rows it continues in further parts, so that no
-    document grows without bound.
+    A document holds the predictions that share a place, ordered by all their columns; a race's documents in order of
+    ``place`` are its whole prediction. So a document stays small however many rows a race has.
     """
-    placed = scan(predictions, [race], [F.col("PredictedPosition")], number="_i")
-    part = F.floor((F.col("_i") - 1) / rows_per_document).cast("int")
-    entry = F.struct("_i", F.struct(*predictions.columns).alias("p"))
+    entry = F.struct(*predictions.columns)
     return (
-        placed.groupBy(F.col(race).alias("race"), part.alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(
-            "race",
-            (F.lit(timestamp) if isinstance(timestamp, str) else timestamp).alias("timestamp"),
-            "part",
-            F.transform("entries", lambda e: e["p"]).alias("predictions"),
-        )
+        predictions.groupBy(F.col(race).alias("race"), F.col("PredictedPosition").alias("place"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("predictions"))
+        .select("race", (F.lit(timestamp) if isinstance(timestamp, str) else timestamp).alias("timestamp"), "place", "predictions")
     )
 
 

@@ -6,6 +6,7 @@ that fails is retried by the engine, since its output partition is replaced and
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
@@ -17,10 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lookup import extend_ids
+from ..operators.ordered import scratch_scope, settle
 from ..plans import records
-from ..schemas import TOPICS, flat_schema
+from ..schemas import TOPICS
 from ..sources.readers import decode, read_topic, split_corrupt
-from ..sources.writers import unless_empty, write_batch
+from ..sources.writers import prune_versions, read_version, unless_empty, write_batch
 
 #: topic -> seconds between triggers; fixed values.
 TRIGGER_SECONDS = {
@@ -31,8 +33,9 @@ TRIGGER_SECONDS = {
     "race-results-data": 10,
     "weather-data": 10,
 }
-_TEAM_IDS = flat_schema("TeamName STRING, TeamID INT")
-_LAST_KNOWN = flat_schema("Year INT, GrandPrix STRING, SessionType STRING, Driver STRING, seen DOUBLE, known STRING")
+_TEAM_IDS = "TeamName STRING, TeamID INT"
+_LAST_KNOWN = "Year INT, GrandPrix STRING, SessionType STRING, Driver STRING, seen DOUBLE, known STRING"
+SESSION = ("Year", "GrandPrix", "SessionType")
 
 
 @dataclass(frozen=True)
@@ -59,45 +62,59 @@ def serving_table(spark: SparkSession, settings: JobSettings, name: str, schema:
         return spark.createDataFrame([], schema)
 
 
-def newest_version(
-    spark: SparkSession, settings: JobSettings, name: str, schema: T.StructType, before: int | None = None
-) -> DataFrame:
-    """Newest version of a small state table kept by batch number; ``before`` leaves a batch's own out."""
-    versions = serving_table(spark, settings, name, schema)
-    if "batch_id" not in versions.columns:
-        return versions
-    if before is not None:
-        versions = versions.filter(F.col("batch_id") < before)
-    newest = versions.agg(F.max("batch_id").alias("b"))
-    return versions.filter(F.col("batch_id") == newest.scalar()).select(*schema.names)
+_ONE_WRITER = threading.Lock()
 
 
-def grow_team_ids(batch: DataFrame, batch_id: int, settings: JobSettings) -> DataFrame:
-    """New version of the team dictionary with the names of this batch; ids never change (STR6)."""
-    spark = batch.sparkSession
-    known = newest_version(spark, settings, "team_ids", _TEAM_IDS, before=batch_id)
-    write_batch(extend_ids(known, batch, "TeamName", "TeamID"), batch_id, f"{settings.tables}/team_ids")
-    return newest_version(spark, settings, "team_ids", _TEAM_IDS)
+def grow_team_ids(names: DataFrame, name: str, settings: JobSettings) -> DataFrame:
+    """The team dictionary after the names of a batch; ids never change (STR6).
+
+    Laps, results and driver records all bring names. Their queries run in one driver process and take turns here, so
+    the dictionary has one writer; names that are known, as in a repeated batch, make no new version.
+    """
+    spark, path = names.sparkSession, f"{settings.tables}/team_ids"
+    with _ONE_WRITER:
+        known = read_version(spark, path, _TEAM_IDS)
+        grown = settle(extend_ids(known, names.select(F.col(name).alias("TeamName")).distinct(), "TeamName", "TeamID"))
+        if grown.count() > known.count():
+            write_batch(grown, _versions(spark, path) + 1, path)
+            prune_versions(spark, path, keep=3)
+    return grown
+
+
+def _versions(spark: SparkSession, path: str) -> int:
+    """Number of the newest version, -1 without one."""
+    try:
+        return spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    except AnalysisException:
+        return -1
+
+
+def laps_of(spark: SparkSession, settings: JobSettings, batch: DataFrame) -> DataFrame:
+    """The laps of the sessions that occur in a batch; the lap table is partitioned by session, so others are not read."""
+    laps = serving_table(spark, settings, "telemetry", _derived_laps())
+    return laps.join(batch.select(*SESSION).distinct(), list(SESSION), "left_semi")
 
 
 def _plan(table: str, batch: DataFrame, batch_id: int, settings: JobSettings) -> DataFrame:
     spark = batch.sparkSession
-    lap_table = lambda: serving_table(spark, settings, "telemetry", _derived_laps())
+    lap_table = lambda: laps_of(spark, settings, batch)
     drivers = lambda: serving_table(spark, settings, "driver_info", TOPICS["driver-info-data"][1])
-    ids = partial(newest_version, spark, settings, "team_ids", _TEAM_IDS)
+    ids = partial(read_version, spark, f"{settings.tables}/team_ids", _TEAM_IDS)
     if table == "telemetry":
-        known = newest_version(spark, settings, "last_known", _LAST_KNOWN, before=batch_id)
-        rows, state = records.laps_batch(batch, ids(), known)
-        write_batch(state, batch_id, f"{settings.tables}/last_known")
+        path = f"{settings.tables}/last_known"
+        known = read_version(spark, path, _LAST_KNOWN, before=batch_id)
+        rows, state = records.laps_batch(batch, grow_team_ids(batch, "Team", settings), known)
+        write_batch(state, batch_id, path)
+        prune_versions(spark, path)
         return rows
     if table == "car_telemetry":
         return records.car_samples(batch, drivers(), ids(), lap_table())
     if table == "car_position":
         return records.positions(batch, drivers(), ids(), lap_table())
     if table == "driver_info":
-        return records.driver_info(batch, grow_team_ids(batch, batch_id, settings))
+        return records.driver_info(batch, grow_team_ids(batch, "TeamName", settings))
     if table == "race_results":
-        return records.results(batch, ids())
+        return records.results(batch, grow_team_ids(batch, "TeamName", settings))
     return records.weather(batch)
 
 
@@ -114,9 +131,11 @@ def batch_writer(topic: str, settings: JobSettings) -> Callable[[DataFrame, int]
         # several passes read the batch; its size is bounded by the admission limit
         batch.persist()
         try:
-            good, bad = split_corrupt(batch)
-            write_batch(_plan(table, good, batch_id, settings), batch_id, f"{settings.tables}/{table}")
-            unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}"))(bad, batch_id)
+            with scratch_scope(batch.sparkSession):
+                good, bad = split_corrupt(batch)
+                within = SESSION if table == "telemetry" else ()
+                write_batch(_plan(table, good, batch_id, settings), batch_id, f"{settings.tables}/{table}", within)
+                unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}"))(bad, batch_id)
         finally:
             batch.unpersist()
 

@@ -3,10 +3,12 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from apexframe.functions.durations import clean_duration
 from apexframe.plans import records
+from apexframe.queries import ORACLES, QUERIES
 from apexframe.schemas import DRIVER_INFO, LAPS
 from apexframe.sources.writers import write_batch
 from apexframe.streaming import stateful as S
@@ -114,3 +116,86 @@ def test_stateful_fill_over_many_batches(spark, tmp_path):
             known[d] = t
         expected[(d, n)] = (known.get(d), t is None and d in known)
     assert got == expected
+
+
+EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE"
+
+
+@pytest.mark.parametrize("files", [1, 32])
+def test_stream_queries_do_not_depend_on_the_files(spark, tmp_path, files):
+    """The same events as one file, or as a folder of files in no order of time."""
+    import duckdb
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    target = str(tmp_path / "events.parquet")
+    if files == 1:
+        source.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*")).rename(target)
+    else:
+        source.repartition(files, "event_id").write.parquet(target)
+    pattern = target if files == 1 else f"{target}/*.parquet"
+    base = duckdb.connect()
+    base.sql("SET TimeZone = 'UTC'")
+    base.sql(f"CREATE VIEW events AS SELECT * FROM '{pattern}'")
+    for name in ("str4_deduplicate", "str7_tumbling_windows", "str7_sliding_windows", "str7_session_windows", "str5_stateful_fill", "snk7_batches_written_once"):
+        df = QUERIES[name](spark, str(tmp_path))
+        answer = base.sql(ORACLES[name])
+        order = [answer.columns.index(c) for c in df.columns]
+        wanted = sorted(str([row[i] for i in order]) for row in answer.fetchall())
+        assert sorted(str(list(r)) for r in df.collect()) == wanted, name
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    """Small batches in no order of time: accepted and rejected rows are all rows, and windows over the accepted lose none."""
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(16, "event_id").write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "split")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    running = stream.writeStream.foreachBatch(S.split_late("ts", "2 hours", path)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    accepted, rejected = spark.read.parquet(f"{path}/accepted"), spark.read.parquet(f"{path}/rejected")
+    assert rejected.count() > 0 and accepted.count() + rejected.count() == source.count()
+    assert accepted.select("event_id").union(rejected.select("event_id")).distinct().count() == source.count()
+    assert len(list((tmp_path / "split" / "horizon").glob("batch_id=*"))) == 2
+    write = S.split_late("ts", "2 hours", path)  # a batch that is repeated changes nothing
+    before = sorted(r.event_id for r in rejected.filter("batch_id = 3").collect())
+    again = [r for df in (accepted, rejected) for r in df.filter("batch_id = 3").drop("batch_id").collect()]
+    write(spark.createDataFrame(again, stream.schema), 3)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{path}/rejected").filter("batch_id = 3").collect()) == before
+
+
+def test_every_record_kind_brings_team_ids(spark, tmp_path):
+    paths = {t: str(tmp_path / t) for t in ("driver-info-data", "telemetry-data", "race-results-data")}
+    s = JobSettings(tables=str(tmp_path / "tables"), checkpoints=str(tmp_path / "cp"), source="files", once=True, paths=paths)
+    session = {"Year": 2024, "GrandPrix": "X", "SessionType": "Race"}
+    write_lines(tmp_path / "driver-info-data", "a.json", [{"Driver": "1", "TeamName": "Known", **session}])
+    write_lines(tmp_path / "telemetry-data", "a.json", [{**lap("2", 1.0, "00:01:30.000", "00:00:00.000"), "Team": t} for t in ("From laps", "KNOWN")])
+    write_lines(tmp_path / "race-results-data", "a.json", [{"Driver": "3", "TeamName": "From results", "Position": 1.0, **session}])
+    for topic in paths:
+        run(spark, s, topic)
+    ids = {r.Team: r.TeamID for r in spark.read.parquet(f"{s.tables}/telemetry").collect()}
+    assert ids == {"From laps": 2, "KNOWN": 1}
+    assert [r.TeamID for r in spark.read.parquet(f"{s.tables}/race_results").collect()] == [3]
+
+
+def test_a_batch_reads_the_laps_of_its_sessions_only(spark, tmp_path):
+    from apexframe.streaming.jobs import SESSION, laps_of
+
+    s = JobSettings(tables=str(tmp_path), checkpoints=str(tmp_path / "cp"))
+    laps = spark.createDataFrame([{**lap(str(i), 1.0, "00:01:30.000", "00:00:00.000"), "GrandPrix": f"GP {i}"} for i in range(6)], LAPS)
+    write_batch(laps, 0, f"{s.tables}/telemetry", SESSION)
+    batch = laps.filter("GrandPrix = 'GP 3'").select(*SESSION)
+    found = laps_of(spark, s, batch)
+    assert [r.GrandPrix for r in found.collect()] == ["GP 3"]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_scratch_is_left_of_a_batch(spark, tmp_path):
+    from apexframe.operators.ordered import scratch
+
+    s = settings(tmp_path)
+    write_lines(tmp_path / "telemetry-data", "a.json", [lap("1", 1.0, "00:01:30.000", "00:00:00.000")])
+    folder = scratch(spark)
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    run(spark, s, "telemetry-data")
+    assert set(os.listdir(folder)) <= before

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,22 @@ def stages(settings: ModelSettings) -> list:
     return [*indexers, *encoders, numbers, scaler, together, trees]
 
 
+def category_index(features: DataFrame, settings: ModelSettings) -> DataFrame:
+    """``column, value, index`` of the categorical features: the more frequent, the smaller, ties by name (MLP2)."""
+    fitted = Pipeline(stages=stages(settings)[: len(settings.categorical)]).fit(features)
+    rows = [(c, v, i) for c, m in zip(settings.categorical, fitted.stages) for i, v in enumerate(m.labels)]
+    return features.sparkSession.createDataFrame(rows, "column STRING, value STRING, index INT")
+
+
+def scaled_numbers(features: DataFrame, settings: ModelSettings) -> DataFrame:
+    """``column, mean, deviation`` of the numeric features after scaling (MLP3)."""
+    n = len(settings.categorical)
+    scaled = Pipeline(stages=stages(settings)[2 * n : 2 * n + 2]).fit(features).transform(features)
+    values = vector_to_array("scaled_numeric_features")
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.element_at(values, i).alias("v")) for i, c in enumerate(settings.numeric, 1)))
+    return scaled.select(F.inline(each)).groupBy("column").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"))
+
+
 def split(features: DataFrame, settings: ModelSettings, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Train / test by a hash of the row key: the same rows whatever the partitioning (MLP5)."""
     share = F.pmod(F.xxhash64(*key, F.lit(settings.seed)), F.lit(10000)) / 10000
@@ -208,8 +225,8 @@ def next_season_rows(
         ],
     )
     tiers = [
-        (F.col("_own").isNotNull(), as_row(F.col("_own"))),
-        (F.col("_mate").isNotNull(), as_row(F.col("_mate"), slower)),
+        (F.col("_own").isNotNull(), as_row(F.col("_own"), event=first_race if race else None)),
+        (F.col("_mate").isNotNull(), as_row(F.col("_mate"), slower, first_race if race else None)),
         (F.col("_team").isNotNull(), as_row(F.col("_team"), event=first_race)),
     ]
     row, tier = None, None
@@ -238,7 +255,7 @@ def _nearest(places: DataFrame, by_grid: DataFrame, numbers: Sequence[str]) -> D
 
 
 def race_details(predictions: DataFrame, noise: float = 0.0, seed: int = 42) -> DataFrame:
-    """Lap and race time estimates, tyre factor and gaps (FN15, WIN7, JOIN18).
+    """Lap and race time estimates, tyre factor and gaps (FN15, WIN7, JOIN18), a leader per season and race.
 
     ``noise`` is the half-width of an optional random share of the race time; off by default.
     """
@@ -256,7 +273,8 @@ def race_details(predictions: DataFrame, noise: float = 0.0, seed: int = 42) ->
         {"EstimatedLapTime": lap, "RaceTimeSeconds": lap * F.col("TotalLaps") * shaken, "TireDegradation": tyre,
          "EstimateWeatherFactor": weather}
     ).withColumn("EstimatedRaceTime", format_clock(F.col("RaceTimeSeconds"), pad_hours=False))
-    return gap_to_leader(timed, ["GrandPrix"], "PredictedPosition", "RaceTimeSeconds", "FullName").drop("AvgLap", "TyreFactor")
+    race = [c for c in ("Year", "GrandPrix") if c in predictions.columns]
+    return gap_to_leader(timed, race, "PredictedPosition", "RaceTimeSeconds", "FullName").drop("AvgLap", "TyreFactor")
 
 
 def display_predictions(scored: DataFrame) -> DataFrame:
@@ -281,12 +299,19 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return race_details(display_predictions(model.transform(rows))).orderBy("PredictedPosition", "FullName")
 
 
-def run(tables: Mapping[str, DataFrame], schedule: DataFrame, race: str, years: Sequence[int], settings: ModelSettings | None = None):
+def run(
+    tables: Mapping[str, DataFrame],
+    schedule: DataFrame,
+    race: str,
+    years: Sequence[int],
+    settings: ModelSettings | None = None,
+    lineup: Mapping[str, Sequence[str]] | None = None,
+):
     """Features, model, next-season rows and prediction of one race (MLP8, PIPE13)."""
     chosen = standard_names(seasons_of_event(dict(tables), schedule, race, years))
     features = settle(feature_table(chosen["results"], chosen["laps"], chosen["weather"]))
     model, _, quality = fit(features, settings)
-    return predict(model, next_season_rows(features)), quality
+    return predict(model, next_season_rows(features, lineup, race=race)), quality
 
 
 # --- prediction tables (PIPE12) ---------------------------------------------------------------------

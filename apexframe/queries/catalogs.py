@@ -89,9 +89,14 @@ def _(t):
     return C.season_schedule(t.schedule, 2023, 2025)
 
 
-@query("src9_newest_schedule", """SELECT "Year", "RoundNumber" FROM schedule WHERE "Year" = 2025""", uses="schedule")
-def _(t):
-    return C.newest_schedule(t.schedule.filter("Year <= 2025"), (2026, 2025)).select("Year", "RoundNumber")
+@query("src9_newest_schedule", """
+SELECT 'newest' AS asked, "Year", "RoundNumber" FROM schedule WHERE "Year" = (SELECT max("Year") FROM schedule WHERE "Year" IN (2026, 2025)) UNION ALL
+SELECT 'fallback', "Year", "RoundNumber" FROM schedule WHERE "Year" = 2025""", uses="schedule")
+def _(t):
+    """The newest of two seasons, and the older one where the newer has no events."""
+    newest, fallback = C.newest_schedule(t.schedule, (2026, 2025)), C.newest_schedule(t.schedule, (2999, 2025))
+    columns = ["asked", "Year", "RoundNumber"]
+    return newest.withColumn("asked", F.lit("newest")).select(columns).unionByName(fallback.withColumn("asked", F.lit("fallback")).select(columns))
 
 
 @query("prj29_season_progress", """

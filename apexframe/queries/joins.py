@@ -85,17 +85,16 @@ def _(t):
 
 
 @query("join4_team_id", """
-SELECT o_orderkey, CASE WHEN c IN ('HOUSEHOLD', 'household') THEN 1 WHEN c = 'MACHINERY' THEN 2 ELSE 0 END AS "TeamID" FROM (
+SELECT o_orderkey, CASE WHEN c IN ('HOUSEHOLD', 'household') THEN 1 WHEN c IN ('MACHINERY', 'machinery') THEN 2 ELSE 0 END AS "TeamID" FROM (
   SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN lower(c_mktsegment) WHEN o_orderkey % 7 <> 1 THEN c_mktsegment END AS c
-  FROM orders JOIN customer ON o_custkey = c_custkey) WHERE c IS NULL OR c <> 'machinery'""")
+  FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def _(t):
     ids = t.customer.filter("c_mktsegment IN ('HOUSEHOLD', 'MACHINERY')").groupBy(F.col("c_mktsegment").alias("TeamName")).agg(
         F.max(F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1).otherwise(2)).alias("TeamID")
     )
     segment = F.when(F.col("o_orderkey") % 7 == 0, F.lower("c_mktsegment")).when(F.col("o_orderkey") % 7 != 1, F.col("c_mktsegment"))
     named = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", segment.alias("Team"))
-    kept = named.filter(F.col("Team").isNull() | (F.col("Team") != "machinery"))
-    return J.team_id(kept, ids).select("o_orderkey", "TeamID")
+    return J.team_id(named, ids).select("o_orderkey", "TeamID")
 
 
 _D1, _D2 = "D7", "D42"
@@ -299,10 +298,9 @@ def _(t):
 
 
 @query("set5_has_changed", """
-SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0) AS added, count(*) FILTER (WHERE o_orderkey % 7 = 0 AND o_orderkey % 10 <> 0) AS removed, TRUE AS changed FROM orders
-WHERE o_orderkey % 70 <> 0""")
+SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0 AND o_orderkey % 7 <> 0) AS added, count(*) FILTER (WHERE o_orderkey % 7 = 0 AND o_orderkey % 10 <> 0) AS removed, TRUE AS changed FROM orders""")
 def _(t):
-    base = t.orders.select("o_orderkey", "o_custkey").filter("o_orderkey % 70 <> 0")
+    base = t.orders.select("o_orderkey", "o_custkey")
     return C.has_changed(base.filter("o_orderkey % 10 <> 0"), base.filter("o_orderkey % 7 <> 0"))
 
 

@@ -30,6 +30,24 @@ def test_model_finds_the_order(features):
     assert predicted[0].TotalLaps == 78.0
 
 
+def test_one_race_has_one_leader(spark, features):
+    """Drivers whose last events differ are all predicted for the race that is asked for."""
+    other = features.filter("FullName = 'Driver 3'").withColumns({"GrandPrix": F.lit("Other Grand Prix"), "Year": F.lit(2026)})
+    history = features.unionByName(other.limit(1))
+    model = M.fit(history, M.ModelSettings())[0]
+    lineup = {"Team 0": ["Driver 0", "Rookie"], "Team 1": ["Driver 3", "New"], "Haas": ["New C", "New D"]}
+    rows = M.next_season_rows(history, lineup, race="British Grand Prix")
+    assert {r.GrandPrix for r in M.next_season_rows(history, lineup).collect()} > {"Other Grand Prix"}
+    predicted = M.predict(model, rows).collect()
+    assert len(predicted) == 6 and {r.GrandPrix for r in predicted} == {"British Grand Prix"}
+    assert [r.Gap for r in predicted].count("Leader") == 1 and predicted[0].Gap == "Leader" and predicted[0].TotalLaps == 52.0
+
+
+def test_r2_of_a_constant_label_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "y DOUBLE, prediction DOUBLE")
+    assert prediction_quality(df, "y").first().r2_score is None
+
+
 def test_next_season_tiers(features):
     lineup = {"Team 0": ["Driver 0", "Rookie"], "Team 5": ["New A", "New B"], "Haas": ["New C", "New D"]}
     got = {r.FullName: r for r in M.next_season_rows(features, lineup).collect()}
@@ -62,10 +80,11 @@ def test_quality_and_histogram(spark):
     assert {r.bin: r.n for r in error_histogram(flat, "y", bins=20).collect()} == {10: 2}
 
 
-def test_prediction_documents_split_into_parts(spark):
+def test_prediction_documents_have_one_shape(spark):
     from apexframe.sources.writers import prediction_documents
 
-    df = spark.range(25).select(F.lit("X").alias("GrandPrix"), (F.col("id") * 1.0).alias("PredictedPosition"))
-    documents = prediction_documents(df, "t", rows_per_document=10).orderBy("part").collect()
-    assert [len(d.predictions) for d in documents] == [10, 10, 5]
-    assert [p.PredictedPosition for d in documents for p in d.predictions] == [float(i) for i in range(25)]
+    for n in (3, 2500):
+        df = spark.range(n).select(F.lit("X").alias("GrandPrix"), F.floor(F.col("id") / 2).cast("double").alias("PredictedPosition"), "id")
+        documents = prediction_documents(df, "t").orderBy("place").collect()
+        assert documents[0].asDict().keys() == {"race", "timestamp", "place", "predictions"}
+        assert [p.id for d in documents for p in d.predictions] == list(range(n))

@@ -14,7 +14,7 @@ duckdb = pytest.importorskip("duckdb")
 
 FOLDER = os.environ.get("APEXFRAME_TABLES", "/root/testdata/sf0.001")
 SLOW = {
-    "mlp2_fit_and_evaluate", "mlp7_predict_race", "mlp8_prediction_run", "str1_six_streams", "positions_enriched", "prj8_samples_of_laps",
+    "mlp2_fit_and_evaluate", "mlp4_holdout", "mlp7_predict_race", "mlp7_one_race_one_leader", "mlp8_prediction_run", "mlp8_one_race_one_leader", "str1_six_streams", "positions_enriched", "prj8_samples_of_laps",
     "prediction_lap_chart", "snk5_session_table",
 }
 TABLES = (

@@ -91,14 +91,33 @@ class Rule:
     pick: str = "first"
 
 
-def _substrings(c: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+_GRAM = 3
 
-    def from_start(i: Column) -> Column:
-        lengths = F.sequence(F.lit(0), F.greatest(F.length(c) - i + 1, F.lit(0)))
-        return F.transform(lengths, lambda n: F.substring(c, i, n))
 
-    return F.array_distinct(F.flatten(F.transform(starts, from_start)))
+def _grams(c: Column, n: int) -> Column:
+    """All pieces of ``n`` characters; none if the text is shorter."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
+
+
+def _contained(small: DataFrame, large: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``scope, _small, _large``: the texts (``_text``, each once) of which one occurs in the other.
+
+    A text is looked up under its rarest piece of three characters (itself, if it is shorter) among the pieces of the larger
+    texts, which are as many as their characters, and what that finds is compared in full.
+    """
+    text = F.col("_text")
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(text, n) for n in range(1, _GRAM + 1))))
+    offered = large.select(*scope, text.alias("_large"), F.explode(pieces).alias("_gram"))
+    frequency = offered.groupBy(*scope, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length(text) < _GRAM, F.array(text)).otherwise(F.array_distinct(_grams(text, _GRAM)))
+    rarest = (
+        small.select(*scope, text.alias("_small"), F.explode(own).alias("_gram"))
+        .join(frequency, [*scope, "_gram"])
+        .groupBy(*scope, "_small")
+        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    )
+    return rarest.join(offered, [*scope, "_gram"]).filter(F.contains("_large", "_small")).select(*scope, "_small", "_large")
 
 
 def resolve_names(
@@ -112,28 +131,25 @@ def resolve_names(
 ) -> DataFrame:
     """Left rows with the best matching right row, unmatched ones kept with nulls (JOIN9-JOIN11).
 
-    The lowest tier wins, within a tier the first (or last) right row by ``ordinal``. "Occurs in" is an
-    equality with one of the substrings of the longer name, so every rule is an equi-join against one
-    row per text and no pairs of non-matching names are formed. ``scope`` columns must agree on both
-    sides (a season, say). Meant for names, not for long texts.
+    The lowest tier wins, within a tier the first (or last) right row by ``ordinal``. "Occurs in" is looked up
+    by pieces of the texts (``_contained``), against one row per text. ``scope`` columns must agree on both sides
+    (a season, say).
     """
     best = None
     for tier, kind, l_text, r_text, pick in [(r.tier, r.kind, r.left, r.right, r.pick) for r in rules]:
         rank = F.col(ordinal).cast("long") if pick == "first" else -F.col(ordinal).cast("long")
         row = F.struct(F.lit(tier).alias("tier"), rank.alias("rank"), *columns)
-        offered = F.explode(_substrings(r_text)) if kind == "left_in_right" else r_text
-        one_per_text = (
-            right.select(*scope, offered.alias("_text"), row.alias("_row"))
-            .groupBy(*scope, "_text")
-            .agg(F.min("_row").alias("_row"))
-        )
-        wanted = F.explode(_substrings(l_text)) if kind == "right_in_left" else l_text
-        hits = (
-            left.select(*dict.fromkeys([*left_key, *scope]), wanted.alias("_text"))
-            .filter(F.col("_text").isNotNull())
-            .join(one_per_text, [*scope, "_text"])
-            .select(*left_key, "_row")
-        )
+        named = F.col("_text").isNotNull()
+        offered = right.select(*scope, r_text.alias("_text"), row.alias("_row")).filter(named).groupBy(*scope, "_text").agg(F.min("_row").alias("_row"))
+        asked = left.select(*dict.fromkeys([*left_key, *scope]), l_text.alias("_text")).filter(named)
+        if kind == "equal":
+            hits = asked.join(offered, [*scope, "_text"])
+        else:
+            ours, theirs = asked.select(*scope, "_text").distinct(), offered.select(*scope, "_text")
+            names = {"_small": "_text", "_large": "_other"} if kind == "left_in_right" else {"_small": "_other", "_large": "_text"}
+            pairs = (_contained(ours, theirs, scope) if kind == "left_in_right" else _contained(theirs, ours, scope)).withColumnsRenamed(names)
+            hits = asked.join(pairs, [*scope, "_text"]).join(offered.withColumnRenamed("_text", "_other"), [*scope, "_other"])
+        hits = hits.select(*left_key, "_row")
         best = hits if best is None else best.unionByName(hits)
     chosen = best.groupBy(*left_key).agg(F.min("_row").alias("_row"))
     return left.join(chosen, list(left_key), "left").select(

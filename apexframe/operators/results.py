@@ -82,6 +82,11 @@ def gap_to_leader(df: DataFrame, race: Sequence[str], position: str, seconds: st
     )
 
 
+def group_means(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Means of columns per group (AGG13)."""
+    return df.groupBy(*group).agg(*[F.avg(c).alias(c) for c in columns])
+
+
 def sequential_places(df: DataFrame, race: Sequence[str], order: Sequence[Column], name: str = "Position") -> DataFrame:
     """1..n per race in the given order (WIN8)."""
     return scan(df, race, order, number=name)

@@ -19,7 +19,7 @@ from ..functions.names import normalize_driver, normalize_team, safe_name
 from ..operators.laps import lap_statistics, weather_statistics
 from ..operators.lookup import race_parameters
 from ..operators.ordered import impute_by_group, running_order, scan, settle, tyre_ramp
-from ..operators.results import gap_to_leader, sequential_places
+from ..operators.results import gap_to_leader, group_means, sequential_places
 from ..operators.runs import prediction_quality
 from ..sources.readers import seasons_of_event
 
@@ -45,14 +45,18 @@ def standard_names(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {**tables, "laps": laps, "results": results}
 
 
+def with_lap_statistics(results: DataFrame, laps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Results with the statistics of the laps of the same keys, which stay null without laps (JOIN7)."""
+    return results.join(lap_statistics(laps, keys), list(keys), "left")
+
+
 def feature_table(results: DataFrame, laps: DataFrame, weather: DataFrame) -> DataFrame:
     """One training row per result: result, lap statistics, race weather, missing values imputed (MLP1)."""
     if "LapTimeSeconds" not in laps.columns:
         laps = laps.withColumn("LapTimeSeconds", duration_seconds(F.col("LapTime")))
     race = ["Year", "GrandPrix"]
     joined = (
-        results.withColumn("Position", to_double(F.col("Position")))
-        .join(lap_statistics(laps), ["FullName", *race], "left")
+        with_lap_statistics(results.withColumn("Position", to_double(F.col("Position"))), laps, ["FullName", *race])
         .join(weather_statistics(weather), race, "left")
         .withColumns(
             {
@@ -195,7 +199,6 @@ def next_season_rows(
     slower = {
         "AvgLapTime": K.ROOKIE_LAP_FACTOR, "BestLapTime": K.ROOKIE_LAP_FACTOR, "MaxSpeed": K.ROOKIE_SPEED_FACTOR,
     }
-    means = [F.avg(c).alias(c) for c in numbers]
     first_race = F.lit(race) if race else features.agg(F.min("GrandPrix").alias("g")).scalar()
 
     def as_row(prefix: Column, adjust: Mapping[str, float] | None = None, event: Column | None = None) -> Column:
@@ -204,8 +207,8 @@ def next_season_rows(
 
     own = newest.select("FullName", F.col("_row").alias("_own"))
     mates = newest.select(F.col("FullName").alias("mate"), F.col("_row").alias("_mate"))
-    teams = features.groupBy("TeamName").agg(*means).select("TeamName", F.struct(*numbers).alias("_team"))
-    by_grid = features.groupBy(F.col("GridPosition").alias("_grid")).agg(*means)
+    teams = group_means(features, ["TeamName"], numbers).select("TeamName", F.struct(*numbers).alias("_team"))
+    by_grid = group_means(features.withColumn("_grid", F.col("GridPosition")), ["_grid"], numbers)
     places = signed.select("baseline").distinct()
     # the nearest grid place at or below and at or above each assumed place, found by two as-of scans
     nearest = _nearest(places, by_grid.filter(F.col("_grid").isNotNull()), numbers)

@@ -8,11 +8,11 @@ from ..operators import laps as L
 from ..operators import runs as U
 from ..operators.lookup import dense_ids, race_laps
 from ..operators.ordered import group_medians, impute_by_group
+from ..operators.results import group_means
 from ..plans import prediction as M
 from .registry import query
 
 
-
 def rounded(df, *columns, digits=6):
     """Computed doubles to a fixed number of places, for comparison."""
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -148,8 +148,7 @@ def _(t):
 @query("agg13_means_by_team_and_grid", """
 SELECT "TeamName", "GridPosition", round(avg("Points"), 6) AS "Points", round(avg("Position"), 6) AS "Position" FROM results GROUP BY ALL""", uses="results")
 def _(t):
-    means = t.results.groupBy("TeamName", "GridPosition").agg(F.avg("Points").alias("Points"), F.avg("Position").alias("Position"))
-    return rounded(means, "Points", "Position")
+    return rounded(group_means(t.results, ["TeamName", "GridPosition"], ["Points", "Position"]), "Points", "Position")
 
 
 @query("agg14_overall_condition", """

@@ -12,6 +12,7 @@ from ..operators import laps as L
 from ..operators import lookup as J
 from ..operators import results as P
 from ..operators.intervals import assign_interval, assign_laps, lap_spans
+from ..plans.prediction import with_lap_statistics
 from ..sources.readers import new_circuits, scan_session, seasons_of_event
 from ..sources.writers import dead_letters
 from .aggregates import rounded
@@ -128,10 +129,11 @@ def _(t):
 SELECT o_orderkey, round(a, 6) AS "AvgLapTime", n AS "CompletedLaps" FROM orders LEFT JOIN
  (SELECT l_orderkey, avg(l_quantity) AS a, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
 def _(t):
-    stats = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.avg("l_quantity").alias("AvgLapTime"), F.count(F.lit(1)).alias("CompletedLaps")
+    laps = t.lineitem.filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("LapTimeSeconds"), F.col("l_tax").alias("SpeedST"),
+        (F.col("l_linestatus") == "O").alias("IsPersonalBest"), F.col("l_linenumber").alias("Stint"), F.col("l_linenumber").alias("LapNumber"),
     )
-    return rounded(t.orders.select("o_orderkey").join(stats, "o_orderkey", "left"), "AvgLapTime")
+    return rounded(with_lap_statistics(t.orders.select("o_orderkey"), laps, ["o_orderkey"]).select("o_orderkey", "AvgLapTime", "CompletedLaps"), "AvgLapTime")
 
 
 @query("join8_results_with_weather", """

@@ -53,7 +53,7 @@ SELECT "Driver", "Year", "GrandPrix", round(avg(s), 6) AS "AvgLapTime", round(mi
 FROM (SELECT *, {sql_seconds('filled')} AS s FROM {_SQL_FILLED}) WHERE NOT coalesce("Deleted", FALSE) AND s BETWEEN 30 AND 300 GROUP BY "Driver", "Year", "GrandPrix" """,
        uses="timed laps")
 def _(t):
-    laps = records.laps(_decoded_laps(t), _team_ids(t)).filter(R.is_valid_lap())
+    laps = records.filled_laps(_decoded_laps(t)).filter(R.is_valid_lap())
     return rounded(L.lap_statistics(laps, ("Driver", "Year", "GrandPrix")), "AvgLapTime", "BestLapTime", "LapTimeConsistency", "AvgSpeed")
 
 

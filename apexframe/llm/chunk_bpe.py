@@ -2,7 +2,8 @@
 
 Texts are cut into chunks where a rolling hash of the last 32 bytes has a given form, so equal passages are cut alike
 wherever they stand. Chunks of more than one document are encoded once, by the document that owns them, and joined back
-to all documents by their hash; what lies between shared chunks is encoded in place.
+to all documents by their hash; what lies between shared chunks is encoded in place. A chunk is only taken over if its
+tokens spell the very bytes that stand in the text, so equal hashes of different chunks do no harm.
 
 The tokens at a chunk's ends depend on what follows and precedes it. So every join is repaired: a window around it, from
 one sure word border to another, is encoded anew, together with a guard on either side that must come out exactly as it
@@ -92,8 +93,11 @@ class Codec:
     def encode(self, data: bytes) -> np.ndarray:
         return np.array(self._bpe.encode_ordinary(data.decode()), dtype=self.kind)
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        return self.spelled(ids).decode("utf-8", errors="replace")
 
 
 @lru_cache(2)
@@ -195,7 +199,11 @@ def joined(data: bytes, pieces: list[tuple[int, int, np.ndarray]], tokens: Codec
     return np.concatenate([p[1] for p in line.parts])
 
 
-def encode(text: str, tokens: Codec, known: dict[bytes, np.ndarray]) -> np.ndarray:
+def _hash(chunk: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
+
+
+def encode(text: str, tokens: Codec, known: dict[int, np.ndarray]) -> np.ndarray:
     """Ids of a whole text, given those of some of its chunks by their hash."""
     out = []
     for part, special in tokens.segments(text):
@@ -208,8 +216,8 @@ def encode(text: str, tokens: Codec, known: dict[bytes, np.ndarray]) -> np.ndarr
             continue
         pieces, fresh, last = [], 0, 0
         for end in cuts(data):
-            ids = known.get(xxhash.xxh3_128_digest(data[last:end]))
-            if ids is not None:
+            ids = known.get(_hash(data[last:end]))
+            if ids is not None and tokens.spelled(ids) == data[last:end]:
                 if fresh < last:
                     pieces.append((fresh, last, tokens.encode(data[fresh:last])))
                 pieces.append((last, end, ids))
@@ -221,14 +229,14 @@ def encode(text: str, tokens: Codec, known: dict[bytes, np.ndarray]) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, dtype=tokens.kind)
 
 
-def _chunks(text: str, tokens: Codec) -> dict[bytes, bytes]:
+def _chunks(text: str, tokens: Codec) -> dict[int, bytes]:
     """The chunks of a text by their hash."""
     out = {}
     for part, special in tokens.segments(text):
         if special is None:
             data, last = part.encode(), 0
             for end in cuts(data):
-                out[xxhash.xxh3_128_digest(data[last:end])] = data[last:end]
+                out[_hash(data[last:end])] = data[last:end]
                 last = end
     return out
 
@@ -242,7 +250,7 @@ def _hashed(file):
                 found = list(_chunks(text, tokens))
                 keys += [key] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.binary())], ["key", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["key", "hash"])
 
     return run
 
@@ -258,7 +266,7 @@ def _encoded(file):
                     if h in chunks:
                         hashes.append(h)
                         ids.append(tokens.encode(chunks[h]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.binary())], ["hash", "ids"])
 
     return run
 
@@ -286,20 +294,21 @@ def chunk_encoding(docs: DataFrame, tokenizer_file: str, row_id: str = "doc_id",
     text are recognised. Null text is empty: no ids. Null ids and repeated rows are rows like others, an empty table gives
     none, other columns are ignored. ``tokenizer_file`` is read here and sent to the tasks; a vocabulary has a few MB.
 
-    A chunk is shared if two documents (different id or text) have it. A text is shuffled once, by the hash of its row.
+    A chunk is shared if two rows have it. A text is shuffled once, by the hash of its row.
     """
     spark = small_batches(docs).sparkSession
     with open(tokenizer_file, encoding="utf-8") as opened:
         file = spark.sparkContext.broadcast(opened.read())
     codec(file.value)  # refuses a tokenizer it cannot do
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.xxhash64(row_id, text).alias("key"), F.col(text).alias("text"))
-    uses = settle(rows.select("key", "text").mapInArrow(_hashed(file), "key long, hash binary").distinct())
+    uses = settle(rows.select("key", "text").mapInArrow(_hashed(file), "key long, hash long"))
     shared = uses.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("owner")).filter("n > 1")
     owned = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("own"))  # at most a document's chunks
     # the id is not needed here, but with the same columns both joins share one shuffle of the texts
-    encoded = rows.join(owned, "key").select("id", "own", "text").mapInArrow(_encoded(file), "hash binary, ids binary")
+    encoded = rows.join(owned, "key").select("id", "own", "text").mapInArrow(_encoded(file), "hash long, ids binary")
     known = encoded.groupBy("hash").agg(F.first("ids").alias("ids"))  # rows that are repeated own the same chunks
-    given = uses.join(known, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("known"))
+    # a set, so that rows that are repeated do not add up
+    given = uses.join(known, "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("known"))
     return rows.join(given, "key", "left").select("id", "text", "known").mapInArrow(
         _assembled(file), "doc_id long, n_tokens long, ids binary, decoded string"
     )

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import settle
+from ..operators.ordered import numbered, settle
 from .common import SPACE, WORD, free_name, row_key, slices
 
 WEIGHTS = (5, 2, 1)
@@ -25,34 +25,27 @@ _NAMED = ["unknown", "name"]
 
 
 def sized(docs: DataFrame, row_id: str, text: str, source: str, row: str | None = None) -> DataFrame:
-    """``id, unknown, name, size, key, row``: words of every row, and its hash-random key."""
+    """``id, unknown, name, size, key, row, tag``: words of every row, its hash-random key, and a number of its own.
+
+    The key is the first 60 bits of a digest of id and text, so rows that repeat both share it; the number parts them.
+    """
+    digest = row_key(F.col(row_id).cast("long"), F.col(text))
     return docs.select(
         F.col(row_id).cast("long").alias("id"), F.col(source).isNull().alias("unknown"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        row_key(F.col(row_id).cast("long"), F.col(text)).alias("key"), (F.col(row) if row else F.lit(None).cast("string")).alias("row"),
+        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("key"), (F.col(row) if row else F.lit(None).cast("string")).alias("row"),
+        F.monotonically_increasing_id().alias("tag"),
     )
 
 
-def ranked(sources: DataFrame) -> DataFrame:
-    """``sources`` (``unknown, name, ...``) with ``rank`` from 0: by code point, the unknown one last.
-
-    Sorted by range; a partition's rows are numbered on from the counts of those before it.
-    """
-    within = (1 << 33) - 1
-    ordered = settle(sources.orderBy(*_NAMED).withColumn("place", F.monotonically_increasing_id()))
-    ordered = ordered.withColumns({"part": F.shiftrightunsigned("place", 33), "within": F.col("place").bitwiseAND(F.lit(within))})
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    starts = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return ordered.join(starts, "part").withColumn("rank", F.col("start") + F.col("within")).drop("place", "part", "within", "start")
-
-
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """``unknown, name, source_size, target``: ``share`` of all words dealt out by weight, at most ``epochs`` sizes a source.
 
     What a source cannot take is dealt out again among the others, until no target is above its limit. A round
     brings one row of sums to the driver.
     """
-    sources = ranked(rows.groupBy(*_NAMED).agg(F.sum("size").alias("source_size")))
+    # by code point, the unknown one last
+    sources = numbered(rows.groupBy(*_NAMED).agg(F.sum("size").alias("source_size")), _NAMED, "rank")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     sources = settle(sources.withColumns({"weight": weight, "most": F.col("source_size") * epochs}))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -97,10 +90,10 @@ def mixed(
     rows = settle(sized(docs, row_id, text, source, row))
     shares = targets(rows, weights, share, epochs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, *_NAMED, "key", "row").sortWithinPartitions(*_NAMED, "key", "row")
-    kinds = "id long, unknown boolean, name string, size long, key string, row string, part int"
+    ordered = rows.repartitionByRange(n, *_NAMED, "key", "tag").sortWithinPartitions(*_NAMED, "key", "tag")
+    kinds = "id long, unknown boolean, name string, size long, row string, part int"
     # written once: the stretches' totals and the rows must come from one and the same sort
-    line = settle(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_before, f"{kinds}, before long"))
+    line = settle(ordered.drop("key", "tag").withColumn("part", F.spark_partition_id()).mapInArrow(_before, f"{kinds}, before long"))
     so_far = Window.partitionBy(*_NAMED).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     stretches = line.groupBy(*_NAMED, "part").agg(F.sum("size").alias("words")).select(
         *_NAMED, "part", F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("start")

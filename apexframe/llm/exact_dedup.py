@@ -166,7 +166,9 @@ def build_index(docs: DataFrame, row_id: str = "doc_id", text: str = "text", buc
     table = directory(sizes, bucket_bytes)
     combined = base.select("key", "id", "text").mapInArrow(_combine(table), "bucket int, key long, first long, n long, text string")
     folder = f"{scratch(spark)}/apexframe-index-{uuid.uuid4().hex}"
-    owners = combined.repartition(int(table[-1]) + 1, "bucket").sortWithinPartitions("bucket", "key")
+    # a task per bucket, or several buckets in turn if there are more of them than shuffle partitions
+    tasks = min(int(table[-1]) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = combined.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
     owners.mapInArrow(_own, _ENTRY).write.parquet(folder)
     return spark.read.schema(_ENTRY).parquet(folder), keys.drop("bytes")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import settle
-from .common import WORD, keep_rows, row_key, slices, texts_of
+from .common import WORD, keep_rows, row_key, slices, small_batches, texts_of
 
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, row_id: str = "doc_id", text: str = "text", sh
             fps = np.array([fingerprint(t, shingle) for t in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["row_key"], pa.array(fps)], ["id", "row_key", "fp"])
 
-    rows = docs.select(F.col(row_id).cast("long").alias("id"), row_key(F.col(row_id).cast("long"), F.col(text)).alias("row_key"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(row_id).cast("long").alias("id"), row_key(F.col(row_id).cast("long"), F.col(text)).alias("row_key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, row_key string, fp long")
 
 

@@ -3,7 +3,8 @@
 Calls and results are joined by conversation and identifier. A call may need the results of others; the order respects
 that and otherwise follows the turns. It is found by relabelling, not by collecting conversations: every call starts with
 its own turn as label, a call that needs one with a label not before its own takes that label and one step more, and
-this repeats until no label changes. Where the turns already respect the needs, the first look changes nothing.
+this repeats until no label changes. Where the turns already respect the needs, the first look changes nothing. Cycles are found
+beforehand, among the few calls that can lie on one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import settle
+from ..operators.ordered import scan, settle
 from .common import slices, small_batches
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -85,31 +86,59 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return sorted(out)
 
 
+def cyclic_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """``conv_id, call_id`` of the calls that lie on a cycle of needs, or between two.
+
+    Along a cycle, turns go up by needs of later calls only, so all of it lies within the spans of such needs, from the
+    call to what it needs. The calls outside are left aside at once; of those inside, calls without needs or without
+    dependents among them are peeled off until none is left to peel, which takes as many rounds as the longest chain
+    within touching spans.
+    """
+    turns = calls.select(*_CALL, "turn")
+    both = edges.join(turns, _CALL).join(turns.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn")), ["conv_id", "need"])
+    spans = settle(both.filter("need_turn >= turn").select("conv_id", F.col("turn").alias("low"), F.col("need_turn").alias("high")))
+    if spans.isEmpty():
+        return calls.select(*_CALL).limit(0)
+    # at one turn, spans begin before the calls are looked at and end after that
+    ends = F.array(*(F.struct(F.col(c).alias("at"), F.lit(k).alias("kind"), F.lit(d).cast("long").alias("change")) for c, k, d in (("low", 0, 1), ("high", 2, -1))))
+    marks = spans.select("conv_id", F.lit(None).cast("string").alias("call_id"), F.inline(ends))
+    looked = calls.join(spans.select("conv_id").distinct(), "conv_id", "left_semi").select(
+        *_CALL, F.col("turn").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("change")
+    )
+    open_spans = scan(settle(marks.unionByName(looked)), ["conv_id"], [F.col("at"), F.col("kind")], running={"open": F.col("change")})
+    inside = settle(open_spans.filter("kind = 1 AND open > 0").select(*_CALL))
+    left, n = edges, None
+    while True:
+        left = settle(left.join(inside, _CALL).join(inside.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).select("conv_id", "call_id", "need"))
+        if n == (n := left.count()):
+            return inside
+        inside = settle(left.select(*_CALL).intersect(left.select("conv_id", F.col("need").alias("call_id"))))
+
+
 def ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """``conv_id, call_id, order_turn, order_step, cyclic`` of calls (``conv_id, call_id, turn``, each once).
 
     ``needs`` has ``conv_id, call_id, need``: a call comes after the call it needs; needs that are no calls of the
-    conversation are ignored. Sorting by (order_turn, order_step) is a topological order. A step cannot exceed the
-    number of calls of its conversation that were moved, unless a need leads back to the call itself: such calls, and those
-    that need them, are cyclic and come last.
+    conversation are ignored. Sorting by (order_turn, order_step) is a topological order. Calls on a cycle of needs
+    have no place in one and come last, and needs of such calls, which cannot be met, are ignored, too.
     """
     edges = settle(
         needs.join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select("conv_id", "call_id", "need").distinct()
     )
-    start = F.struct(F.lit(False).alias("cyclic"), F.col("turn").alias("turn"), F.lit(0).cast("long").alias("step"))
-    labels = settle(calls.select(*_CALL, start.alias("label")))
+    cyclic = settle(cyclic_calls(calls, edges))
+    edges = settle(edges.join(cyclic, _CALL, "left_anti").join(cyclic.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"))
+    labels = settle(calls.select(*_CALL, F.struct("turn", F.lit(0).cast("long").alias("step")).alias("label")))
     while True:
-        after = F.struct(F.col("label.cyclic").alias("cyclic"), F.col("label.turn").alias("turn"), (F.col("label.step") + 1).alias("step"))
+        after = F.struct(F.col("label.turn").alias("turn"), (F.col("label.step") + 1).alias("step"))
         pushed = edges.join(labels.select("conv_id", F.col("call_id").alias("need"), "label"), ["conv_id", "need"]).groupBy(*_CALL).agg(F.max(after).alias("pushed"))
-        joined = labels.join(pushed, _CALL, "left")
-        moved = settle(joined.filter("NOT label.cyclic AND pushed > label").select(*_CALL, "pushed"))
+        moved = settle(labels.join(pushed, _CALL).filter("pushed > label").select(*_CALL, "pushed"))
         if moved.isEmpty():
-            return labels.select(*_CALL, F.col("label.turn").alias("order_turn"), F.col("label.step").alias("order_step"), F.col("label.cyclic").alias("cyclic"))
-        new = settle(labels.join(moved, _CALL, "left").select(*_CALL, F.coalesce("pushed", "label").alias("label")))
-        most = new.filter("label.step > 0").groupBy("conv_id").agg(F.count(F.lit(1)).alias("moved"))
-        cyclic = F.col("label.cyclic") | (F.col("label.step") > F.coalesce("moved", F.lit(0)))
-        end = F.struct(F.lit(True).alias("cyclic"), F.lit((1 << 63) - 1).alias("turn"), F.lit(0).cast("long").alias("step"))
-        labels = settle(new.join(most, "conv_id", "left").select(*_CALL, F.when(cyclic, end).otherwise(F.col("label")).alias("label")))
+            break
+        labels = settle(labels.join(moved, _CALL, "left").select(*_CALL, F.coalesce("pushed", "label").alias("label")))
+    last = F.struct(F.lit((1 << 63) - 1).alias("turn"), F.lit(0).cast("long").alias("step"))
+    flagged = labels.join(cyclic.withColumn("cyclic", F.lit(True)), _CALL, "left")
+    placed = F.when(F.col("cyclic"), last).otherwise(F.col("label"))
+    return flagged.select(*_CALL, placed["turn"].alias("order_turn"), placed["step"].alias("order_step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 from collections import defaultdict
 
 import pytest
@@ -13,34 +14,20 @@ GOOD = '{"to": "en", "text": "x"}'
 
 
 def order(calls):
-    """Labels by the definition, one conversation at a time; None for calls on a cycle or behind one."""
+    """Labels by the definition, one conversation at a time; None for calls on a cycle, or between two."""
     turn = {c: t or 0 for c, t, _ in calls}
-    needs = {c: [n for n in ns or [] if n in turn] for c, _, ns in calls}
-    out, state = {}, {}
-
-    def visit(c):
-        if c in out:
-            return out[c]
-        if state.get(c):
-            return None
-        state[c] = True
-        label = (turn[c], 0)
-        for n in needs[c]:
-            before = visit(n)
-            if before is None:
-                label = None
-                break
-            label = max(label, (before[0], before[1] + 1))
-        out[c] = label
-        return label
-
-    # a call on a cycle makes all calls that reach it cyclic: repeat until nothing changes
-    for c in turn:
-        visit(c)
-    bad = {c for c in turn if out[c] is None}
-    while more := {c for c in turn if c not in bad and any(n in bad for n in needs[c])}:
-        bad |= more
-    return {c: None if c in bad else out[c] for c in turn}
+    needs = {c: {n for n in ns or [] if n in turn} for c, _, ns in calls}
+    bad = set(turn)
+    while more := {c for c in bad if not needs[c] & bad or not any(c in needs[d] for d in bad)}:
+        bad -= more
+    out = dict.fromkeys(bad)
+
+    def label(c):
+        if c not in out:
+            out[c] = max([(turn[c], 0), *((t, k + 1) for t, k in (label(n) for n in needs[c] - bad))])
+        return out[c]
+
+    return {c: label(c) for c in turn}
 
 
 def brute(calls, results, schemas):
@@ -115,7 +102,7 @@ def test_edge_rows(spark):
     wanted = [(*r[:-1], r[-1].replace('"limit":3.0', '"limit":3') if r[-1] else None) for r in wanted]
     assert out == sorted(wanted, key=str)
     status = {(r[0], r[1], r[3]): r[7] for r in out}
-    assert [status[2, c, t] for c, t in (("a", 1), ("b", 2), ("c", 3), ("self", 5), ("d", 4))] == ["cycle"] * 4 + ["ok"]
+    assert [status[2, c, t] for c, t in (("a", 1), ("b", 2), ("self", 5), ("c", 3), ("d", 4))] == ["cycle"] * 3 + ["no result", "ok"]
 
 
 def test_order_is_topological(spark):
@@ -128,6 +115,26 @@ def test_long_backward_chain(spark):
     assert run(spark, calls, []) == brute(calls, [], SCHEMAS)
 
 
+def test_random_needs(spark):
+    rng = random.Random(4)
+    calls = []
+    for conv in range(40):
+        n = rng.randint(1, 14)
+        for i in range(n):
+            calls.append((conv, f"c{i}", rng.choice([i, i, rng.randint(0, n)]), "translate", GOOD, [f"c{rng.randint(0, n)}" for _ in range(rng.choice([0, 1, 1, 2]))]))
+    out = run(spark, calls, [])
+    assert out == brute(calls, [], SCHEMAS) and {"cycle", "no result"} == {r[7] for r in out}
+
+
+def test_long_conversation_behind_a_cycle(spark, monkeypatch):
+    """What follows a cycle is not looked at round by round."""
+    settled = []
+    monkeypatch.setattr(T, "settle", lambda df, real=T.settle: settled.append(1) or real(df))
+    calls = [(1, f"c{i}", i, "translate", GOOD, [f"c{i - 1}"] + (["c1"] if i == 0 else [])) for i in range(60)]
+    assert run(spark, calls, []) == brute(calls, [], SCHEMAS)
+    assert len(settled) < 25
+
+
 def test_whole_table_and_empty_tables(spark):
     conversations = spark.read.parquet(f"{FOLDER}/conversations.parquet")
     calls, results = derived_calls(conversations)

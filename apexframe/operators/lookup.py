@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,22 +136,32 @@ def resolve_names(
     by pieces of the texts (``_contained``), against one row per text. ``scope`` columns must agree on both sides
     (a season, say).
     """
-    best = None
-    for tier, kind, l_text, r_text, pick in [(r.tier, r.kind, r.left, r.right, r.pick) for r in rules]:
-        rank = F.col(ordinal).cast("long") if pick == "first" else -F.col(ordinal).cast("long")
-        row = F.struct(F.lit(tier).alias("tier"), rank.alias("rank"), *columns)
-        named = F.col("_text").isNotNull()
-        offered = right.select(*scope, r_text.alias("_text"), row.alias("_row")).filter(named).groupBy(*scope, "_text").agg(F.min("_row").alias("_row"))
-        asked = left.select(*dict.fromkeys([*left_key, *scope]), l_text.alias("_text")).filter(named)
-        if kind == "equal":
-            hits = asked.join(offered, [*scope, "_text"])
-        else:
-            ours, theirs = asked.select(*scope, "_text").distinct(), offered.select(*scope, "_text")
-            names = {"_small": "_text", "_large": "_other"} if kind == "left_in_right" else {"_small": "_other", "_large": "_text"}
-            pairs = (_contained(ours, theirs, scope) if kind == "left_in_right" else _contained(theirs, ours, scope)).withColumnsRenamed(names)
-            hits = asked.join(pairs, [*scope, "_text"]).join(offered.withColumnRenamed("_text", "_other"), [*scope, "_other"])
-        hits = hits.select(*left_key, "_row")
-        best = hits if best is None else best.unionByName(hits)
+    key = [*scope, "_rule"]
+    asked, offered = [], []
+    for i, rule in enumerate(rules):
+        rank = F.col(ordinal).cast("long") if rule.pick == "first" else -F.col(ordinal).cast("long")
+        row = F.struct(F.lit(rule.tier).alias("tier"), rank.alias("rank"), *columns)
+        asked.append(left.select(*dict.fromkeys([*left_key, *scope]), F.lit(i).alias("_rule"), rule.left.alias("_text")))
+        offered.append(right.select(*scope, F.lit(i).alias("_rule"), rule.right.alias("_text"), row.alias("_row")))
+    # all rules at once, each within its number
+    wanted = reduce(DataFrame.unionByName, asked).filter(F.col("_text").isNotNull())
+    named = reduce(DataFrame.unionByName, offered).filter(F.col("_text").isNotNull())
+    named = named.groupBy(*key, "_text").agg(F.min("_row").alias("_row"))
+
+    def of(*kinds: str) -> Column:
+        return F.col("_rule").isin([i for i, rule in enumerate(rules) if rule.kind in kinds])
+
+    best = wanted.filter(of("equal")).join(named, [*key, "_text"]).select(*left_key, "_row")
+    if any(rule.kind != "equal" for rule in rules):
+        ours, theirs, inside = wanted.select(*key, "_text").distinct(), named.select(*key, "_text"), of("left_in_right")
+        small = ours.filter(inside).unionByName(theirs.filter(of("right_in_left")))
+        large = theirs.filter(inside).unionByName(ours.filter(of("right_in_left")))
+        pairs = _contained(small, large, key).select(
+            *key, F.when(inside, F.col("_small")).otherwise(F.col("_large")).alias("_text"),
+            F.when(inside, F.col("_large")).otherwise(F.col("_small")).alias("_other"),
+        )
+        found = wanted.join(pairs, [*key, "_text"]).join(named.withColumnRenamed("_text", "_other"), [*key, "_other"])
+        best = best.unionByName(found.select(*left_key, "_row"))
     chosen = best.groupBy(*left_key).agg(F.min("_row").alias("_row"))
     return left.join(chosen, list(left_key), "left").select(
         *left.columns,

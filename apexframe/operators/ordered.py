@@ -144,12 +144,61 @@ def _bucketed(df: DataFrame, name: str, cuts: Sequence[float], out: str) -> Data
     return Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol=name, outputCol=out).transform(df)
 
 
+def _mixed(rows: DataFrame, heavy: Sequence[float]) -> list[float]:
+    """Those of ``heavy``, values of ``_o1``, that stand for several values of ``_x``.
+
+    A text is known by its first bytes only, and a double holds no long integer or decimal exactly.
+    """
+    kind = rows.schema["_x"].dataType
+    if not isinstance(kind, (T.StringType, T.DecimalType)):
+        heavy = [v for v in heavy if abs(v) >= 2.0**53]
+    if not heavy:
+        return []
+    one = F.col("low").eqNullSafe(F.col("high")) & F.col("known").isin(0, F.col("all"))
+    found = rows.filter(F.col("_o1").isin(*heavy)).groupBy("_o1").agg(
+        F.min("_x").alias("low"), F.max("_x").alias("high"), F.count("_x").alias("known"), F.count(F.lit(1)).alias("all")
+    )
+    return sorted(r[0] for r in found.filter(~one).select("_o1").collect())
+
+
+def _exact_cuts(rows: DataFrame, n: int) -> list[tuple[object, bool]]:
+    """Borders along ``_x`` by its own order, with whether only one value lies from a border to the next.
+
+    Equal values are counted first, so a frequent one is a single row here. There are at most ``2 * n`` borders, or so:
+    one per ``n``-th of the rows, and those before and after a value that fills as much alone.
+    """
+    counted = settle(rows.filter("_x IS NOT NULL").groupBy("_x").agg(F.count(F.lit(1)).alias("_w")))
+    part = F.shiftrightunsigned("_place", 33).alias("_part")
+    placed = settle(counted.orderBy("_x").withColumn("_place", F.monotonically_increasing_id())).select("*", part)
+    sums = placed.groupBy("_part").agg(F.sum("_w").alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    size = max(1, (placed.agg(F.sum("_w")).first()[0] or 0) // n)
+    inside = Window.partitionBy("_part").orderBy("_place")
+    upto = F.col("_start") + F.sum("_w").over(inside)
+    alone = F.col("_w") >= size
+    numbers = placed.join(starts, "_part").withColumns({"_q": F.floor((upto - F.col("_w")) / size), "_alone": alone})
+    new = (F.lag("_q").over(inside).isNull() | (F.lag("_q").over(inside) != F.col("_q")) | F.lag("_alone").over(inside) | F.col("_alone"))
+    return [(r[0], r[1]) for r in numbers.withColumn("_new", new).filter("_new").orderBy("_place").select("_x", "_alone").collect()]
+
+
+def _reached(x: Column, borders: Sequence[object], passed: int = 0) -> Column:
+    """How many of the sorted ``borders`` are not above ``x``, by halving."""
+    if not borders:
+        return F.lit(passed)
+    half = len(borders) // 2
+    return F.when(x < F.lit(borders[half]), _reached(x, borders[:half], passed)).otherwise(
+        _reached(x, borders[half + 1 :], passed + half + 1)
+    )
+
+
 def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
     """Add ``_c1, _c2``: chunk numbers that never decrease along ``order``.
 
-    Cuts are quantiles of the first order column, a list of at most ``n`` numbers. A single value that
-    fills several quantiles is a tie too big for one chunk; its rows are cut again at the quantiles of
-    the second order column, or of a hash of the row if there is no second one and any order will do.
+    Cuts are quantiles of the first order column, a list of at most ``n`` numbers. A number that fills several
+    quantiles and stands for different values (texts that begin alike, integers that a double rounds) is cut again by
+    those values. A single value that fills several quantiles is a tie too big for one chunk; its rows are cut again at
+    the quantiles of the second order column, or of a hash of the row if there is no second one and any order will do.
     The cut lists only place the chunk borders, results do not depend on them.
     """
     n = n or default_chunks(df)
@@ -168,12 +217,25 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
         borders = [_LOW, *sorted({c for c in cuts if c > _LOW})]
         starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders) if v in heavy])
         c1 = c1 + F.when(starts_heavy & ~is_heavy, 1).otherwise(0)
+        is_tie, exact = is_heavy, order[0]
+        if isinstance(df.select(exact.alias("x")).schema[0].dataType, (T.TimestampType, T.TimestampNTZType)):
+            exact = F.unix_micros(exact.cast("timestamp"))
+        mixed = _mixed(shaped.select("_o1", exact.alias("_x")), heavy)
+        if mixed:
+            is_mixed = F.col("_o1").isin(*mixed)
+            cuts = _exact_cuts(shaped.filter(is_mixed).select(exact.alias("_x")), n)
+            # place 0 is for nulls only
+            place = F.when(is_mixed & exact.isNotNull(), _reached(exact, [c for c, _ in cuts])).otherwise(0)
+            shaped = shaped.withColumn("_t1", place)
+            c1 = c1 * (len(cuts) + 1) + F.col("_t1")
+            is_tie = is_heavy & (~is_mixed | F.col("_t1").isin(0, *[i for i, (_, alone) in enumerate(cuts, 1) if alone]))
+            drop.append("_t1")
         plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
         second = order_value(df, order[1]) if len(order) > 1 else F.xxhash64(*plain).cast("double")
         if second is not None:
             shaped = shaped.withColumn("_o2", second)
-            shaped = _bucketed(shaped, "_o2", _cuts(shaped.filter(is_heavy).select("_o2"), "_o2", n), "_b2")
-            c2 = F.when(is_heavy, F.col("_b2")).otherwise(0.0)
+            shaped = _bucketed(shaped, "_o2", _cuts(shaped.filter(is_tie).select("_o2"), "_o2", n), "_b2")
+            c2 = F.when(is_tie, F.col("_b2")).otherwise(0.0)
             drop += ["_o2", "_b2"]
     return shaped.withColumns({"_c1": c1.cast("int"), "_c2": c2.cast("int")}).drop(*drop)
 

@@ -62,6 +62,25 @@ def test_chunks_split_ties_without_a_second_column(spark):
     assert sorted(r.n for r in got) == list(range(1, 6001)) and max(r.n for r in got if r.o == 0) == 3000
 
 
+@pytest.mark.parametrize("second", [True, False])
+def test_chunks_keep_the_order_of_values_that_begin_alike(spark, second):
+    number = F.col("id") * 7919 % 6000
+    long_text = F.concat(F.lit("https://example.com/a/long/path/"), F.lpad(number.cast("string"), 6, "0"))
+    texts = F.when(F.col("id") % 3 == 0, F.lit("Supplier#1")).when(F.col("id") % 50 == 1, None).when(F.col("id") % 7 == 2, F.lit("Supplier")).otherwise(long_text)
+    for order in (texts, F.lit(1 << 60) + number % 3000, (F.lit("1e22").cast("decimal(38,2)") + number).cast("decimal(38,2)")):
+        rows = spark.range(6000).select(F.lit("hot").alias("k"), order.alias("o"), (-F.col("id")).alias("id"))
+        by = [F.col("o"), F.col("id")][: 1 + second]
+        sizes = W.chunk(rows, by, 30).groupBy("_c1", "_c2").count()
+        assert sizes.agg(F.max("count")).first()[0] < 3 * 6000 / 30
+        got = W.scan(rows, ["k"], by, number="n", last_before={"b": F.col("o")}, chunks=30).collect()
+        assert sorted(r.n for r in got) == list(range(1, 6001))
+        in_order = [r.o for r in sorted(got, key=lambda r: r.n)]
+        assert in_order == sorted((r.o for r in got), key=lambda o: (o is not None, o or 0))
+        if second:
+            expected = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o", "id"))).select("id", "n").collect()
+            assert {(r.id, r.n) for r in got} == set(map(tuple, expected))
+
+
 def test_scratch_is_deleted_with_its_scope(spark):
     import os
 

@@ -4,15 +4,42 @@ Texts that differ in case, punctuation, layout, copyright lines or equivalent sp
 digest is joined to the digests of known texts: licences and the notices that stand for them. Whole documents are
 looked up, and every line by itself, as a notice is often a line of a longer text. Nothing is searched within a unit: a
 unit matches if all of it is a known text.
+
+The full texts of licences are in ``license_texts``. As a layout may put any word at the start of a line, whole documents
+are looked up a second time in a form that leaves out only lines that name a holder.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Lines that name the holder, not the licence.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Lines and phrases that name a holder: one with a sign, a year or a place for it, the foundation of the GNU
+# licences, and the examples in them.
+HOLDER_LINE = (
+    r"(?m)^[ \t/*#;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|[<\[{])|\(c\)[ \t]*(copyright|[0-9]{4}|[<\[{])|©|all rights reserved[.]?[ \t]*$)[^\n]*$"
+)
+HOLDER_PHRASE = (
+    r"copyright\s+\(c\)\s+((<year>|19yy|19xx|year)\s+(<?name\s+of\s+author>?|your\s+name[.]?)|_+"
+    r"|[0-9]{4}[0-9,\s-]*free\s+software\s+foundation,\s+inc[.]?,?([\s*/#;]+<https?://(www[.])?fsf[.]org/?>)?([\s*/#;]+(51\s+franklin|59\s+temple|675\s+mass)[\s\S]{0,120}?usa)?)"
+)
+# Titles that stand before short licences, besides their identifier and the word license.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "ISC": ["The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "The 3-Clause BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
 # Spellings that licence texts treat as equal.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "analogue": "analog",
@@ -63,24 +90,70 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFram
     return spark.range(1).select(rows).groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def words(text: Column) -> Column:
+    """The words of a text in one spelling, but for those that name a holder, whatever the layout."""
+    out = F.regexp_replace(F.lower(text), HOLDER_PHRASE, " ")
+    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(out, HOLDER_LINE, ""), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    for other, one in SPELLINGS.items():
+        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
+    return F.trim(out)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of all shipped licences: with and without their titles and the appendix on how to apply them."""
+    out = []
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, text = file.name.removesuffix(".txt").split("~")[0], file.read_text(encoding="utf-8").strip("\n\f")
+        out.append((name, text))
+        if name in TITLES:
+            out += [(name, f"{title}\n\n{text}") for title in [*TITLES[name], name, f"{name} License"]]
+            continue
+        parts = re.split(r"(?i)(end of terms and conditions)", text)
+        heads = [text, *(["".join(parts[:2]), parts[0]] if len(parts) == 3 else [])]
+        out += [(name, h) for h in heads[1:]] + [(name, re.sub(r"\A.*?\n[ \t]*\n", "", h, flags=re.S)) for h in heads]
+    return out
+
+
+def full_digests() -> list[tuple[str, str]]:
+    """(licence, digest) of the shipped texts in the form of ``words``; a text on one line has it as its canonical form too."""
+    found = {}
+    for name, text in full_texts():
+        out = re.sub(HOLDER_LINE, "", re.sub(HOLDER_PHRASE, " ", text.lower()))
+        plain = "  ".join(SPELLINGS.get(w, w) for w in re.split(r"[\W_]+", out) if w)
+        found.setdefault(hashlib.sha256(plain.encode()).hexdigest(), name)
+    return sorted((name, d) for d, name in found.items())
+
+
 def licenses(docs: DataFrame, row_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, digest`` of the whole text, ``license`` (null if it is no known text),
     ``n_notices`` (lines that are known texts) and ``notices`` (their licences, sorted, each once, joined by commas).
 
     Null text is empty; an empty or blank text or line is no known text. Null ids and repeated rows are rows like others,
-    other columns are ignored, an empty table gives none. ``texts`` are known texts as (licence, text), a fixed list.
+    other columns are ignored, an empty table gives none. ``texts`` are known texts as (licence, text), a fixed list;
+    without it, ``TEXTS`` and the full texts of ``license_texts``.
     """
     known = known_digests(docs.sparkSession, texts or TEXTS)
+    if not texts:
+        full = F.inline(F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(name).alias("license")) for name, d in full_digests())))
+        both = known.unionByName(docs.sparkSession.range(1).select(full))
+        known = both.groupBy("digest").agg(F.min("license").alias("license"))
     content = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.split(content, "\n"), lambda line: F.struct(F.lit(False).alias("whole"), line.alias("unit")))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), content.alias("unit")))
+    unit = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("unit"))
+    lines = F.transform(F.split(content, "\n"), lambda line: unit("line", line))
+    whole = F.array(unit("whole", content))
+    if not texts:
+        # all shipped texts speak of licences or of who is liable, other documents need no second look
+        again = F.when(F.lower(content).rlike("licen|liab"), F.array(unit("whole", content), unit("words", content)))
+        whole = F.coalesce(again, whole)
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(whole, lines).alias("units"))
-    units = rows.select("doc_id", "row", F.inline("units")).select("doc_id", "row", "whole", digest(F.col("unit")).alias("digest"))
-    line = ~F.col("whole") & F.col("license").isNotNull()
+    form = F.when(F.col("kind") == "words", F.sha2(words(F.col("unit")), 256)).otherwise(digest(F.col("unit")))
+    units = rows.select("doc_id", "row", F.inline("units")).select("doc_id", "row", "kind", form.alias("digest"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    line = (F.col("kind") == "line") & F.col("license").isNotNull()
     # all units of a row are in one task, so they are combined to one row before the shuffle
     return units.join(known, "digest", "left").groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
-        F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
+        of("whole", "digest").alias("digest"),
+        F.coalesce(of("whole", "license"), of("words", "license")).alias("license"),
         F.sum(line.cast("long")).alias("n_notices"),
         F.collect_set(F.when(line, F.col("license"))).alias("found"),
     ).select("doc_id", "digest", "license", "n_notices", F.array_join(F.array_sort("found"), ",").alias("notices"))

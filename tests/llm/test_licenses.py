@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,31 @@ def test_no_python_in_the_plan(make):
 def test_digest_is_one_expression(spark):
     a, b = spark.range(1).select(L.digest(F.lit("A Licence, v 2")), L.digest(F.lit("a license version-2"))).first()
     assert a == b
+
+
+def wrapped(text, width):
+    """Paragraphs filled to a width; 0 keeps the text, None puts a paragraph on one line."""
+    if width == 0:
+        return text
+    return "\n\n".join(textwrap.fill(p, width or 10**9, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n[ \t]*\n", text))
+
+
+def test_full_licences_in_several_layouts(make):
+    rows, wanted = [], []
+    assert all(re.search("licen|liab", text.lower()) for _, text in L.full_texts())
+    for name, text in L.full_texts():
+        titled = f"{name} License\n\nCopyright (c) 2019, Some Body <a@b.c>\n\nAll rights reserved.\n\n{text}" if name in L.TITLES and not any(text.startswith(t + "\n") for t in [*L.TITLES[name], name, f"{name} License"]) else text
+        for layout in {wrapped(t, w) for t in (text, titled) for w in (0, None, 55, 72, 79)} | {"\n".join(" * " + x for x in text.split("\n")), text.upper()}:
+            rows.append((len(rows), layout))
+            wanted.append(name)
+    got = {r.doc_id: r.license for r in L.licenses(make(rows)).collect()}
+    assert [(w, got[i], rows[i][1][:200]) for i, w in enumerate(wanted) if got[i] != w] == []
+
+
+def test_filled_in_and_changed_licences(make):
+    texts = dict(reversed(L.full_texts()))
+    apache, isc, bsd = texts["Apache-2.0"], texts["ISC"], texts["BSD-3-Clause"]
+    rows = [(1, apache.replace("[yyyy] [name of copyright owner]", "2019 Some Body")), (2, "ISC License\n\nCopyright 2020 Me\n\n" + isc), (3, apache[:-200]), (4, "MIT License\n\n" + isc),
+            (5, bsd + "\nNo use on Sundays."), (6, bsd.replace("Neither", "Either")), (7, "see\n" + " ".join(isc.split("\n")[2:]) + "\nend")]
+    got = {r.doc_id: r for r in L.licenses(make(rows)).collect()}
+    assert [got[i].license for i in range(1, 8)] == ["Apache-2.0", "ISC", None, None, None, None, None] and (got[7].n_notices, got[7].notices) == (1, "ISC")

@@ -31,13 +31,24 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\x20-\x7E\s])++)-----END \1-----")
+#: Ends of lines, also written as escapes, and what stands around them where lines are quoted or commented out.
+_BREAK = re.compile(r"(?:\\+r)?\\+n|\r?\n")
+_JOINT = re.compile(r"""["']?[,+]?[\x20\t]*(?:(?:\\+r)?\\+n|\r?\n)[\x20\t>#*|"']{0,40}""")
+_MARGIN = "\x20\t\r>#*|\"',\\"
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+_CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])")
+#: The first line of a key in base64: a DER sequence, or the mark of the OpenSSH form.
+_FIRST = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{14,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 
 #: Bytes of a signature by method; the RSA methods have the length of their key, 128 bytes at least.
 SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 RSA_METHODS = ("RS256", "RS384", "RS512", "PS256", "PS384", "PS512")
 MAGIC = b"openssh-key-v1\0"
+#: Where the identifiers of password-based encryption begin (PKCS 5 and PKCS 12).
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def decoded(candidate: str) -> bytes | None:
@@ -75,11 +86,15 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: RSA or DSA numbers, an elliptic curve key, or a wrapped key of any algorithm, nested lengths checked."""
+    """A private key: RSA or DSA numbers, an elliptic curve key, or a wrapped or encrypted key, nested lengths checked."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     items = der_items(outer[0][1])
+    if items and [tag for tag, _ in items] == [0x30, 0x04]:
+        method = der_items(items[0][1])
+        named = bool(method) and [tag for tag, _ in method] == [0x06, 0x30] and method[0][1].startswith(ENCRYPTIONS)
+        return named and bool(der_items(method[1][1])) and len(items[1][1]) >= 16
     if not items or items[0][0] != 0x02 or len(items[0][1]) != 1:
         return False
     version, tags = items[0][1][0], [tag for tag, _ in items]
@@ -129,6 +144,65 @@ def is_signed_token(candidate: str) -> bool:
     return method in RSA_METHODS and len(signature) >= 128 or isinstance(method, str) and SIGNATURES.get(method) == len(signature)
 
 
+def key_kind(data: bytes | None) -> int | None:
+    return None if not data else 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
+
+
+def armoured_kind(body: str) -> int | None:
+    """The kind of key in an armoured block, whose lines may end in escapes, be quoted, and follow headers.
+
+    If headers say that it is encrypted, its bytes are whole blocks of the cipher whose first block they give.
+    """
+    lines = [line.strip(_MARGIN) for line in _BREAK.split(body)]
+    headers = 0
+    while headers < len(lines) and (not lines[headers] or _HEADER.match(lines[headers])):
+        headers += 1
+    if headers and any(lines[:headers]) and "" in lines[headers:-1]:
+        headers += lines[headers:].index("")  # what is left of the last header
+    data = decoded("".join("".join(lines[headers:]).split()))
+    head = "\n".join(lines[:headers])
+    cipher = _CIPHER.search(head) if "ENCRYPTED" in head else None
+    if cipher and data and len(data) % (len(cipher[1]) // 2) == 0:
+        return 3
+    return key_kind(data)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of keys in lines of base64 of one length, the last of which may be shorter, without armour."""
+    at = 0
+    while m := _FIRST.search(text, at):
+        at, width = m.end(), len(m[0])
+        head = decoded(m[0][:16]) or b""
+        if not head.startswith(MAGIC[:9]):
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            # a sequence begins with a number or another sequence
+            if n > 4 or head[2 + n] not in (0x02, 0x30):
+                continue
+            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+            if size <= width * 3 // 4:
+                continue  # it would end on its first line
+            most = (size * 4 + 2) // 3
+        else:
+            most = len(text)
+        ends, letters, pieces, end = [], width, [m[0]], m.end()
+        while letters < most and (joint := _JOINT.match(text, end)) and (run := _RUN.match(text, joint.end())):
+            piece = run[0].rstrip("=")
+            if len(piece) > width:
+                break
+            pieces.append(piece)
+            letters += len(piece)
+            end = run.end()
+            ends.append((len(pieces), end))
+            if len(piece) < width or run[0] != piece:
+                break
+        # what follows the last line may look like a shorter one
+        for n, end in ends[:-3:-1]:
+            if kind := key_kind(decoded("".join(pieces[:n]))):
+                yield m.start(), kind, end
+                at = end
+                break
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end) of all secrets, in order; places are code points."""
     found = []
@@ -140,18 +214,20 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     armoured = []
     if "-----BEGIN" in text:
         for m in _ARMOUR.finditer(text):
-            data = decoded("".join(m[2].split())) or b""
-            if is_der_key(data) or is_ssh_key(data):
+            if kind := armoured_kind(m[2]):
                 armoured.append((m.start(), m.end()))
-                found.append((m.start(), 3 if is_der_key(data) else 4, m.end()))
+                found.append((m.start(), kind, m.end()))
+    for start, kind, end in wrapped_keys(text):
+        if not any(a <= start < b for a, b in armoured):
+            armoured.append((start, end))
+            found.append((start, kind, end))
     for m in _BASE64.finditer(text):
-        data = decoded(m[0]) or b""
-        kind = 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
+        kind = key_kind(decoded(m[0]))
         if kind and not any(a <= m.start() < b for a, b in armoured):
             found.append((m.start(), kind, m.end()))
     for m in _ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), 3, m.end()))
+        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
+            found.append((m.start(), kind, m.end()))
     if "." in text:
         found += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     return sorted(found)

@@ -88,3 +88,53 @@ def test_edge_rows_and_whole_table(make, spark):
 
 def test_empty_table(make):
     assert S.summary(S.secrets(make([]))).count() == 0
+
+
+def armour(label, body):
+    return f"-----BEGIN {label}-----{body}-----END {label}-----"
+
+
+def lines_of(data, width=64):
+    return re.findall(f".{{1,{width}}}", b64(data))
+
+
+PBES = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(0x30, tlv(4, b"salt" * 2))))) + tlv(4, b"c" * 640))
+DIGEST = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(5, b"")) + tlv(4, b"h" * 32))
+
+
+def test_armour_with_escaped_line_ends():
+    for end in ("\\n", "\\r\\n", "\\\\n"):
+        for label, data, kind in (("PRIVATE KEY", WRAPPED, "der"), ("OPENSSH PRIVATE KEY", SSH, "ssh")):
+            block = armour(label, end + end.join(lines_of(data)) + end)
+            assert kinds('{"private_key": "' + block + end + '", "a": 1}') == [(kind, block)]
+
+
+def test_armour_with_headers():
+    heads = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for end in ("\n", "\r\n", "\\n"):
+        block = armour("RSA PRIVATE KEY", (heads + "\n".join(lines_of(b"\x9f" * 640)) + "\n").replace("\n", end))
+        assert kinds("x " + block) == [("der", block)]
+    odd = armour("RSA PRIVATE KEY", heads + "\n".join(lines_of(b"\x9f" * 641)) + "\n")
+    plain = armour("RSA PRIVATE KEY", "\nComment: mine\n\n" + "\n".join(lines_of(RSA)) + "\n")
+    assert kinds(odd) == [] and kinds(plain) == [("der", plain)]
+    assert kinds(armour("RSA PRIVATE KEY", "\nthe key goes here, see the notes\n")) == []
+
+
+def test_encrypted_keys():
+    block = armour("ENCRYPTED PRIVATE KEY", "\n" + "\n".join(lines_of(PBES)) + "\n")
+    assert kinds(block) == [("der", block)] and kinds(b64(PBES)) == [("der", b64(PBES))]
+    assert kinds(b64(DIGEST)) == kinds(b64(PBES[:-1])) == []
+
+
+def test_wrapped_base64_without_armour():
+    for data, kind in ((RSA, "der"), (WRAPPED, "der"), (PBES, "der"), (SSH, "ssh")):
+        for width in (64, 76):
+            for joint in ("\n", "\r\n", "\\n", "\n  > "):
+                wrapped = joint.join(lines_of(data, width))
+                for before, after in (("", ""), ("key:\n", "\nand more text"), ("the key" + joint, joint + "word")):
+                    assert kinds(before + wrapped + after) == [(kind, wrapped)], (kind, width, joint, before)
+    assert kinds("\n".join(lines_of(PUBLIC * 9))) == kinds("\n".join(lines_of(RSA[:-1]))) == []
+
+
+def test_openssh_keys_in_hexadecimal():
+    assert kinds("x " + SSH.hex() + " y") == [("ssh", SSH.hex())] and kinds(SSH.hex().upper()) == [("ssh", SSH.hex().upper())]

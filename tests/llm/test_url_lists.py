@@ -81,3 +81,29 @@ def test_no_python_in_the_plan(spark):
     c = spark.createDataFrame([(1, URLS[0], at(12))], CAPTURE)
     plan = U.judged(c, spark.createDataFrame(ENTRIES, ENTRY))._jdf.queryExecution().executedPlan().toString()
     assert "MapIn" not in plan and "ArrowEval" not in plan and "BatchEval" not in plan
+
+
+def brute_resumed(captures, entries):
+    out = []
+    for page, url, t in captures:
+        best = None
+        for key in keys(url) if t is not None else []:
+            active = [(listed, U.ACTIONS.index(action)) for k, action, listed, expires in entries
+                      if k == key and action in U.ACTIONS and listed is not None and listed <= t and (expires is None or t < expires)]
+            if active and max(active)[1]:
+                best = (U.ACTIONS[max(active)[1]], key, us(max(active)[0]))
+                break
+        out.append((page, us(t), *(best or ("none", None, None))))
+    return sorted(out, key=str)
+
+
+def test_earlier_entries_resume(spark):
+    rng = random.Random(3)
+    entries = ENTRIES + [("domain:long.org", "block", at(0), at(1000)), ("domain:long.org", "allow", at(100), at(110)), ("domain:long.org", "remove", at(200), at(201))]
+    entries += [(rng.choice(["domain:hot.net", "domain:x.hot.net"]), rng.choice(U.ACTIONS), at(a := rng.randint(0, 500)), at(rng.choice([a + rng.randint(-1, 60), None if a > 400 else a + 1]))) for _ in range(200)]
+    captures = [(i, rng.choice(["http://hot.net/a", "http://x.hot.net/b", *URLS]), at(rng.randint(0, 500))) for i in range(2000)]
+    captures += [(10_000 + h, "http://long.org", at(h)) for h in (50, 105, 110, 200, 300, 1000)]
+    c = spark.createDataFrame(captures, CAPTURE)
+    got = sorted(map(tuple, U.judged(c, spark.createDataFrame(entries, ENTRY), resume=True).collect()), key=str)
+    assert got == brute_resumed(captures, entries)
+    assert [r[2] for r in sorted(got) if r[0] >= 10_000] == ["block", "allow", "block", "none", "block", "none"]

@@ -53,11 +53,45 @@ def parsed(text: str | None):
     return json.loads(text or "", object_pairs_hook=unique, parse_constant=refuse)
 
 
+#: Keywords of a schema that ``violations`` evaluates, and those that say nothing about a value.
+EVALUATED = {
+    "type", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "properties", "required", "additionalProperties", "items",
+}
+ANNOTATIONS = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly"}
+
+
+def refuse_unknown(schema, at: str = "$") -> None:
+    """ValueError for a schema with a keyword, type or form that ``violations`` does not evaluate."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object")
+    if odd := sorted(set(schema) - EVALUATED - ANNOTATIONS):
+        raise ValueError(f"{at}: keywords that are not evaluated: {', '.join(odd)}")
+    kinds = schema.get("type", [])
+    if odd := [k for k in (kinds if isinstance(kinds, list) else [kinds]) if k not in {*_TYPES, "number", "integer"}]:
+        raise ValueError(f"{at}: unknown types: {odd}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        refuse_unknown(schema["additionalProperties"], f"{at}.*")
+    for k, inner in schema.get("properties", {}).items():
+        refuse_unknown(inner, f"{at}.{k}")
+    if "items" in schema:
+        refuse_unknown(schema["items"], f"{at}[]")
+
+
+def same(value, other) -> bool:
+    """Equal as JSON: 1 is 1.0, but not true."""
+    try:
+        return canonical(value) == canonical(other)
+    except ValueError:
+        return False
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of a JSON schema a value violates: type, enum, bounds, lengths, required and further properties, items."""
+    """What of a JSON schema a value violates: type, enum, const, bounds, lengths, required and further properties, items."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "number":
+    if isinstance(kind, list):
+        fits = any(not violations(value, {"type": k}) for k in kind)
+    elif kind == "number":
         fits = number
     elif kind == "integer":
         fits = number and float(value).is_integer()
@@ -68,6 +102,8 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: enum")
+    if "const" in schema and not same(value, schema["const"]):
+        out.append(f"{at}: const")
     if number and (value < schema.get("minimum", value) or value > schema.get("maximum", value)):
         out.append(f"{at}: bounds")
     if isinstance(value, (str, list)) and not schema.get("minLength", schema.get("minItems", 0)) <= len(value) <= schema.get("maxLength", schema.get("maxItems", len(value))):
@@ -77,6 +113,9 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         if schema.get("additionalProperties") is False:
             out += [f"{at}.{k}: unknown" for k in value if k not in known]
+        elif isinstance(schema.get("additionalProperties"), dict):
+            for k in value.keys() - known.keys():
+                out += violations(value[k], schema["additionalProperties"], f"{at}.{k}")
         for k in known:
             if k in value:
                 out += violations(value[k], known[k], f"{at}.{k}")
@@ -145,7 +184,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     """One row per call and one per result without a call.
 
     ``calls``: ``conv_id, call_id, turn, name, arguments`` (JSON text), ``needs`` (array of call ids).
-    ``results``: ``conv_id, call_id, turn, content``. ``schemas``: a JSON schema per tool, a fixed setting.
+    ``results``: ``conv_id, call_id, turn, content``. ``schemas``: a JSON schema per tool, a fixed setting;
+    one with a keyword that is not evaluated is a ValueError.
 
     Columns ``conv_id, call_id, name, call_turn, result_turn, order_turn, order_step, status, errors, json``. Status:
     ``ok``, ``no result``, ``early result`` (before its call), ``invalid`` (unknown tool, arguments that are no JSON
@@ -156,6 +196,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     Conversations and identifiers may be null: such rows are ``orphan`` or ``no result``, linked to nothing. Other
     columns are ignored; empty tables give no rows.
     """
+    for name, schema in schemas.items():
+        refuse_unknown(schema, name)
     small_batches(calls)
     tag = F.monotonically_increasing_id().alias("tag")
     calls = settle(calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), tag))

@@ -157,3 +157,17 @@ def test_canonical(text, out):
     for bad in ('{"a":1,"a":2}', "NaN", "", "{", "[1,]"):
         with pytest.raises(ValueError):
             T.parsed(bad)
+
+
+@pytest.mark.parametrize("inner", [{"pattern": "^a"}, {"anyOf": [{}]}, {"$ref": "#/x"}, {"multipleOf": 2}, {"type": "text"}, {"type": ["string", "text"]}, {"items": {"uniqueItems": True}}, True])
+def test_schemas_that_are_not_evaluated_in_full_are_refused(inner):
+    with pytest.raises(ValueError):
+        T.linked(None, None, {"t": {"type": "object", "properties": {"a": inner}}})
+
+
+def test_more_keywords():
+    several = {"type": ["string", "null"], "description": "any"}
+    T.refuse_unknown({"type": "object", "properties": {"a": several}, "additionalProperties": {"type": "integer"}})
+    assert T.violations(None, several) == T.violations("x", several) == [] and T.violations(1, several) == ["$: type"]
+    assert T.violations(1.0, {"const": 1}) == [] and T.violations(True, {"const": 1}) == T.violations(float("inf"), {"const": 1}) == ["$: const"]
+    assert T.violations({"a": 1, "b": "x"}, {"properties": {}, "additionalProperties": {"type": "integer"}}) == ["$.b: type"]

@@ -40,4 +40,4 @@ def test_query(spark, database, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_numbered(name):
-    assert name.split("_")[0] in {f"op{n}" for n in range(1, 11)}
+    assert name.split("_")[0] in {f"op{n}" for n in range(1, 14)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, tool_calls, url_lists, warc
+from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, suffix_arrays, tool_calls, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,21 @@ def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query("op10_tool_calls", "conversations")
 def _(conversations):
     return tool_calls.linked(*derived_calls(conversations), SCHEMAS)
+
+
+@query("op12_suffix_array_decontamination", "documents benchmark", r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, fold),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, fold),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (
+  SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+found AS (SELECT * FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)) WHERE g IN (SELECT g FROM windows)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM found) GROUP BY r),
+names AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found JOIN windows USING (g) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
+""")
+def _(documents, benchmark):
+    return suffix_arrays.judged(documents, benchmark).drop("items")

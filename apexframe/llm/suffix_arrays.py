@@ -12,7 +12,9 @@ broadcast, shuffled or collected; memory is bounded by a shard, a block and the
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +64,14 @@ class Shard:
     """Suffix array over the words of some documents, exact to ``depth`` words."""
 
     def __init__(self, texts: list[bytes], depth: int):
-        numbers: dict[bytes, int] = {}
+        # words are numbered from 1 as they come, 0 stands for the end of a document
+        numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         sizes, parts = [], []
         for text in texts:
             words = words_of(text)
             sizes.append(len(words))
-            # 0 stands for the end of a document
-            parts.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words] + [0], dtype=np.int64))
+            parts.append(np.zeros(len(words) + 1, dtype=np.int64))
+            parts[-1][:-1] = list(map(numbers.__getitem__, words))
         self.numbers = numbers
         self.sizes = np.array(sizes, dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)]).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, secret_scan, simhash, suffix_arrays, tool_calls, url_lists, warc
+from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, phrases, secret_scan, simhash, suffix_arrays, tool_calls, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,6 +188,28 @@ def _(conversations):
     return tool_calls.linked(*derived_calls(conversations), SCHEMAS)
 
 
+@query("op11_phrase_filters", "documents", r"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w[k:k + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM w, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, p, count(*) AS a FROM g GROUP BY lang, p HAVING count(*) >= 30),
+c AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+s AS (SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT lang, p[i:j] AS p, max(a) AS longer FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS i FROM f), unnest(range(2, 5)) AS u(j)
+  WHERE j > i AND j <= len(p) AND j - i + 1 < len(p) GROUP BY ALL),
+free AS (SELECT lowest.*, array_to_string(lowest.p, ' ') AS phrase FROM lowest LEFT JOIN inside USING (lang, p)
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free) JOIN total USING (lang)
+WHERE rank <= 2000
+""")
+def _(documents):
+    return phrases.collocations(documents)
+
+
 @query("op12_suffix_array_decontamination", "documents benchmark", r"""
 WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, fold),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, phrases, secret_scan, simhash, suffix_arrays, tool_calls, url_lists, warc
+from . import chunk_bpe, exact_dedup, host_rules, licenses, mixing, phrases, prefix_trie, secret_scan, simhash, suffix_arrays, tool_calls, url_lists, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,28 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)
 """)
 def _(documents, benchmark):
     return suffix_arrays.judged(documents, benchmark).drop("items")
+
+
+@query("op13_prefix_trie", "conversations", r"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 bit by bit: a byte is taken in, then come eight shifts (-1)
+crc AS (SELECT c, xor(list_reduce([4294967295] || flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+  lambda v, e: CASE WHEN e >= 0 THEN xor(v, CAST(e AS BIGINT)) ELSE xor(v >> 1, (v & 1) * 3988292384) END), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+k AS (SELECT crc.c, c - c % 5 AS base, h, least(h, coalesce(n, 0)) AS taken FROM crc LEFT JOIN (SELECT c AS base, count(*) AS n FROM o GROUP BY c) s ON s.base = crc.c - crc.c % 5),
+r AS (SELECT k.c, pos AS d, role, text FROM k JOIN o ON o.c = k.base WHERE pos <= h
+  UNION ALL SELECT k.c, pos - h + taken, role, text FROM k JOIN o ON o.c = k.c WHERE pos > h),
+p AS (SELECT c, d, octet_length(encode(text)) AS bytes, string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path),
+e AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, arg_max(path, d) AS path FROM p GROUP BY c) GROUP BY path),
+up AS (SELECT n.*, m.conv_id AS parent FROM n LEFT JOIN n m ON n.depth > 0 AND m.path = left(n.path, 64 * (n.depth - 1))),
+kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+-- every node counts towards all nodes on the way to the root
+sub AS (SELECT left(n.path, 64 * i) AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (kids.path IS NULL) AS n_leaves
+  FROM n LEFT JOIN kids USING (path), unnest(range(n.depth + 1)) AS t(i) GROUP BY 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM up LEFT JOIN kids USING (path) JOIN sub USING (path) LEFT JOIN e USING (path)
+""")
+def _(conversations):
+    return prefix_trie.shared_prefix_trie(conversations)

@@ -29,7 +29,7 @@ from .common import slices, small_batches
 #: Words of a phrase.
 SIZES = (2, 3, 4)
 #: Bytes of text that are counted together.
-STRETCH_BYTES = 12 << 20
+STRETCH_BYTES = 8 << 20
 #: Bytes of the word list that a task looks at together.
 BLOCK_BYTES = 8 << 20
 #: Counters of a segment, about; a task merges a segment in memory.

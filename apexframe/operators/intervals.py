@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,32 +132,50 @@ def assign_interval(
     in time order per key and the last edge is carried forward, so points and spans are not paired.
     """
     name = name or payload
+    if mode != "asof":
+        return assign_segments(points, span_segments(spans, keys, start, end, payload, mode), keys, t, name)
+    clean = _clean_spans(spans, keys, start, end, payload)
+    edges = (
+        clean.groupBy(*keys, F.col("_s").alias("_at"))
+        .agg(F.min(F.struct(F.col(payload).alias("p"), F.col("_e").alias("until"))).alias("_edge"))
+    )
+    return _carried(points, edges, keys, t, lambda edge: F.col("_at") <= edge["until"], name)
+
+
+def _clean_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, payload: str, mode: str = "closed") -> DataFrame:
+    """Keys, ``_s`` and ``_e`` (both ends included) in microseconds, and the payload of spans that cover something."""
     # spans are few next to points; written once, their times are computed once
     timed = settle(
         spans.select(*keys, _ticks(spans, start).alias("_s"), _ticks(spans, end).alias("_e"), F.col(payload))
     ).dropna(subset=[*keys, "_s", "_e"])
     if mode == "half":
         timed = timed.withColumn("_e", F.col("_e") - 1)
-    clean = timed.filter(F.col("_s") <= F.col("_e"))
-    if mode == "asof":
-        edges = (
-            clean.groupBy(*keys, F.col("_s").alias("_at"))
-            .agg(F.min(F.struct(F.col(payload).alias("p"), F.col("_e").alias("until"))).alias("_edge"))
-        )
-    else:
-        segments = settle(disjoint_segments(clean, keys, payload))
-        edges = segments.select(
-            *keys, "_at", F.struct(F.col("_payload").alias("p"), F.lit(None).cast("long").alias("until")).alias("_edge")
-        )
+    return timed.filter(F.col("_s") <= F.col("_e"))
+
+
+def span_segments(spans: DataFrame, keys: Sequence[str], start: str, end: str, payload: str, mode: str = "closed") -> DataFrame:
+    """Keys, ``_at`` and ``_payload`` of the stretches that spans cut their key's time into; a written table.
+
+    May be kept and looked up by ``assign_segments`` as often as wanted.
+    """
+    return settle(disjoint_segments(_clean_spans(spans, keys, start, end, payload, mode), keys, payload))
+
+
+def assign_segments(points: DataFrame, segments: DataFrame, keys: Sequence[str], t: str, name: str) -> DataFrame:
+    """Every point with the payload of the segment that it lies in, null before the first one."""
+    edges = segments.select(*keys, "_at", F.struct(F.col("_payload").alias("p")).alias("_edge"))
+    return _carried(points, edges, keys, t, lambda edge: F.lit(True), name)
+
+
+def _carried(points: DataFrame, edges: DataFrame, keys: Sequence[str], t: str, live: Callable[[Column], Column], name: str) -> DataFrame:
+    """Points and edges merged in time order, the last edge carried forward to the points."""
     kept = [c for c in points.columns if c != name]
     marked = points.select(*kept).withColumns({"_at": _ticks(points, t), "_point": F.lit(1)})
     merged = marked.unionByName(edges.withColumn("_point", F.lit(0)), allowMissingColumns=True)
     carried = scan(merged, keys, [F.col("_at"), F.col("_point")], last={"_last": F.col("_edge")})
     edge = F.col("_last")
-    live = F.col("_at").isNotNull() & (edge["until"].isNull() | (F.col("_at") <= edge["until"]))
-    if mode == "asof":
-        live = F.col("_at").isNotNull() & (F.col("_at") <= edge["until"])
-    return carried.filter(F.col("_point") == 1).select(*kept, F.when(live, edge["p"]).alias(name))
+    inside = F.col("_at").isNotNull() & live(edge)
+    return carried.filter(F.col("_point") == 1).select(*kept, F.when(inside, edge["p"]).alias(name))
 
 
 def assign_laps(
@@ -166,15 +184,25 @@ def assign_laps(
     keys: Sequence[str] = ("Year", "GrandPrix", "SessionType", "Driver"),
     keep_existing: bool = True,
     mode: str = "closed",
+    segmented: bool = False,
 ) -> DataFrame:
     """LapNumber of car or position samples from their session time (JOIN1 on JOIN2; PRJ8).
 
-    A sample outside all laps keeps the lap number it came with, unless ``keep_existing`` is False.
+    A sample outside all laps keeps the lap number it came with, unless ``keep_existing`` is False. With ``segmented``,
+    ``spans`` are the segments that ``lap_segments`` gave.
     """
     timed = samples.withColumn("_t", duration_seconds(F.col("Time")))
-    found = assign_interval(
-        timed, spans, keys, "_t", "StartSeconds", "EndSeconds", "LapNumber", mode=mode, name="_lap"
-    ).drop("_t")
+    if segmented:
+        found = assign_segments(timed, spans, keys, "_t", "_lap").drop("_t")
+    else:
+        found = assign_interval(
+            timed, spans, keys, "_t", "StartSeconds", "EndSeconds", "LapNumber", mode=mode, name="_lap"
+        ).drop("_t")
     if "LapNumber" in samples.columns and keep_existing:
         return found.withColumn("LapNumber", F.coalesce("_lap", "LapNumber")).select(*samples.columns)
     return found.withColumn("LapNumber", F.col("_lap")).drop("_lap")
+
+
+def lap_segments(laps: DataFrame, keys: Sequence[str] = ("Year", "GrandPrix", "SessionType", "Driver")) -> DataFrame:
+    """The stretches of time that the laps of every driver cut a session into, to be kept beside the laps."""
+    return span_segments(lap_spans(laps, keys), keys, "StartSeconds", "EndSeconds", "LapNumber")

@@ -8,6 +8,7 @@ from itertools import islice
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: rows per insert call of the row writer; fixed value.
@@ -50,6 +51,54 @@ def write_batch(df: DataFrame, batch_id: int, path: str, within: Sequence[str] =
     ).partitionBy(*within, "batch_id").parquet(path)
 
 
+def partition_values(df: DataFrame, columns: Sequence[str]) -> list[Row]:
+    """The distinct values of partition columns in a micro-batch, at most one per row of it."""
+    return df.select(*columns).distinct().collect()
+
+
+def read_partitions(spark: SparkSession, path: str, schema: T.StructType, values: Sequence[Row]) -> DataFrame:
+    """The given partitions of a table, by a filter of literals that prunes all others; empty if there is no such table.
+
+    Only the folders of the first partition column that occur are listed.
+    """
+    if not values:
+        return spark.createDataFrame([], schema)
+    columns = values[0].__fields__
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tops = [f"{path}/{columns[0]}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for v in sorted({v[0] for v in values}, key=str)]
+    tops = [top for top in tops if files.exists(jvm.org.apache.hadoop.fs.Path(top))]
+    if not tops:
+        return spark.createDataFrame([], schema)
+    one_of = F.lit(False)
+    for row in values:
+        same = F.lit(True)
+        for c in columns:
+            same &= F.col(c).eqNullSafe(F.lit(row[c]).cast(schema[c].dataType))
+        one_of |= same
+    return spark.read.schema(schema).option("basePath", path).parquet(*tops).filter(one_of)
+
+
+def unseen(rows: DataFrame, batch_id: int, path: str, within: Sequence[str], key: str = "RecordId", run: str = "") -> DataFrame:
+    """The rows of a batch whose ``key`` the table does not hold yet in their own partitions, each key once (STR4 with SNK2).
+
+    The table is one that ``write_batch`` writes with the columns ``within`` and ``run``, so a topic that is read again
+    from its start, by a query with a new checkpoint and so a new ``run``, adds nothing. What the batch itself wrote when it
+    was tried before does not count. Rows without a key are all new. The first column of ``within`` is a number or null.
+    """
+    spark = rows.sparkSession
+    fields = [rows.schema[c] for c in (*within, key)]
+    schema = T.StructType([*fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+    stored = read_partitions(spark, path, schema, partition_values(rows, within))
+    before = stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id)).select(*within, key)
+    named = before.toDF(*(f"_{c}" for c in before.columns))
+    same = F.col(key) == F.col(f"_{key}")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = rows.filter(F.col(key).isNotNull()).join(named, same, "left_anti").dropDuplicates([*within, key])
+    return known.unionByName(rows.filter(F.col(key).isNull()))
+
+
 def read_version(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """Newest version of a small state table that is written whole by ``write_batch``, empty if there is none.
 
@@ -66,13 +115,21 @@ def read_version(spark: SparkSession, path: str, schema: str, before: int | None
     return versions.filter(F.col("batch_id") == newest.scalar()).select(*empty.columns)
 
 
-def prune_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Delete all but the newest versions of a state table; two are enough to repeat the last batch."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions in a folder, ascending, by one listing; none if there is no such folder."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = [int(f.getPath().getName()[9:]) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch_id=")]
-    for number in sorted(numbers)[:-keep]:
+    if not files.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()[9:]) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch_id="))
+
+
+def prune_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest versions of a state table; two are enough to repeat the last batch."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for number in versions(spark, path)[:-keep]:
         files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={number}"), True)
 
 

@@ -1,28 +1,33 @@
 """The six streaming queries (STR1-STR4, STR6, SNK2, SNK6-SNK8).
 
-Every micro-batch is a lazy plan over the batch and the serving tables; nothing is collected. A batch
-that fails is retried by the engine, since its output partition is replaced and not appended to.
+Every micro-batch is a lazy plan over the batch and the serving tables; only the names of its sessions are collected, to read
+no other partitions. A batch that is tried again replaces what it wrote, and a topic that is read again from its start
+adds nothing.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.records import default_session, record_id
+from ..operators.intervals import lap_segments
 from ..operators.lookup import extend_ids
-from ..operators.ordered import scratch_scope, settle
+from ..operators.ordered import numbered, scratch_scope, settle
 from ..plans import records
-from ..schemas import TOPICS
+from ..schemas import LAPS, TOPICS
 from ..sources.readers import decode, read_topic, split_corrupt
-from ..sources.writers import prune_versions, read_version, unless_empty, write_batch
+from ..sources.writers import partition_values, prune_versions, read_partitions, read_version, unless_empty, unseen, versions, write_batch
 
 #: topic -> seconds between triggers; fixed values.
 TRIGGER_SECONDS = {
@@ -43,6 +48,7 @@ class JobSettings:
     """Where the tables and checkpoints live, and how topics are read.
 
     ``tables`` and ``checkpoints`` are folders every executor reaches. ``once`` handles what is there and stops.
+    All queries over one folder of tables run in one driver process, as the team ids have one writer.
     """
 
     tables: str
@@ -52,6 +58,8 @@ class JobSettings:
     paths: dict[str, str] = field(default_factory=dict)
     once: bool = False
     max_per_trigger: int | None = None
+    #: table -> a further step on its enriched rows, of the user's own
+    extra: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
 
 def serving_table(spark: SparkSession, settings: JobSettings, name: str, schema: T.StructType) -> DataFrame:
@@ -76,56 +84,142 @@ def grow_team_ids(names: DataFrame, name: str, settings: JobSettings) -> DataFra
         known = read_version(spark, path, _TEAM_IDS)
         grown = settle(extend_ids(known, names.select(F.col(name).alias("TeamName")).distinct(), "TeamName", "TeamID"))
         if grown.count() > known.count():
-            write_batch(grown, _versions(spark, path) + 1, path)
+            write_batch(grown, max(versions(spark, path), default=-1) + 1, path)
             prune_versions(spark, path, keep=3)
     return grown
 
 
-def _versions(spark: SparkSession, path: str) -> int:
-    """Number of the newest version, -1 without one."""
-    try:
-        return spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    except AnalysisException:
-        return -1
+def sessions_of(batch: DataFrame) -> list[Row]:
+    """The sessions of a micro-batch; at most one per record, and the admission limit bounds those."""
+    return partition_values(batch, SESSION)
+
+
+def _session_id() -> Column:
+    """A name for a session that needs no escaping as a folder."""
+    return F.md5(F.to_json(F.struct(*SESSION), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def _session_folders(spark: SparkSession, sessions: list[Row]) -> list[str]:
+    schema = T.StructType([LAPS[c] for c in SESSION])
+    named = spark.createDataFrame([tuple(r) for r in sessions], schema).select(_session_id().alias("id"))
+    return sorted(r.id for r in named.collect())
+
 
+_SEGMENT = T.StructType([LAPS[c] for c in (*SESSION, "Driver")] + [T.StructField("_at", T.LongType()), T.StructField("_payload", T.DoubleType())])
 
-def laps_of(spark: SparkSession, settings: JobSettings, batch: DataFrame) -> DataFrame:
-    """The laps of the sessions that occur in a batch; the lap table is partitioned by session, so others are not read."""
-    laps = serving_table(spark, settings, "telemetry", _derived_laps())
-    return laps.join(batch.select(*SESSION).distinct(), list(SESSION), "left_semi")
 
+def segments_of(spark: SparkSession, settings: JobSettings, sessions: list[Row]) -> DataFrame:
+    """The newest segments of the laps of some sessions (STR3); the folders of other sessions are neither listed nor read."""
+    path = f"{settings.tables}/lap_segments"
+    kept = T.StructType([*_SEGMENT.fields, T.StructField("session", T.StringType()), T.StructField("batch_id", T.LongType())])
+    newest = {name: found[-1] for name in _session_folders(spark, sessions) if (found := versions(spark, f"{path}/session={name}"))}
+    if not newest:
+        return spark.createDataFrame([], _SEGMENT)
+    folders = [f"{path}/session={name}/batch_id={number}" for name, number in newest.items()]
+    table = spark.read.schema(kept).option("basePath", path).parquet(*folders)
+    return table.filter(F.col("session").isin(*newest)).select(*_SEGMENT.names)
 
-def _plan(table: str, batch: DataFrame, batch_id: int, settings: JobSettings) -> DataFrame:
-    spark = batch.sparkSession
-    lap_table = lambda: laps_of(spark, settings, batch)
+
+def extend_segments(spark: SparkSession, settings: JobSettings, batch: DataFrame) -> None:
+    """Keep the segments beside the laps up to date after a batch of laps.
+
+    A version of a session's segments holds all its drivers: those of drivers in the batch are made anew from their stored
+    laps, the others are taken over. Readers use a version that is complete; the one before it stays for them.
+    """
+    path = f"{settings.tables}/lap_segments"
+    sessions = sessions_of(batch)
+    drivers = settle(batch.select(*SESSION, "Driver").distinct())
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in (*SESSION, "Driver")]
+    matched = reduce(Column.__and__, same)
+    laps = read_partitions(spark, f"{settings.tables}/telemetry", _derived_laps(), sessions)
+    touched = lap_segments(laps.alias("x").join(drivers.alias("d"), matched, "left_semi"), (*SESSION, "Driver"))
+    others = segments_of(spark, settings, sessions).alias("x").join(drivers.alias("d"), matched, "left_anti")
+    folders = _session_folders(spark, sessions)
+    number = max((n for name in folders for n in versions(spark, f"{path}/session={name}")), default=-1) + 1
+    write_batch(others.unionByName(touched).withColumn("session", _session_id()), number, path, ["session"])
+    for name in folders:
+        prune_versions(spark, f"{path}/session={name}")
+
+
+def _enriched(table: str, rows: DataFrame, batch_id: int, settings: JobSettings, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The table rows of a batch, and for laps the state after it; writes nothing."""
+    spark = rows.sparkSession
     drivers = lambda: serving_table(spark, settings, "driver_info", TOPICS["driver-info-data"][1])
-    ids = partial(read_version, spark, f"{settings.tables}/team_ids", _TEAM_IDS)
     if table == "telemetry":
-        path = f"{settings.tables}/last_known"
-        known = read_version(spark, path, _LAST_KNOWN, before=batch_id)
-        rows, state = records.laps_batch(batch, grow_team_ids(batch, "Team", settings), known)
-        write_batch(state, batch_id, path)
-        prune_versions(spark, path)
-        return rows
-    if table == "car_telemetry":
-        return records.car_samples(batch, drivers(), ids(), lap_table())
-    if table == "car_position":
-        return records.positions(batch, drivers(), ids(), lap_table())
+        known = read_version(spark, f"{settings.tables}/last_known", _LAST_KNOWN, before=batch_id)
+        return records.laps_batch(rows, ids, known)
+    if table in ("car_telemetry", "car_position"):
+        make = records.car_samples if table == "car_telemetry" else records.positions
+        return make(rows, drivers(), ids, segments_of(spark, settings, sessions_of(rows)), segmented=True), None
     if table == "driver_info":
-        return records.driver_info(batch, grow_team_ids(batch, "TeamName", settings))
+        return records.driver_info(rows, ids), None
     if table == "race_results":
-        return records.results(batch, grow_team_ids(batch, "TeamName", settings))
-    return records.weather(batch)
+        return records.results(rows, ids), None
+    return records.weather(rows), None
+
+
+def _team_ids(table: str, rows: DataFrame, settings: JobSettings) -> DataFrame:
+    name = {"telemetry": "Team", "driver_info": "TeamName", "race_results": "TeamName"}.get(table)
+    if name:
+        return grow_team_ids(rows, name, settings)
+    return read_version(rows.sparkSession, f"{settings.tables}/team_ids", _TEAM_IDS)
 
 
 def _derived_laps() -> T.StructType:
-    laps = TOPICS["telemetry-data"][1]
-    return T.StructType([*laps.fields, T.StructField("DidPit", T.BooleanType()), T.StructField("LapTimeSeconds", T.DoubleType())])
+    return T.StructType([*LAPS.fields, T.StructField("DidPit", T.BooleanType()), T.StructField("LapTimeSeconds", T.DoubleType())])
+
 
+def identified(rows: DataFrame) -> DataFrame:
+    """Records with a RecordId: their own, or a digest of all they say, by which a record that is sent again is known."""
+    own = F.col("RecordId") if "RecordId" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("RecordId", F.coalesce(own, record_id(*[c for c in rows.columns if c != "RecordId"])))
 
-def batch_writer(topic: str, settings: JobSettings) -> Callable[[DataFrame, int], None]:
-    """Batch function of a topic: undecodable rows aside, the rest enriched and written (STR3, SNK6, SNK7)."""
+
+def failing_rows(rows: DataFrame, attempt: Callable[[DataFrame], None]) -> dict[int, str]:
+    """The numbers (column ``_row``, 0 to n - 1) of rows with which ``attempt`` fails, each with its message (SNK6).
+
+    Rows are halved as long as a part fails, so k bad rows of n take some k log n attempts. What fails without any row
+    is not the rows' fault and is raised.
+    """
+
+    def message(low: int, high: int) -> str | None:
+        try:
+            attempt(rows.filter((F.col("_row") >= low) & (F.col("_row") < high)))
+        except (PySparkException, Py4JError) as error:
+            return str(error).split("\n", 1)[0][:500]
+
+    n = rows.count()
+    if message(0, n) is None:
+        return {}
+    attempt(rows.filter(F.lit(False)))
+    found, parts = {}, [(0, n)]
+    while parts:
+        # a part that is known to fail
+        low, high = parts.pop()
+        if high - low == 1:
+            said = message(low, high)
+            if said is not None:
+                found[low] = said
+            continue
+        middle = (low + high) // 2
+        first = message(low, middle) is not None
+        if first:
+            parts.append((low, middle))
+        # if the first half does not fail, the second one must
+        if not first or message(middle, high) is not None:
+            parts.append((middle, high))
+    return found
+
+
+def batch_writer(topic: str, settings: JobSettings, run: str = "") -> Callable[[DataFrame, int], None]:
+    """Batch function of a topic: undecodable rows aside, the rest enriched and written (STR3, STR4, SNK2, SNK6, SNK7).
+
+    Records that the table holds already are left out, whatever batch or ``run`` brought them. If the enrichment of a batch
+    fails, the rows it fails with are written to the rejected table with the message, and the others as ever.
+    """
     table, _ = TOPICS[topic]
+    path = f"{settings.tables}/{table}"
+    more = settings.extra.get(table)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # several passes read the batch; its size is bounded by the admission limit
@@ -133,26 +227,75 @@ def batch_writer(topic: str, settings: JobSettings) -> Callable[[DataFrame, int]
         try:
             with scratch_scope(batch.sparkSession):
                 good, bad = split_corrupt(batch)
-                within = SESSION if table == "telemetry" else ()
-                write_batch(_plan(table, good, batch_id, settings), batch_id, f"{settings.tables}/{table}", within)
-                unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}"))(bad, batch_id)
+                keyed = identified(good)
+                keyed = keyed if table in ("car_telemetry", "car_position") else default_session(keyed)
+                fresh = settle(unseen(keyed, batch_id, path, SESSION, run=run))
+                rejected = bad.withColumn("error", F.lit("not a record"))
+                if not fresh.isEmpty():
+                    fresh, failed = _written(fresh, batch_id)
+                    if failed is not None:
+                        rejected = rejected.unionByName(failed)
+                unless_empty(lambda rows, b: write_batch(rows, b, f"{settings.tables}/_rejected/{table}", ["run"]))(rejected.withColumn("run", F.lit(run)), batch_id)
         finally:
             batch.unpersist()
 
+    def _written(fresh: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
+        ids = _team_ids(table, fresh, settings)
+
+        def enrich(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+            made, state = _enriched(table, rows, batch_id, settings, ids)
+            return (more(made) if more else made), state
+
+        def put(rows: DataFrame) -> None:
+            made, state = enrich(rows)
+            write_batch(made.withColumn("run", F.lit(run)), batch_id, path, (*SESSION, "run"))
+            if state is not None:
+                write_batch(state, batch_id, f"{settings.tables}/last_known")
+                prune_versions(rows.sparkSession, f"{settings.tables}/last_known")
+                extend_segments(rows.sparkSession, settings, rows)
+
+        try:
+            put(fresh)
+            return fresh, None
+        except (PySparkException, Py4JError):
+            numbered_rows = numbered(fresh, ["RecordId"], "_row")
+            failed = failing_rows(numbered_rows, lambda rows: enrich(rows.drop("_row"))[0].write.format("noop").mode("overwrite").save())
+            if not failed:
+                raise
+        reasons = fresh.sparkSession.createDataFrame(list(failed.items()), "_row long, error string")
+        told = numbered_rows.join(reasons, "_row").select(F.to_json(F.struct(*fresh.columns), {"ignoreNullFields": "false"}).alias("_corrupt_record"), "error")
+        rest = settle(numbered_rows.join(reasons, "_row", "left_anti").drop("_row"))
+        if not rest.isEmpty():
+            put(rest)
+        return rest, told
+
     return unless_empty(write)
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of all runs of a query with one checkpoint, kept in the checkpoint's folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/apexframe-run")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, False)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    return spark.read.text(f"{checkpoint}/apexframe-run").first()[0]
+
+
 def start(spark: SparkSession, topic: str, settings: JobSettings) -> StreamingQuery:
     """One checkpointed query (SNK8)."""
     lines = read_topic(
         spark, topic, settings.source, servers=settings.servers, path=settings.paths.get(topic),
         max_per_trigger=settings.max_per_trigger,
     )
+    checkpoint = f"{settings.checkpoints}/{topic}"
     writer = (
         decode(lines, TOPICS[topic][1])
         .writeStream.queryName(topic.replace("-", "_"))
-        .option("checkpointLocation", f"{settings.checkpoints}/{topic}")
-        .foreachBatch(batch_writer(topic, settings))
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(batch_writer(topic, settings, run_of(spark, checkpoint)))
     )
     trigger = {"availableNow": True} if settings.once else {"processingTime": f"{TRIGGER_SECONDS[topic]} seconds"}
     return writer.trigger(**trigger).start()

@@ -1,7 +1,10 @@
 """Streams end to end over files: stream = batch, replay, rejected rows, late rows."""
 
+import dataclasses
 import json
 import os
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,8 @@ from apexframe.functions.durations import clean_duration
 from apexframe.plans import records
 from apexframe.queries import ORACLES, QUERIES
 from apexframe.schemas import DRIVER_INFO, LAPS
-from apexframe.sources.writers import write_batch
+from apexframe.sources.readers import decode, split_corrupt
+from apexframe.sources.writers import read_partitions, write_batch
 from apexframe.streaming import stateful as S
 from apexframe.streaming.jobs import JobSettings, start_all
 
@@ -178,16 +182,133 @@ def test_every_record_kind_brings_team_ids(spark, tmp_path):
     assert [r.TeamID for r in spark.read.parquet(f"{s.tables}/race_results").collect()] == [3]
 
 
-def test_a_batch_reads_the_laps_of_its_sessions_only(spark, tmp_path):
-    from apexframe.streaming.jobs import SESSION, laps_of
+def lap_batch(spark, laps):
+    """Lap records as a job's batch: decoded, without the corrupt ones, persisted."""
+    lines = spark.createDataFrame([(json.dumps(r),) for r in laps], "value string")
+    batch = decode(lines, LAPS).persist()
+    return split_corrupt(batch)[0]
 
-    s = JobSettings(tables=str(tmp_path), checkpoints=str(tmp_path / "cp"))
-    laps = spark.createDataFrame([{**lap(str(i), 1.0, "00:01:30.000", "00:00:00.000"), "GrandPrix": f"GP {i}"} for i in range(6)], LAPS)
-    write_batch(laps, 0, f"{s.tables}/telemetry", SESSION)
-    batch = laps.filter("GrandPrix = 'GP 3'").select(*SESSION)
-    found = laps_of(spark, s, batch)
-    assert [r.GrandPrix for r in found.collect()] == ["GP 3"]
-    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+def test_a_batch_reads_the_segments_of_its_sessions_only(spark, tmp_path):
+    from apexframe.streaming.jobs import segments_of, sessions_of
+
+    s = settings(tmp_path)
+    laps = [{**lap(str(i % 2), float(n), "00:01:30.000", f"00:{2 * n:02d}:00.000"), "GrandPrix": f"GP {i}"} for i in range(6) for n in range(3)]
+    write_lines(tmp_path / "telemetry-data", "a.json", laps)
+    run(spark, s, "telemetry-data")
+    batch = lap_batch(spark, [r for r in laps if r["GrandPrix"] == "GP 3"])
+    found = segments_of(spark, s, sessions_of(batch))
+    assert {r.GrandPrix for r in found.collect()} == {"GP 3"}
+    assert len({f.split("session=")[1].split("/")[0] for f in found.inputFiles()}) == 1
+    assert re.search(r"PartitionFilters: \[[^\]]*session#", found._jdf.queryExecution().executedPlan().toString())
+    stored = read_partitions(spark, f"{s.tables}/telemetry", LAPS, sessions_of(batch))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "GP 3" in plan.split("PartitionFilters: ")[1].split("DataFilters")[0].split("PushedFilters")[0] and stored.count() == 3
+    assert segments_of(spark, s, []).count() == 0
+
+
+def test_segments_are_extended_batch_by_batch(spark, tmp_path):
+    """After every batch the kept segments are those of all laps so far; drivers that a batch lacks are taken over."""
+    from apexframe.operators.intervals import lap_segments
+    from apexframe.streaming.jobs import segments_of, sessions_of
+
+    s = settings(tmp_path)
+    batches = [
+        [lap("1", 1.0, "00:01:30.000", "00:00:00.000"), lap("44", 1.0, "00:01:00.000", "00:00:10.000")],
+        [lap("1", 2.0, "00:01:30.000", "00:01:30.000"), {**lap("7", 1.0, "00:01:00.000", "00:00:00.000"), "GrandPrix": "Other"}],
+        [lap("44", 2.0, "00:02:00.000", "00:00:30.000"), lap("1", 3.0, None, "00:03:00.000")],
+    ]
+    for i, rows in enumerate(batches):
+        write_lines(tmp_path / "telemetry-data", f"{i}.json", rows)
+        run(spark, s, "telemetry-data")
+        table = spark.read.parquet(f"{s.tables}/telemetry")
+        expected = lap_segments(table).collect()
+        got = segments_of(spark, s, sessions_of(table))
+        assert sorted(map(str, got.select(*lap_segments(table).columns).collect())) == sorted(map(str, expected)), i
+    folders = list((tmp_path / "tables" / "lap_segments").glob("session=*"))
+    assert len(folders) == 2 and all(len(list(f.glob("batch_id=*"))) <= 2 for f in folders)
+
+
+def snapshot(spark, s):
+    return {
+        str(f.relative_to(s.tables)): sorted(map(str, spark.read.parquet(str(f)).drop("run", "batch_id").collect()))
+        for f in Path(s.tables).iterdir() if f.name in ("telemetry", "car_telemetry", "driver_info")
+    }
+
+
+def test_a_topic_read_again_from_its_start_adds_nothing(spark, tmp_path):
+    """New checkpoints, files in other batches, records without and with ids, and a new record among the old ones."""
+    s = settings(tmp_path)
+    session = {"Year": 2024, "GrandPrix": "X", "SessionType": "Race"}
+    write_lines(tmp_path / "driver-info-data", "a.json", [{"Driver": "1", "DriverNumber": "1", "TeamName": "T", **session}])
+    laps = [lap("1", float(n), "00:01:30.000" if n % 2 else None, f"00:{2 * n:02d}:00.000") for n in range(6)]
+    samples = [{"Driver": "1", "Time": f"00:{n:02d}:30.000", "Speed": 200.0, "RecordId": f"r{n}", **session} for n in range(8)]
+    for i in range(2):
+        write_lines(tmp_path / "telemetry-data", f"{i}.json", laps[3 * i : 3 * i + 3])
+    write_lines(tmp_path / "car-telemetry-data", "a.json", samples[:5] + samples[3:5])
+    write_lines(tmp_path / "car-telemetry-data", "b.json", samples[4:] + [{"Driver": "1", "Time": "00:00:30.000", "RecordId": "r0", **session, "Year": None}])
+    topics = ("driver-info-data", "telemetry-data", "car-telemetry-data")
+    for topic in topics:
+        run(spark, s, topic)
+    first = snapshot(spark, s)
+    assert [len(first[t]) for t in ("telemetry", "car_telemetry", "driver_info")] == [6, 9, 1]
+    again = dataclasses.replace(s, checkpoints=str(tmp_path / "other checkpoints"), max_per_trigger=2)
+    for topic in topics:
+        run(spark, again, topic)
+    assert snapshot(spark, s) == first
+    write_lines(tmp_path / "car-telemetry-data", "c.json", samples[:2] + [{**samples[0], "RecordId": "new"}])
+    run(spark, again, "car-telemetry-data")
+    assert len(snapshot(spark, s)["car_telemetry"]) == 10
+
+
+def test_a_batch_tried_again_replaces_itself(spark, tmp_path):
+    from apexframe.streaming.jobs import batch_writer
+
+    s = settings(tmp_path)
+    rows = [lap("1", float(n), "00:01:30.000", f"00:{2 * n:02d}:00.000") for n in range(4)]
+    lines = decode(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"), LAPS)
+    write = batch_writer("telemetry-data", s, "r")
+    write(lines, 5)
+    first = snapshot(spark, s)
+    write(lines, 5)
+    assert snapshot(spark, s) == first and len(first["telemetry"]) == 4
+
+
+def test_rows_that_the_enrichment_fails_with_go_aside(spark, tmp_path):
+    """One poisoned row of 10,000: it is rejected with the message, the rest is written."""
+    def step(rows):
+        bad = F.col("AirTemp") == 7200
+        return rows.withColumn("Humidity", F.when(bad, F.raise_error(F.lit("cannot read this"))).otherwise(F.col("Humidity")))
+
+    paths = {"weather-data": str(tmp_path / "weather-data")}
+    s = dataclasses.replace(settings(tmp_path), extra={"weather": step}, paths=paths)
+    session = {"Year": 2024, "GrandPrix": "X", "SessionType": "Race"}
+    write_lines(tmp_path / "weather-data", "a.json", [{"AirTemp": float(n), "Humidity": 1.0, "RecordId": f"r{n}", **session} for n in range(10_000)] + ["{broken"])
+    run(spark, s, "weather-data")
+    table, rejected = spark.read.parquet(f"{s.tables}/weather"), spark.read.parquet(f"{s.tables}/_rejected/weather")
+    told = {r._corrupt_record: r.error for r in rejected.collect()}
+    failed = {json.loads(k)["RecordId"]: v for k, v in told.items() if k != "{broken"}
+    assert set(failed) == {"r7200"} and all("cannot read this" in v for v in failed.values()) and told["{broken"] == "not a record"
+    assert {r.RecordId for r in table.collect()} | set(failed) == {f"r{n}" for n in range(10_000)} and table.count() == 9_999
+
+
+def test_an_error_that_no_row_causes_is_raised(spark):
+    from apexframe.streaming.jobs import failing_rows
+
+    rows = spark.range(5).withColumnRenamed("id", "_row")
+    with pytest.raises(Exception, match="no_such"):
+        failing_rows(rows, lambda part: part.select("no_such").collect())
+    assert failing_rows(rows, lambda part: part.collect()) == {}
+
+
+def test_several_failing_rows_are_found(spark):
+    from apexframe.streaming.jobs import failing_rows
+
+    bad = [0, 17, 18, 99]
+    rows = spark.range(100).withColumnRenamed("id", "_row")
+    step = F.when(F.col("_row").isin(bad), F.raise_error(F.concat(F.lit("row "), F.col("_row").cast("string")))).otherwise(F.lit("x"))
+    found = failing_rows(rows, lambda part: part.select(step).collect())
+    assert sorted(found) == bad and all(f"row {n}" in said for n, said in found.items())
 
 
 def test_no_scratch_is_left_of_a_batch(spark, tmp_path):

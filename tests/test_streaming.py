@@ -141,7 +141,7 @@ def test_stream_queries_do_not_depend_on_the_files(spark, tmp_path, files):
     base = duckdb.connect()
     base.sql("SET TimeZone = 'UTC'")
     base.sql(f"CREATE VIEW events AS SELECT * FROM '{pattern}'")
-    for name in ("str4_deduplicate", "str7_tumbling_windows", "str7_sliding_windows", "str7_session_windows", "str5_stateful_fill", "snk7_batches_written_once"):
+    for name in ("str4_deduplicate", "str7_tumbling_windows", "str7_sliding_windows", "str7_session_windows", "str5_stateful_fill", "snk7_batches_written_once", "str7_late_rows"):
         df = QUERIES[name](spark, str(tmp_path))
         answer = base.sql(ORACLES[name])
         order = [answer.columns.index(c) for c in df.columns]
@@ -168,6 +168,52 @@ def test_late_rows_are_kept_aside(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(f"{path}/rejected").filter("batch_id = 3").collect()) == before
 
 
+def test_late_rows_do_come_and_are_added(spark, tmp_path):
+    """The windows of the accepted rows alone are not those of the whole table."""
+    closed = spark.createDataFrame([("a", 2, 3.0, 4.0), ("b", 1, None, None)], "k string, n long, mean_value double, max_value double")
+    late = spark.createDataFrame([("a", 1, 6.0, 6.0), ("b", 1, 5.0, 5.0), ("c", 1, 1.0, 1.0)], closed.schema)
+    assert sorted(map(tuple, S.with_late_rows(closed, late).collect())) == [("a", 3, 4.0, 6.0), ("b", 2, 5.0, 5.0), ("c", 1, 1.0, 1.0)]
+
+
+def test_ordered_state_is_released_in_order_and_expires(spark, tmp_path):
+    """A driver with half of all rows, rows shuffled within a delivery, a session that ends: no state is left of any."""
+    import datetime
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    rng, start = random.Random(1), datetime.datetime(2024, 1, 1)
+    at = lambda seconds: start + datetime.timedelta(seconds=seconds)
+    rows = []
+    for n in range(2400):
+        rows.append((n, "hot" if n % 2 else f"d{n % 14}", at(10 * n if n < 1600 else 10 * n + 50_000), None if rng.random() < 0.6 else f"v{n}"))
+    rows.append((9000, "hot", None, None))
+    rows += [(9001, "hot", at(10), "tie b"), (9002, "hot", at(10), "")]
+    schema = "id long, d string, at timestamp, shown string"
+    sizes, deliveries = [], 4
+    for i in range(deliveries + 1):
+        last = i == deliveries
+        part = [r for r in rows if (0 if r[2] is None or r[0] > 8999 else r[0] * deliveries // 2400) == i] if not last else [(None, None, at(10**7), None)]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        filled = S.fill_last_known_ordered(stream, "shown", ["d"], "at", "1 minute", 3600, 600, ["id"], "filled")
+        query = filled.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    expected, known = {}, {}
+    for n, d, t, v in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        before, value = known.get(d, (t, None))
+        value = value if (t - before).total_seconds() < 3600 else None
+        value = v or value
+        known[d] = (t, value)
+        expected[n] = (v if v else value if value else v, not v and value is not None)
+    expected[9000] = (None, False)
+    got = {r.id: (r.shown, r.filled) for r in spark.read.parquet(str(tmp_path / "out")).filter("id IS NOT NULL").collect()}
+    assert got == expected
+    # what waits is the last stretches, not a delivery; in the end only the record that closed the stream is there
+    assert max(sizes[:-1]) < 200 and sizes[-1] < 12, sizes
+
+
 def test_every_record_kind_brings_team_ids(spark, tmp_path):
     paths = {t: str(tmp_path / t) for t in ("driver-info-data", "telemetry-data", "race-results-data")}
     s = JobSettings(tables=str(tmp_path / "tables"), checkpoints=str(tmp_path / "cp"), source="files", once=True, paths=paths)

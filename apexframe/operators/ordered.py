@@ -62,17 +62,17 @@ def scratch(spark: SparkSession) -> str:
     folder = f"{shared}/apexframe-{context.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_delete, context._jvm, folder)
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), folder)
     return folder
 
 
 _FOLDERS: set[str] = set()
 
 
-def _delete(jvm, folder: str) -> None:
+def _delete(jvm, settings, folder: str) -> None:
     with contextlib.suppress(Exception):  # left-over scratch does no harm, a process that ends may have lost its JVM
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        path.getFileSystem(settings).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -89,7 +89,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _HERE.scopes.pop()
-        _delete(spark.sparkContext._jvm, folder)
+        _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
@@ -132,13 +132,15 @@ def default_chunks(df: DataFrame) -> int:
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _cuts(df: DataFrame, name: str, n: int) -> list[float]:
+def cuts(df: DataFrame, name: str, n: int) -> list[float]:
+    """The ``n`` - 1 borders of the ``n``-quantiles of a number."""
     found = df.approxQuantile(name, [i / n for i in range(1, n)], 1.0 / (2 * n))
     return found or []
 
 
-def _bucketed(df: DataFrame, name: str, cuts: Sequence[float], out: str) -> DataFrame:
-    borders = sorted({c for c in cuts if c > _LOW})
+def bucketed(df: DataFrame, name: str, at: Sequence[float], out: str) -> DataFrame:
+    """The place of a number among sorted borders, from 0."""
+    borders = sorted({c for c in at if c > _LOW})
     if not borders:
         return df.withColumn(out, F.lit(0.0))
     return Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol=name, outputCol=out).transform(df)
@@ -206,15 +208,15 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
     if first is None:
         return df.withColumns({"_c1": F.lit(0), "_c2": F.lit(0)})
     shaped = df.withColumn("_o1", first)
-    cuts = _cuts(shaped.select("_o1"), "_o1", n)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    shaped = _bucketed(shaped, "_o1", cuts, "_b1")
+    found = cuts(shaped.select("_o1"), "_o1", n)
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    shaped = bucketed(shaped, "_o1", found, "_b1")
     c1, c2 = F.col("_b1") * 2, F.lit(0.0)
     drop = ["_o1", "_b1"]
     if heavy:
         is_heavy = F.col("_o1").isin(*heavy)
         # a light value above a heavy border belongs after all rows of that border value
-        borders = [_LOW, *sorted({c for c in cuts if c > _LOW})]
+        borders = [_LOW, *sorted({c for c in found if c > _LOW})]
         starts_heavy = F.col("_b1").isin(*[float(i) for i, v in enumerate(borders) if v in heavy])
         c1 = c1 + F.when(starts_heavy & ~is_heavy, 1).otherwise(0)
         is_tie, exact = is_heavy, order[0]
@@ -223,18 +225,18 @@ def chunk(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataF
         mixed = _mixed(shaped.select("_o1", exact.alias("_x")), heavy)
         if mixed:
             is_mixed = F.col("_o1").isin(*mixed)
-            cuts = _exact_cuts(shaped.filter(is_mixed).select(exact.alias("_x")), n)
+            exact_cuts = _exact_cuts(shaped.filter(is_mixed).select(exact.alias("_x")), n)
             # place 0 is for nulls only
-            place = F.when(is_mixed & exact.isNotNull(), _reached(exact, [c for c, _ in cuts])).otherwise(0)
+            place = F.when(is_mixed & exact.isNotNull(), _reached(exact, [c for c, _ in exact_cuts])).otherwise(0)
             shaped = shaped.withColumn("_t1", place)
-            c1 = c1 * (len(cuts) + 1) + F.col("_t1")
-            is_tie = is_heavy & (~is_mixed | F.col("_t1").isin(0, *[i for i, (_, alone) in enumerate(cuts, 1) if alone]))
+            c1 = c1 * (len(exact_cuts) + 1) + F.col("_t1")
+            is_tie = is_heavy & (~is_mixed | F.col("_t1").isin(0, *[i for i, (_, alone) in enumerate(exact_cuts, 1) if alone]))
             drop.append("_t1")
         plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
         second = order_value(df, order[1]) if len(order) > 1 else F.xxhash64(*plain).cast("double")
         if second is not None:
             shaped = shaped.withColumn("_o2", second)
-            shaped = _bucketed(shaped, "_o2", _cuts(shaped.filter(is_tie).select("_o2"), "_o2", n), "_b2")
+            shaped = bucketed(shaped, "_o2", cuts(shaped.filter(is_tie).select("_o2"), "_o2", n), "_b2")
             c2 = F.when(is_tie, F.col("_b2")).otherwise(0.0)
             drop += ["_o2", "_b2"]
     return shaped.withColumns({"_c1": c1.cast("int"), "_c2": c2.cast("int")}).drop(*drop)

@@ -18,7 +18,7 @@ from ..functions.durations import duration_seconds, format_clock, to_double
 from ..functions.names import normalize_driver, normalize_team, safe_name
 from ..operators.laps import lap_statistics, weather_statistics
 from ..operators.lookup import race_parameters
-from ..operators.ordered import impute_by_group, running_order, scan, settle, tyre_ramp
+from ..operators.ordered import impute_by_group, running_order, settle, tyre_ramp
 from ..operators.results import gap_to_leader, group_means, sequential_places
 from ..operators.runs import prediction_quality
 from ..sources.readers import seasons_of_event
@@ -243,18 +243,25 @@ def next_season_rows(
 
 
 def _nearest(places: DataFrame, by_grid: DataFrame, numbers: Sequence[str]) -> DataFrame:
-    """Means at the grid place nearest to each assumed place, the lower one when two are as near."""
-    row = F.struct(*numbers)
-    points = places.select(F.col("baseline").alias("_x"), F.lit(True).alias("_asked"), F.lit(None).cast("double").alias("_grid"))
-    known = by_grid.select(F.col("_grid").alias("_x"), F.lit(False).alias("_asked"), "_grid", row.alias("_means"))
-    merged = points.unionByName(known, allowMissingColumns=True).withColumn(
-        "_entry", F.when(~F.col("_asked"), F.struct(F.col("_grid").alias("at"), F.col("_means").alias("means")))
+    """Means at the grid place nearest to each assumed place, the lower one when two are as near.
+
+    There are no more assumed places than drivers in a line-up, so each is an aggregate of its own in one pass.
+    """
+    asked = sorted(r[0] for r in places.filter("baseline IS NOT NULL").distinct().collect())
+    grid, entry = F.col("_grid"), F.struct(F.col("_grid").alias("at"), F.struct(*numbers).alias("means"))
+    found = by_grid.agg(
+        *(F.max_by(entry, F.when(grid <= p, grid)).alias(f"_below{i}") for i, p in enumerate(asked)),
+        *(F.min_by(entry, F.when(grid >= p, grid)).alias(f"_above{i}") for i, p in enumerate(asked)),
     )
-    below = scan(merged, [], [F.col("_x"), F.col("_asked").cast("int")], last={"_below": F.col("_entry")})
-    above = scan(below, [], [-F.col("_x"), F.col("_asked").cast("int")], last={"_above": F.col("_entry")})
-    down, up = F.col("_x") - F.col("_below.at"), F.col("_above.at") - F.col("_x")
-    chosen = F.when(up.isNull() | (down <= up), F.col("_below.means")).otherwise(F.col("_above.means"))
-    return above.filter("_asked").select(F.col("_x").alias("baseline"), chosen.alias("_near"))
+
+    def nearest(i: int, p: float) -> Column:
+        below, above = F.col(f"_below{i}"), F.col(f"_above{i}")
+        lower = above["at"].isNull() | (F.lit(p) - below["at"] <= above["at"] - F.lit(p))
+        return F.struct(F.lit(p).alias("baseline"), F.when(lower, below["means"]).otherwise(above["means"]).alias("_near"))
+
+    if not asked:
+        return places.select("baseline", F.lit(None).alias("_near")).limit(0)
+    return found.select(F.inline(F.array(*(nearest(i, p) for i, p in enumerate(asked)))))
 
 
 def race_details(predictions: DataFrame, noise: float = 0.0, seed: int = 42) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import laps as L
 from ..operators import runs as U
 from ..operators.lookup import dense_ids, race_laps
-from ..operators.ordered import group_medians, impute_by_group
+from ..operators.ordered import group_medians, impute_by_group, value_counts
+from ..operators.partials import merged_quantiles, quantile_partials, sketched_medians
 from ..operators.results import group_means
 from ..plans import prediction as M
 from .registry import query
@@ -132,6 +136,22 @@ def _(t):
     return group_medians(holes, ["l_suppkey"], ["l_quantity", "l_extendedprice"])
 
 
+@query("agg12_sketched_medians", """
+SELECT l_suppkey, metric, count(*) AS n, true AS within FROM (
+  SELECT l_suppkey, 'l_quantity' AS metric, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS v FROM lineitem UNION ALL
+  SELECT l_suppkey, 'l_extendedprice', l_extendedprice FROM lineitem) WHERE v IS NOT NULL GROUP BY l_suppkey, metric""")
+def _(t):
+    """Medians from the merged sketches of three batches; ``within`` tells whether the rank of each in its exact group is at
+    most 3 % off the middle."""
+    rows = t.lineitem.select("l_suppkey", "l_orderkey", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("l_quantity"), "l_extendedprice")
+    columns = ["l_quantity", "l_extendedprice"]
+    batches = [quantile_partials(rows.filter(F.col("l_orderkey") % 3 == b), ["l_suppkey"], columns) for b in range(3)]
+    medians = sketched_medians(merged_quantiles(reduce(DataFrame.unionByName, batches), ["l_suppkey"]))
+    counted = value_counts(rows, ["l_suppkey"], columns).join(medians, ["l_suppkey", "metric"])
+    below, upto = (F.sum(F.when(c, F.col("_n")).otherwise(0)) / F.sum("_n") for c in (F.col("value") < F.col("median"), F.col("value") <= F.col("median")))
+    return counted.groupBy("l_suppkey", "metric").agg(F.sum("_n").alias("n"), ((below <= 0.53) & (upto >= 0.47)).alias("within"))
+
+
 @query("nul2_impute_by_group", """
 SELECT event_id, "Team", coalesce("Speed", median("Speed") OVER (PARTITION BY "Team"), (SELECT median("Speed") FROM s), 0) AS "Speed",
   coalesce("DRS", median("DRS") OVER (PARTITION BY "Team"), (SELECT median("DRS") FROM s), 0) AS "DRS" FROM s""".replace("FROM s", """

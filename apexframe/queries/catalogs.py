@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import runs as U
+from ..operators.ordered import scratch
+from ..operators.partials import merged_sessions, session_partials
+from ..sources.writers import write_batch
 from .registry import query
 
 _NAMES = ["customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -39,6 +44,19 @@ def _(t):
     return _counts(t)
 
 
+@query("agg5_kept_catalogue", """
+SELECT 'telemetry' AS table_name, "Year", "GrandPrix", "SessionType", count(*) AS n, count(DISTINCT "Driver") AS drivers, count(DISTINCT "Team") AS teams FROM laps GROUP BY ALL UNION ALL
+SELECT 'driver_info', "Year", "GrandPrix", "SessionType", count(*), count(DISTINCT "Driver"), count(DISTINCT "TeamName") FROM drivers GROUP BY ALL""", uses="timed laps drivers")
+def _(t):
+    """Counts and sketches that three batches of a table leave, one of them written twice, merged."""
+    path = f"{scratch(t.spark)}/apexframe-{uuid.uuid4().hex}"
+    for table, rows in (("telemetry", t.laps), ("driver_info", t.drivers)):
+        for batch in (0, 1, 2, 1):
+            part = rows.filter(F.pmod(F.xxhash64("Driver"), F.lit(3)) == batch)
+            write_batch(session_partials(part, table), batch, path, ["table_name"])
+    return merged_sessions(t.spark.read.parquet(path))
+
+
 @query("agg6_availability", f"""
 SELECT "Year", "GrandPrix", "SessionType", CAST(sum(n) AS BIGINT) AS total, CAST(3 - count(*) AS INTEGER) AS missing_count,
   array_to_string(list_filter(['car_telemetry', 'driver_info', 'telemetry'], lambda x: NOT list_contains(list(table_name), x)), ',') AS missing_tables,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import islice
 
 from pyspark.errors import AnalysisException
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import bucketed, cuts, order_value, settle
 
 #: rows per insert call of the row writer; fixed value.
 INSERT_BATCH = 1000
@@ -29,16 +30,54 @@ def publish(df: DataFrame, topic: str, sink: str = "kafka", *, servers: str = "k
         envelope.write.mode("append").text(path)
 
 
+def interleaved(df: DataFrame, columns: Sequence[str], name: str, bits: int = 8) -> DataFrame:
+    """``df`` with a number whose bits are taken in turn from the places of its columns among their quantiles.
+
+    Rows that are near in all columns get near numbers, so files sorted by it have narrow ranges of every column, not of
+    the first one alone. Columns have up to 2 ** ``bits`` places; their borders are lists of so many numbers.
+    """
+    places = []
+    for i, c in enumerate(columns):
+        at, place = f"_q{i}", f"_b{i}"
+        df = df.withColumn(at, order_value(df, F.col(c)))
+        df = bucketed(df, at, cuts(df.select(at), at, 1 << bits), place).drop(at)
+        places.append(F.col(place).cast("long"))
+    number = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i, place in enumerate(reversed(places)):
+            number = number + F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(places) + i)
+    return df.withColumn(name, number).drop(*(f"_b{i}" for i in range(len(columns))))
+
+
 def write_session_table(
-    df: DataFrame, path: str, sort: Sequence[str] = ("Driver", "LapNumber", "Time"), mode: str = "append"
+    df: DataFrame,
+    path: str,
+    sort: Sequence[str] = ("Driver", "LapNumber", "Time"),
+    mode: str = "append",
+    cluster: Sequence[str] = (),
+    bloom: Mapping[str, int] | None = None,
+    row_group_bytes: int | None = None,
 ) -> None:
     """Parquet laid out by session and sorted inside the files, in place of secondary indexes (SNK5).
 
-    Ranges are cut along session and sort columns, so that a big session is several files.
+    Ranges are cut along session and sort columns, so that a big session is several files. With ``cluster`` the rows of a
+    session are in the order of the interleaved bits of these columns, so that a lookup by any of them skips row groups.
+    ``bloom`` names columns, each with about how many values a row group has, that get a Bloom filter per row group: a
+    lookup of one value over all sessions reads the groups that hold it, and hardly any other.
     """
     keys = [c for c in ("Year", "GrandPrix", "SessionType") if c in df.columns]
     inner = [c for c in sort if c in df.columns]
-    df.repartitionByRange(*keys, *inner).sortWithinPartitions(*keys, *inner).write.mode(mode).partitionBy(*keys).parquet(path)
+    if cluster:
+        # written once for its quantiles; also, Spark sorts anew, and not by the place, if it knows a session column as a constant
+        df, inner = interleaved(settle(df), cluster, "_place"), ["_place", *inner]
+    ordered = df.repartitionByRange(*keys, *inner).sortWithinPartitions(*keys, *inner).drop("_place")
+    writer = ordered.write.mode(mode).partitionBy(*keys)
+    for column, values in (bloom or {}).items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True).option(f"parquet.bloom.filter.expected.ndv#{column}", values)
+    if row_group_bytes:
+        # sizes are looked at often enough for small groups to come out small
+        writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.block.size.row.check.max", 1000)
+    writer.parquet(path)
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str, within: Sequence[str] = ()) -> None:
@@ -153,16 +192,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def prediction_documents(predictions: DataFrame, timestamp: str | Column, race: str = "GrandPrix") -> DataFrame:
-    """``{race, timestamp, place, predictions: [...]}``, a document per race and predicted place (SNK4).
+def prediction_documents(predictions: DataFrame, timestamp: str | Column, race: str = "GrandPrix", per_document: int = 1000) -> DataFrame:
+    """``{race, timestamp, place, predictions: [...]}``, documents per race and predicted place (SNK4).
 
-    A document holds the predictions that share a place, ordered by all their columns; a race's documents in order of
-    ``place`` are its whole prediction. So a document stays small however many rows a race has.
+    A document holds predictions that share a place, ordered by all their columns; a race's documents in order of ``place``
+    are its whole prediction. A place that more than ``per_document`` rows share has so many documents that each has about
+    that many of them, dealt by a digest of the row, so a document stays small however many rows a race or a place has.
     """
     entry = F.struct(*predictions.columns)
+    named = predictions.select(F.col(race).alias("race"), F.col("PredictedPosition").alias("place"), entry.alias("_row"))
+    sizes = named.groupBy("race", "place").agg(F.ceil(F.count(F.lit(1)) / per_document).alias("_parts"))
+    large = sizes.filter("_parts > 1").select(F.col("race").alias("_race"), F.col("place").alias("_place"), "_parts")
+    same = F.col("race").eqNullSafe(F.col("_race")) & F.col("place").eqNullSafe(F.col("_place"))
+    dealt = named.join(large, same, "left").withColumn("part", F.pmod(F.xxhash64(F.to_json("_row")), F.coalesce("_parts", F.lit(1))).cast("int"))
     return (
-        predictions.groupBy(F.col(race).alias("race"), F.col("PredictedPosition").alias("place"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("predictions"))
+        dealt.groupBy("race", "place", "part")
+        .agg(F.array_sort(F.collect_list("_row")).alias("predictions"))
         .select("race", (F.lit(timestamp) if isinstance(timestamp, str) else timestamp).alias("timestamp"), "place", "predictions")
     )
 

@@ -24,6 +24,7 @@ from ..functions.records import default_session, record_id
 from ..operators.intervals import lap_segments
 from ..operators.lookup import extend_ids
 from ..operators.ordered import numbered, scratch_scope, settle
+from ..operators.partials import merged_sessions, session_partials
 from ..plans import records
 from ..schemas import LAPS, TOPICS
 from ..sources.readers import decode, read_topic, split_corrupt
@@ -249,6 +250,7 @@ def batch_writer(topic: str, settings: JobSettings, run: str = "") -> Callable[[
         def put(rows: DataFrame) -> None:
             made, state = enrich(rows)
             write_batch(made.withColumn("run", F.lit(run)), batch_id, path, (*SESSION, "run"))
+            write_batch(session_partials(rows, table).withColumn("run", F.lit(run)), batch_id, f"{settings.tables}/_catalogue", ("table_name", "run"))
             if state is not None:
                 write_batch(state, batch_id, f"{settings.tables}/last_known")
                 prune_versions(rows.sparkSession, f"{settings.tables}/last_known")
@@ -272,6 +274,12 @@ def batch_writer(topic: str, settings: JobSettings, run: str = "") -> Callable[[
     return unless_empty(write)
 
 
+def catalogue(spark: SparkSession, settings: JobSettings) -> DataFrame:
+    """Rows, drivers and teams per table and session, from what the batches have left, without a scan of the tables
+    (AGG5-AGG7, AGG20); distinct names by sketches, see ``operators/partials``."""
+    return merged_sessions(spark.read.parquet(f"{settings.tables}/_catalogue"))
+
+
 def run_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of all runs of a query with one checkpoint, kept in the checkpoint's folder."""
     jvm = spark.sparkContext._jvm

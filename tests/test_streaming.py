@@ -256,7 +256,7 @@ def test_a_batch_reads_the_segments_of_its_sessions_only(spark, tmp_path):
 def test_segments_are_extended_batch_by_batch(spark, tmp_path):
     """After every batch the kept segments are those of all laps so far; drivers that a batch lacks are taken over."""
     from apexframe.operators.intervals import lap_segments
-    from apexframe.streaming.jobs import segments_of, sessions_of
+    from apexframe.streaming.jobs import catalogue, segments_of, sessions_of
 
     s = settings(tmp_path)
     batches = [
@@ -271,6 +271,9 @@ def test_segments_are_extended_batch_by_batch(spark, tmp_path):
         expected = lap_segments(table).collect()
         got = segments_of(spark, s, sessions_of(table))
         assert sorted(map(str, got.select(*lap_segments(table).columns).collect())) == sorted(map(str, expected)), i
+        kept = {(r.table_name, r.Year, r.GrandPrix, r.SessionType): (r.n, r.drivers, r.teams) for r in catalogue(spark, s).collect()}
+        scanned = table.groupBy("Year", "GrandPrix", "SessionType").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("Driver").alias("d"), F.countDistinct("Team").alias("t"))
+        assert kept == {("telemetry", r.Year, r.GrandPrix, r.SessionType): (r.n, r.d, r.t) for r in scanned.collect()}, i
     folders = list((tmp_path / "tables" / "lap_segments").glob("session=*"))
     assert len(folders) == 2 and all(len(list(f.glob("batch_id=*"))) <= 2 for f in folders)
 

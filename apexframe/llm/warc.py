@@ -100,6 +100,7 @@ class Inflated:
 
     def __init__(self, source, size: int | None = None):
         self.source, self.left, self.held, self.more, self.unpacker = source, size, b"", b"", zlib.decompressobj(GZIP)
+        self.begun = False
 
     def _fill(self) -> bool:
         """More inflated bytes to ``held``; False at the end."""
@@ -110,7 +111,14 @@ class Inflated:
                 if self.left is not None:
                     self.left -= len(self.more)
                 if not self.more:
+                    # a member is over when its trailer has been read and found right
+                    if self.begun and not self.unpacker.eof:
+                        self.held += (rest := self.unpacker.flush())
+                        if not rest:
+                            raise ValueError("the stream is cut off")
+                        return True
                     return False
+                self.begun = True
             if self.unpacker.eof:
                 self.unpacker = zlib.decompressobj(GZIP)
             data = self.unpacker.decompress(self.more, PIECE)
@@ -262,10 +270,16 @@ def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
     """Rewrite archives (column ``archive``, names in ``folder``) with one gzip member per record; returns the offset index.
 
     A file ``<archive>.cdx`` beside each archive holds its part of the index. A task takes whole archives, as a stream
-    can only be inflated from its start.
+    can only be inflated from its start. A stream that is cut off ends the job with an error, and so does another number of
+    records than ``archives`` states, if it has a column ``records``.
     """
     n = archives.count()
-    return settle(archives.select("archive").repartition(max(n, 1)).mapInArrow(_normalised(folder, target), _INDEX))
+    index = settle(archives.select("archive").repartition(max(n, 1)).mapInArrow(_normalised(folder, target), _INDEX))
+    if "records" in archives.columns:
+        stated, found = archives.agg(F.sum("records")).first()[0] or 0, index.count()
+        if stated != found:
+            raise ValueError(f"{found} records in archives of {stated}")
+    return index
 
 
 def read_members(index: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:

@@ -98,3 +98,30 @@ def test_streams_of_several_members_and_broken_ones():
         list(broken.body(int(W.fields(broken.head())["content-length"])))
     with pytest.raises(ValueError):
         W.fields(b"HTTP/1.1 200 OK")
+
+
+@pytest.mark.parametrize("cut", ["at a record", "within a record", "no trailer", "half a trailer"])
+def test_cut_off_streams_are_refused(cut):
+    records = [W.record(i, "u", (b"%d " % i) * 2000, None, False) for i in range(3)]
+    packer = zlib.compressobj(wbits=W.GZIP)
+    parts = [packer.compress(r) + packer.flush(zlib.Z_SYNC_FLUSH) for r in records]
+    whole = b"".join(parts) + packer.flush()
+    data = {"at a record": b"".join(parts[:2]), "within a record": whole[: len(parts[0]) + 9], "no trailer": whole[:-8], "half a trailer": whole[:-3]}[cut]
+
+    def read(data):
+        stream, n = W.Inflated(io.BytesIO(data)), 0
+        while (head := stream.head()) is not None:
+            n += bool(b"".join(stream.body(int(W.fields(head)["content-length"]))))
+        return n
+
+    assert read(whole) == 3 and read(b"") == 0
+    with pytest.raises(ValueError):
+        read(data)
+
+
+def test_missing_records_are_noticed(spark, tmp_path):
+    streams = str(tmp_path / "streams")
+    archives = W.write_archives(frame(spark, ROWS), streams, "page_id", "url", "html")
+    more = archives.withColumn("records", archives.records + 1)
+    with pytest.raises(ValueError, match="records in archives"):
+        W.normalise(more, streams, str(tmp_path / "members"))

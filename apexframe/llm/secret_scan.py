@@ -167,13 +167,107 @@ def armoured_kind(body: str) -> int | None:
     return key_kind(data)
 
 
+class _Lines:
+    """Lines of base64 that follow one another, read once from the first; any of them may begin a key."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text = text
+        self.rows = [(start, end, end - start, True)]  # start, end, letters, whether it ends without padding
+        while self.rows[-1][3] and (joint := _JOINT.match(text, end)) and (run := _RUN.match(text, joint.end())):
+            letters = len(run[0].rstrip("="))
+            end = run.end()
+            self.rows.append((run.start(), end, letters, letters == len(run[0])))
+        self.index = {row[0]: i for i, row in enumerate(self.rows)}
+        # up to which line the lines from each one on are as long as it
+        self.to = [0] * len(self.rows)
+        for i in range(len(self.rows) - 1, -1, -1):
+            alike = i + 1 < len(self.rows) and self.rows[i][3] and self.rows[i + 1][3] and self.rows[i + 1][2] == self.rows[i][2]
+            self.to[i] = self.to[i + 1] if alike else i + 1
+
+
+class _Candidate:
+    """A key that begins with line ``i``: its lines are of one length, the last one may be shorter or padded."""
+
+    def __init__(self, lines: _Lines, i: int):
+        self.lines, self.i, self.width = lines, i, lines.rows[i][2]
+        self.full = lines.to[i] - i
+        after = lines.rows[lines.to[i]] if lines.to[i] < len(lines.rows) and lines.rows[i][3] else None
+        self.last = after[2] if after and after[2] <= self.width else 0
+        self.count = self.full + (1 if self.last else 0)
+
+    def letters(self, n: int) -> int:
+        return n * self.width if n <= self.full else self.full * self.width + self.last
+
+    def needed(self, most: int) -> int:
+        """The lines that hold ``most`` letters, or all there are."""
+        n = max(2, -(-most // self.width))
+        return n if n <= self.full else self.count
+
+    def text(self, start: int, end: int) -> str:
+        rows, w = self.lines.rows, self.width
+        pieces = []
+        for line in range(start // w, -(-end // w)):
+            if line >= self.count:
+                break
+            at, _, letters, _ = rows[self.i + line]
+            pieces.append(self.lines.text[at + max(start - line * w, 0) : at + min(end - line * w, letters)])
+        return "".join(pieces)
+
+    def bytes(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at`` on, or fewer; only their letters are decoded."""
+        part = self.text(at // 3 * 4, -(-(at + n) // 3) * 4)
+        return (decoded(part) or b"")[at % 3 : at % 3 + n]
+
+    def number(self, at: int, n: int) -> int:
+        found = self.bytes(at, n)
+        return int.from_bytes(found, "big") if len(found) == n else 1 << 40
+
+    def is_ssh(self, size: int) -> bool:
+        """Whether the lengths of an OpenSSH key add up to ``size``, from the lengths alone."""
+        at, strings = len(MAGIC), 3
+        while strings:
+            at += 4 + self.number(at, 4)
+            strings -= 1
+            if at > size:
+                return False
+        keys = self.number(at, 4)
+        at += 4
+        if not 1 <= keys <= 16:
+            return False
+        for _ in range(keys + 1):
+            at += 4 + self.number(at, 4)
+            if at > size:
+                return False
+        return at == size
+
+    def is_der(self, head: int, size: int) -> bool:
+        """Whether the items of a sequence of ``size`` bytes, the first ``head`` being its own length, fill it."""
+        at, items = head, 0
+        while at < size and items < 64:
+            length, more = self.number(at + 1, 1), 0
+            if length & 0x80:
+                more = length & 0x7F
+                if not 1 <= more <= 4:
+                    return False
+                length = self.number(at + 2, more)
+            at += 2 + more + length
+            items += 1
+        return at == size
+
+
 def wrapped_keys(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, kind, end) of keys in lines of base64 of one length, the last of which may be shorter, without armour."""
-    at = 0
+    """(start, kind, end) of keys in lines of base64 of one length, the last of which may be shorter, without armour.
+
+    Lines that follow one another are read once, however many of them look like the beginning of a key, and a key is
+    decoded only if the lengths that it states, read at their places, add up.
+    """
+    at, lines = 0, None
     while m := _FIRST.search(text, at):
         at, width = m.end(), len(m[0])
         head = decoded(m[0][:16]) or b""
-        if not head.startswith(MAGIC[:9]):
+        ssh = head.startswith(MAGIC[:9])
+        n = size = 0
+        if not ssh:
             n = head[1] & 0x7F if head[1] & 0x80 else 0
             # a sequence begins with a number or another sequence
             if n > 4 or head[2 + n] not in (0x02, 0x30):
@@ -181,23 +275,23 @@ def wrapped_keys(text: str) -> Iterator[tuple[int, int, int]]:
             size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
             if size <= width * 3 // 4:
                 continue  # it would end on its first line
-            most = (size * 4 + 2) // 3
-        else:
-            most = len(text)
-        ends, letters, pieces, end = [], width, [m[0]], m.end()
-        while letters < most and (joint := _JOINT.match(text, end)) and (run := _RUN.match(text, joint.end())):
-            piece = run[0].rstrip("=")
-            if len(piece) > width:
-                break
-            pieces.append(piece)
-            letters += len(piece)
-            end = run.end()
-            ends.append((len(pieces), end))
-            if len(piece) < width or run[0] != piece:
-                break
+        if lines is None or m.start() not in lines.index:
+            lines = _Lines(text, m.start(), m.end())
+        i = lines.index[m.start()]
+        if lines.rows[i][1] != m.end():
+            continue  # padded
+        key = _Candidate(lines, i)
+        most = key.count if ssh else key.needed((size * 4 + 2) // 3)
         # what follows the last line may look like a shorter one
-        for n, end in ends[:-3:-1]:
-            if kind := key_kind(decoded("".join(pieces[:n]))):
+        for count in (most, most - 1):
+            letters = key.letters(count)
+            if count < 2 or letters % 4 == 1:
+                continue
+            total = letters * 3 // 4
+            if not (key.is_ssh(total) if ssh else total == size and key.is_der(2 + n, size)):
+                continue
+            if kind := key_kind(decoded(key.text(0, letters))):
+                end = lines.rows[i + count - 1][1]
                 yield m.start(), kind, end
                 at = end
                 break

@@ -138,3 +138,19 @@ def test_wrapped_base64_without_armour():
 
 def test_openssh_keys_in_hexadecimal():
     assert kinds("x " + SSH.hex() + " y") == [("ssh", SSH.hex())] and kinds(SSH.hex().upper()) == [("ssh", SSH.hex().upper())]
+
+
+def test_time_grows_with_the_length_of_lines_that_look_like_keys():
+    """Megabytes of lines that each begin like a key: no line is read once per line before it."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    line = lambda: rng.choice(["b3BlbnNzaC1rZXktdjEA", "MIIE" + "A" * 16, "MIQAAAAA" + "AgEA" * 3]) + "".join(rng.choice("ABCabc") for _ in range(44))
+    seconds = []
+    for megabytes in (1, 2, 4):
+        text = "\n".join(line() for _ in range(megabytes << 14))
+        start = time.perf_counter()
+        assert not [s for s in S.spans(text) if s[1] in (3, 4)]
+        seconds.append(time.perf_counter() - start)
+    assert seconds[2] < 10 * seconds[0] and seconds[2] < 20

@@ -102,23 +102,32 @@ def _grams(c: Column, n: int) -> Column:
 
 
 def _contained(small: DataFrame, large: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``scope, _small, _large``: the texts (``_text``, each once) of which one occurs in the other.
+    """``scope, _rule, _small, _large``: the texts (``_text``) of a rule of which one occurs in the other.
 
     A text is looked up under its rarest piece of three characters (itself, if it is shorter) among the pieces of the larger
-    texts, which are as many as their characters, and what that finds is compared in full.
+    texts, which are as many as their characters, and what that finds is compared in full. A text that several rules
+    have is cut into pieces once; the bits of a number say which rules have it.
     """
-    text = F.col("_text")
-    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(text, n) for n in range(1, _GRAM + 1))))
-    offered = large.select(*scope, text.alias("_large"), F.explode(pieces).alias("_gram"))
+    def once(texts: DataFrame, name: str) -> DataFrame:
+        bit = F.expr("shiftleft(1L, _rule)")
+        return texts.groupBy(*scope, F.col("_text").alias(f"_{name}")).agg(F.bit_or(bit).alias(f"_{name}_rules"))
+
+    ours, theirs = once(small, "small"), once(large, "large")
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(F.col("_large"), n) for n in range(1, _GRAM + 1))))
+    offered = theirs.select("*", F.explode(pieces).alias("_gram"))
     frequency = offered.groupBy(*scope, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    text = F.col("_small")
     own = F.when(F.length(text) < _GRAM, F.array(text)).otherwise(F.array_distinct(_grams(text, _GRAM)))
     rarest = (
-        small.select(*scope, text.alias("_small"), F.explode(own).alias("_gram"))
+        ours.select("*", F.explode(own).alias("_gram"))
         .join(frequency, [*scope, "_gram"])
-        .groupBy(*scope, "_small")
+        .groupBy(*scope, "_small", "_small_rules")
         .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     )
-    return rarest.join(offered, [*scope, "_gram"]).filter(F.contains("_large", "_small")).select(*scope, "_small", "_large")
+    both = F.col("_small_rules").bitwiseAND(F.col("_large_rules"))
+    found = rarest.join(offered, [*scope, "_gram"]).filter((both != 0) & F.contains("_large", "_small"))
+    rules = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(both, i) == 1)
+    return found.select(*scope, F.explode(rules).alias("_rule"), "_small", "_large")
 
 
 def resolve_names(
@@ -156,7 +165,7 @@ def resolve_names(
         ours, theirs, inside = wanted.select(*key, "_text").distinct(), named.select(*key, "_text"), of("left_in_right")
         small = ours.filter(inside).unionByName(theirs.filter(of("right_in_left")))
         large = theirs.filter(inside).unionByName(ours.filter(of("right_in_left")))
-        pairs = _contained(small, large, key).select(
+        pairs = _contained(small, large, scope).select(
             *key, F.when(inside, F.col("_small")).otherwise(F.col("_large")).alias("_text"),
             F.when(inside, F.col("_large")).otherwise(F.col("_small")).alias("_other"),
         )

@@ -181,8 +181,10 @@ def exact_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
     of ``docs`` are ignored; an empty table gives none.
     """
     index, keys = build_index(docs, row_id, text, bucket_bytes)
-    chosen = keys.groupBy("key", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tag")).alias("best"))
-    groups = index.join(chosen, ["key", "sha"]).select("key", "sha", "keep_id", "group_size", F.col("best.tag").alias("keep_tag"))
+    # of rows with one id, the same row stays however the files are cut
+    chosen = keys.groupBy("key", "sha").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row_key", "tag")).alias("best"))
+    # written, so that the join below has a shuffle of its own, in which the rows of a text with many copies can be split
+    groups = settle(index.join(chosen, ["key", "sha"]).select("key", "sha", "keep_id", "group_size", F.col("best.tag").alias("keep_tag")))
     return keys.join(groups, ["key", "sha"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "row_key",

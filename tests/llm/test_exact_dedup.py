@@ -77,3 +77,33 @@ def test_stage_keeps_whole_rows(make):
     kept = E.deduplicated(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in EDGES})
+
+
+def test_the_same_row_stays_in_any_layout(spark, make):
+    rows = [(1, "a  b"), (1, "a b"), (1, "a\tb"), (2, "a b"), (None, "c"), (None, " c"), (None, "c ")]
+    kept = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for files in (1, 5):
+            kept.add(tuple(sorted((str(r.doc_id), r.text) for r in E.deduplicated(make(order).repartition(files)).collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 4
+
+
+def test_the_copies_of_one_text_are_split(spark, make):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot text").otherwise(F.concat(F.lit("t "), "id")).alias("text"))
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        found = E.exact_duplicates(docs)
+        assert found.filter("kept").count() == 30_001
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

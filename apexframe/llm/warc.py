@@ -255,7 +255,8 @@ def write_archives(pages: DataFrame, folder: str, row_id: str, uri: str, payload
     rows = small_batches(pages).select(
         F.col(row_id).cast("long").alias("id"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("payload")
     ).withColumn("sha", F.sha2("payload", 256))
-    copies = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join has a shuffle of its own, in which the rows of a payload with many copies can be split
+    copies = settle(rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     known = F.coalesce("id", F.lit(-1))
     revisits = (
         rows.select("sha", "id").join(copies, "sha").filter("refers_to IS NOT NULL AND NOT (id <=> refers_to)")

@@ -111,25 +111,35 @@ def host_rates(measures: DataFrame) -> DataFrame:
     return hosts.withColumns(rates)
 
 
+def exceeds(max_rate: float) -> Column:
+    return F.greatest(*(F.col(f"rate_{name}") for name in HOST_RULES)) > max_rate
+
+
 def rejected_hosts(measures: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    bad = F.greatest(*(F.col(f"rate_{name}") for name in HOST_RULES)) > max_rate
-    return host_rates(measures).filter(bad).select("host")
+    return host_rates(measures).filter(exceeds(max_rate)).select("host")
 
 
-def judged(docs: DataFrame, row_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judged(
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5, rates: bool = False
+) -> DataFrame:
     """One row per input row: ``doc_id``, the counts, ``base_failed, host_failed, kept`` and ``row_key``.
 
     A document stays if it passes the base rules and its host is not rejected; a document without a host is judged by the
-    base rules alone. Null and empty texts have no words and fail. Other columns are ignored; an empty table gives none.
+    base rules alone. With ``rates`` come the shrunken failure rates of its host, ``rate_<rule>`` to six places, null
+    without a host. Null and empty texts have no words and fail; a long text is measured whole, by one task. Rows that repeat
+    each count. Other columns are ignored; an empty table gives none.
     """
     measures = settle(measured(docs, row_id, text, host))
-    salted = rejected_hosts(measures, max_rate).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("bad"))
+    of_host = [f"rate_{name}" for name in HOST_RULES] if rates else []
+    hosts = host_rates(measures).withColumn("bad", exceeds(max_rate)) if rates else rejected_hosts(measures, max_rate).withColumn("bad", F.lit(True))
+    rounded = [F.round(c, 6).alias(c) for c in of_host]
+    salted = hosts.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "bad", *rounded)
     spread = measures.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
     joined = spread.join(salted, ["host", "salt"], "left").withColumns(
         {"base_failed": base_failed(), "host_failed": F.coalesce("bad", F.lit(False))}
     )
     return joined.select(
-        F.col("id").alias("doc_id"), *_COUNTS, "base_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "row_key"
+        F.col("id").alias("doc_id"), *_COUNTS, "base_failed", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), *of_host, "row_key"
     )
 
 

@@ -92,13 +92,17 @@ h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (bad)::DOUBLE
 s AS (SELECT rule, sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS square, count(*) / sum(n) AS per FROM h GROUP BY rule),
 v AS (SELECT rule, mean, mean * (1 - mean) AS chance, square - mean * mean - mean * (1 - mean) * per AS between_hosts FROM s),
 p AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(chance / between_hosts - 1, 2.0::DOUBLE), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS strength FROM v),
-bad AS (SELECT DISTINCT source FROM h JOIN p USING (rule) WHERE (mean * strength + f) / (strength + n) > 0.5::DOUBLE)
+rates AS (SELECT source, rule, (mean * strength + f) / (strength + n) AS rate FROM h JOIN p USING (rule)),
+hosts AS (SELECT source, max(rate) > 0.5::DOUBLE AS bad, round(max(rate) FILTER (rule = 1), 6) AS rate_few_words, round(max(rate) FILTER (rule = 2), 6) AS rate_repeats,
+  round(max(rate) FILTER (rule = 3), 6) AS rate_symbols, round(max(rate) FILTER (rule = 4), 6) AS rate_same_lines, round(max(rate) FILTER (rule = 5), 6) AS rate_word_length
+  FROM rates GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  bad.source IS NOT NULL AS host_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.source IS NULL AS kept
-FROM m LEFT JOIN bad ON m.source = bad.source
+  coalesce(bad, false) AS host_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(bad, false) AS kept,
+  rate_few_words, rate_repeats, rate_symbols, rate_same_lines, rate_word_length
+FROM m LEFT JOIN hosts ON m.source = hosts.source
 """)
 def _(documents):
-    return host_rules.judged(documents).drop("row_key")
+    return host_rules.judged(documents, rates=True).drop("row_key")
 
 
 def dated_list(events: DataFrame, pages: DataFrame) -> DataFrame:

@@ -56,3 +56,30 @@ def test_bad_hosts_fall_and_small_or_unknown_hosts_do_not(make):
 def test_empty_table_and_no_hosts(make):
     assert H.judged(make([])).count() == 0 and H.passing(make([])).count() == 0
     assert [r.kept for r in H.judged(make([(1, WORDS, None), (2, "", None)])).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_rates_of_hosts(make):
+    """Shrunken by hand: moments of the hosts' rates, then each host between its own rate and the mean."""
+    rows = [(100 * h + k, "a b" if k < 5 * h else " ".join(f"{w}{h}{k}" for w in WORDS.split()), f"h{h}") for h in range(5) for k in range(20 + h)]
+    rows += [(9000, "a b", None), (9001, None, None), (1, "again", "h0"), (1, "again", "h0")]
+    hosts = {}
+    for _, t, h in rows:
+        if h is not None:
+            hosts.setdefault(h, []).append(len((t or "").split()) < 10)
+    n, f = sum(map(len, hosts.values())), sum(map(sum, hosts.values()))
+    mean = f / n
+    chance = mean * (1 - mean)
+    between = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / n - mean**2 - chance * len(hosts) / n
+    strength = chance / between - 1
+    assert between > 0 and strength > 2
+    wanted = {h: round((mean * strength + sum(x)) / (strength + len(x)), 6) for h, x in hosts.items()}
+    source = {r[0]: r[2] for r in rows}
+    got = H.judged(make(rows), rates=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.rate_few_words is None) == (source[r.doc_id] is None)
+        if source[r.doc_id] is not None:
+            assert abs(r.rate_few_words - wanted[source[r.doc_id]]) < 2e-6
+            assert r.host_failed == (wanted[source[r.doc_id]] > 0.5)
+    assert {r.host_failed for r in got} == {True, False}
+    assert H.judged(make([(1, "x", None)]), rates=True).collect()[0].rate_symbols is None and H.judged(make([]), rates=True).count() == 0

@@ -1,17 +1,20 @@
 """Tool calls of conversations: linked to their results, put in order, checked and written as canonical JSON.
 
 Calls and results are joined by conversation and identifier. A call may need the results of others; the order respects
-that and otherwise follows the turns. It is found by relabelling, not by collecting conversations: every call starts with
-its own turn as label, a call that needs one with a label not before its own takes that label and one step more, and
-this repeats until no label changes. Where the turns already respect the needs, the first look changes nothing. Cycles are found
-beforehand, among the few calls that can lie on one.
+that and otherwise follows the turns. A call's label is its own turn, or that of the call it needs and one step more,
+whichever comes later. Where the turns respect all needs of a conversation, every label is the turn. Other conversations
+are labelled whole, each by one task, if their identifiers are at most ``SMALL`` bytes. Longer ones are never collected:
+every call starts with its own turn as label, a call that needs one with a label not before its own takes that label and
+one step more, and this repeats until no label changes. Their cycles are found beforehand, among the few calls that can
+lie on one.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +25,10 @@ from .common import slices, small_batches
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 _CALL = ["conv_id", "call_id"]
+#: Bytes of identifiers, and ``ROW_BYTES`` for every call and need, up to which one task orders a conversation.
+SMALL = 1 << 20
+ROW_BYTES = 32
+LAST = (1 << 63) - 1
 
 
 def canonical(value) -> str:
@@ -154,6 +161,59 @@ def cyclic_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
         inside = settle(left.select(*_CALL).intersect(left.select("conv_id", F.col("need").alias("call_id"))))
 
 
+def peeled(waits: Mapping[str, list[str]], frees: Mapping[str, list[str]]) -> list[str]:
+    """The keys of ``waits`` so that all a key waits for comes before it; those that wait for a cycle are left out.
+
+    ``frees`` is the other direction; names in it that are no keys of ``waits`` are passed over.
+    """
+    left = {c: len(w) for c, w in waits.items()}
+    out = [c for c, n in left.items() if not n]
+    for c in out:  # grows while it is read
+        for d in frees.get(c, ()):
+            if d in left:
+                left[d] -= 1
+                if not left[d]:
+                    out.append(d)
+    return out
+
+
+def labels_of(turn: Mapping[str, int], needs: Mapping[str, list[str]]) -> dict[str, tuple[int, int] | None]:
+    """The label of every call of a conversation, in a time that grows with its calls and needs; None on a cycle, or
+    between two."""
+    users = defaultdict(list)
+    for c, wanted in needs.items():
+        for n in wanted:
+            users[n].append(c)
+    order = peeled({c: needs.get(c, []) for c in turn}, users)
+    rest = set(turn).difference(order)
+    # of those that wait for a cycle, the ones that no cycle waits for have a place
+    order += reversed(peeled({c: [u for u in users[c] if u in rest] for c in rest}, needs))
+    out: dict[str, tuple[int, int] | None] = dict.fromkeys(turn)
+    for c in order:
+        before = [out[n] for n in needs.get(c, ()) if out[n] is not None]
+        out[c] = max([(turn[c], 0), *((t, step + 1) for t, step in before)])
+    return out
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 16):
+        rows, numbers = [], []
+        for i, calls in enumerate(batch.column(1).to_pylist()):
+            needs = defaultdict(list)
+            for c in calls:
+                if c["need"] is not None:
+                    needs[c["call_id"]].append(c["need"])
+            found = labels_of({c["call_id"]: c["turn"] for c in calls if c["need"] is None}, needs)
+            numbers += [i] * len(found)
+            rows += [(c, *(label or (LAST, 0)), label is None) for c, label in found.items()]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(numbers, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            [*_CALL, "order_turn", "order_step", "cyclic"],
+        )
+
+
 def ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """``conv_id, call_id, order_turn, order_step, cyclic`` of calls (``conv_id, call_id, turn``, each once).
 
@@ -161,9 +221,29 @@ def ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
     conversation are ignored. Sorting by (order_turn, order_step) is a topological order. Calls on a cycle of needs
     have no place in one and come last, and needs of such calls, which cannot be met, are ignored, too.
     """
+    calls = settle(calls)
+    at = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
     edges = settle(
-        needs.join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).select("conv_id", "call_id", "need").distinct()
+        needs.distinct().join(at, ["conv_id", "need"]).join(calls, _CALL).select("conv_id", "call_id", "need", (F.col("need_turn") >= F.col("turn")).alias("back"))
     )
+    of_calls = calls.select(*_CALL, "turn", F.lit(None).cast("string").alias("need"), F.lit(False).alias("back"))
+    rows = of_calls.unionByName(edges, allowMissingColumns=True)
+    size = F.sum(F.octet_length("call_id") + F.coalesce(F.octet_length("need"), F.lit(0)) + ROW_BYTES).alias("size")
+    # the sizes are written first, so that the rows of a long conversation can be split in the joins
+    sizes = settle(rows.groupBy("conv_id").agg(size, F.bool_or("back").alias("back")).filter("back").select("conv_id", "size"))
+    start = calls.select(*_CALL, F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_step"), F.lit(False).alias("cyclic"))
+    touched = settle(rows.drop("back").join(sizes, "conv_id"))
+    small, large = touched.filter(F.col("size") <= SMALL), touched.filter(F.col("size") > SMALL)
+    whole = small.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "turn", "need")).alias("calls"))
+    fields = f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, call_id string, order_turn long, order_step long, cyclic boolean"
+    out = start.join(sizes, "conv_id", "left_anti").unionByName(small_batches(whole).mapInArrow(_labelled, fields))
+    if large.isEmpty():
+        return out
+    return out.unionByName(relabelled(large.filter("need IS NULL").select(*_CALL, "turn"), large.filter("need IS NOT NULL").select(*_CALL, "need")))
+
+
+def relabelled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """``ordered`` of conversations of any length, in as many rounds as the longest chain of needs of later calls."""
     cyclic = settle(cyclic_calls(calls, edges))
     edges = settle(edges.join(cyclic, _CALL, "left_anti").join(cyclic.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"))
     labels = settle(calls.select(*_CALL, F.struct("turn", F.lit(0).cast("long").alias("step")).alias("label")))
@@ -174,7 +254,7 @@ def ordered(calls: DataFrame, needs: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
         labels = settle(labels.join(moved, _CALL, "left").select(*_CALL, F.coalesce("pushed", "label").alias("label")))
-    last = F.struct(F.lit((1 << 63) - 1).alias("turn"), F.lit(0).cast("long").alias("step"))
+    last = F.struct(F.lit(LAST).alias("turn"), F.lit(0).cast("long").alias("step"))
     flagged = labels.join(cyclic.withColumn("cyclic", F.lit(True)), _CALL, "left")
     placed = F.when(F.col("cyclic"), last).otherwise(F.col("label"))
     return flagged.select(*_CALL, placed["turn"].alias("order_turn"), placed["step"].alias("order_step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
@@ -190,21 +270,27 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     Columns ``conv_id, call_id, name, call_turn, result_turn, order_turn, order_step, status, errors, json``. Status:
     ``ok``, ``no result``, ``early result`` (before its call), ``invalid`` (unknown tool, arguments that are no JSON
     object or violate the schema; ``errors`` says which), ``cycle``, ``repeated`` (an identifier used again: the
-    earliest call owns it, and the earliest result answers it), ``orphan`` (a result without call). ``json`` is the
+    earliest call owns it, and the earliest result answers it; of equal turns, that whose content has the smallest
+    digest, so only rows that repeat everything are interchangeable), ``orphan`` (a result without call). ``json`` is the
     canonical form of the call with its result, null where the arguments are no JSON.
 
-    Conversations and identifiers may be null: such rows are ``orphan`` or ``no result``, linked to nothing. Other
-    columns are ignored; empty tables give no rows.
+    Conversations and identifiers may be null: such rows are ``orphan`` or ``no result``, linked to nothing. A missing
+    turn comes after all others. Arguments and contents of any length are parsed and written whole, one row at a time.
+    Other columns are ignored; empty tables give no rows.
     """
     for name, schema in schemas.items():
         refuse_unknown(schema, name)
     small_batches(calls)
     tag = F.monotonically_increasing_id().alias("tag")
-    calls = settle(calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), tag))
-    results = settle(results.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "content", tag))
+    wanted = F.coalesce("needs", F.array().cast("array<string>"))
+    said = F.sha2(F.to_json(F.array("name", "arguments", F.to_json(wanted))), 256).alias("digest")
+    calls = settle(calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "name", "arguments", wanted.alias("needs"), tag, said))
+    answer = F.sha2(F.to_json(F.array("content")), 256).alias("digest")
+    results = settle(results.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "content", tag, answer))
 
     def owners(rows: DataFrame) -> DataFrame:
-        first = F.min(F.struct(F.col("turn").isNull().alias("unknown"), "turn", "tag")).alias("first")
+        # the tag decides between rows that are alike in everything
+        first = F.min(F.struct(F.col("turn").isNull().alias("unknown"), "turn", "digest", "tag")).alias("first")
         return rows.dropna(subset=_CALL).groupBy(*_CALL).agg(first).select(*_CALL, F.col("first.tag").alias("tag"))
 
     owning, answering = owners(calls), owners(results)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 from collections import defaultdict
@@ -13,6 +14,13 @@ RESULTS = "conv_id long, call_id string, turn long, content string"
 GOOD = '{"to": "en", "text": "x"}'
 
 
+@pytest.fixture(params=[T.SMALL, 0], ids=["whole", "rounds"])
+def bound(request, monkeypatch):
+    """Conversations are ordered whole, or all of them by rounds over the table."""
+    monkeypatch.setattr(T, "SMALL", request.param)
+    return request.param
+
+
 def order(calls):
     """Labels by the definition, one conversation at a time; None for calls on a cycle, or between two."""
     turn = {c: t or 0 for c, t, _ in calls}
@@ -32,7 +40,12 @@ def order(calls):
 
 def brute(calls, results, schemas):
     owners, answers, out = {}, {}, []
-    by_turn = lambda rows: sorted(rows, key=lambda r: (r[2] is None, r[2] or 0))  # noqa: E731  stable
+
+    def by_turn(rows):
+        dumped = lambda v: json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+        said = lambda r: [r[3], r[4], dumped(r[5] or [])] if len(r) > 4 else [r[3]]
+        return sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, hashlib.sha256(dumped(said(r)).encode()).hexdigest()))
+
     for r in by_turn(calls):
         if r[0] is not None and r[1] is not None:
             owners.setdefault(r[:2], r)
@@ -95,7 +108,7 @@ EDGE_RESULTS = [
 ]
 
 
-def test_edge_rows(spark):
+def test_edge_rows(spark, bound):
     out = run(spark, EDGE_CALLS, EDGE_RESULTS)
     strict = {"k": None, "nan": None}  # stricter than the standard library: repeated keys and NaN are no JSON
     wanted = [(*r[:-1], strict.get(r[1], r[-1])) for r in brute(EDGE_CALLS, EDGE_RESULTS, SCHEMAS)]
@@ -105,17 +118,17 @@ def test_edge_rows(spark):
     assert [status[2, c, t] for c, t in (("a", 1), ("b", 2), ("self", 5), ("c", 3), ("d", 4))] == ["cycle"] * 3 + ["no result", "ok"]
 
 
-def test_order_is_topological(spark):
+def test_order_is_topological(spark, bound):
     rows = {(r[0], r[1]): (r[5], r[6]) for r in run(spark, EDGE_CALLS[:4], [])}
     assert rows[1, "b"] < rows[1, "a"] < rows[1, "c"] and rows[1, "a"] < rows[1, "d"]
 
 
-def test_long_backward_chain(spark):
+def test_long_backward_chain(spark, bound):
     calls = [(7, f"c{i}", i, "translate", GOOD, [f"c{i + 1}"]) for i in range(6)]
     assert run(spark, calls, []) == brute(calls, [], SCHEMAS)
 
 
-def test_random_needs(spark):
+def test_random_needs(spark, bound):
     rng = random.Random(4)
     calls = []
     for conv in range(40):
@@ -129,6 +142,7 @@ def test_random_needs(spark):
 def test_long_conversation_behind_a_cycle(spark, monkeypatch):
     """What follows a cycle is not looked at round by round."""
     settled = []
+    monkeypatch.setattr(T, "SMALL", 0)
     monkeypatch.setattr(T, "settle", lambda df, real=T.settle: settled.append(1) or real(df))
     calls = [(1, f"c{i}", i, "translate", GOOD, [f"c{i - 1}"] + (["c1"] if i == 0 else [])) for i in range(60)]
     assert run(spark, calls, []) == brute(calls, [], SCHEMAS)
@@ -171,3 +185,27 @@ def test_more_keywords():
     assert T.violations(None, several) == T.violations("x", several) == [] and T.violations(1, several) == ["$: type"]
     assert T.violations(1.0, {"const": 1}) == [] and T.violations(True, {"const": 1}) == T.violations(float("inf"), {"const": 1}) == ["$: const"]
     assert T.violations({"a": 1, "b": "x"}, {"properties": {}, "additionalProperties": {"type": "integer"}}) == ["$.b: type"]
+
+
+def test_ties_do_not_depend_on_the_files(spark):
+    calls = [(c, i, 4, "translate", json.dumps({"to": to, "text": f"{to}{k}"}), [f"x{k}"]) for c in range(3) for i in ("x0", "x1") for k, to in enumerate(["en", "fr", "de", "en"])]
+    results = [(c, i, 5, f"answer {k}") for c in range(3) for i in ("x0", "x1") for k in range(4)]
+    out = run(spark, calls, results)
+    assert out == run(spark, calls[::-1], results[::-1]) == brute(calls, results, SCHEMAS)
+    spread = T.linked(spark.createDataFrame(calls, CALLS).repartition(7, "arguments"), spark.createDataFrame(results, RESULTS).repartition(5, "content"), SCHEMAS)
+    assert got(spread) == out
+
+
+def test_long_chain_takes_no_rounds(spark, monkeypatch):
+    """A chain of needs of later calls, as long as its conversation, beside very long texts and identifiers."""
+    settled = []
+    monkeypatch.setattr(T, "settle", lambda df, real=T.settle: settled.append(1) or real(df))
+    calls = [(c, f"c{i}", i, "translate", GOOD, [f"c{i + 1}"]) for c in range(2) for i in range(1500)]
+    long = json.dumps({"to": "en", "text": "é\n" * 1_000_000}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    calls += [(5, "y" * 100_000, 1, "translate", long, ["z"]), (5, "z", 2, "translate", long, None)]
+    results = [(5, "z", 3, "r" * 2_000_000)]
+    rows = {(r[0], r[1]): r for r in run(spark, calls, results)}
+    assert len(rows) == len(calls) and len(settled) < 8
+    assert all(rows[c, f"c{i}"][5:7] == (1499, 1499 - i) for c in range(2) for i in range(1500))
+    assert rows[5, "y" * 100_000][5:8] == (2, 1, "no result") and rows[5, "z"][7] == "ok"
+    assert json.loads(rows[5, "z"][8]) == {"id": "z", "name": "translate", "arguments": json.loads(long), "result": "r" * 2_000_000}

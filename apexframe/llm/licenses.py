@@ -129,7 +129,8 @@ def licenses(docs: DataFrame, row_id: str = "doc_id", text: str = "text", texts:
     ``n_notices`` (lines that are known texts) and ``notices`` (their licences, sorted, each once, joined by commas).
 
     Null text is empty; an empty or blank text or line is no known text. Null ids and repeated rows are rows like others,
-    other columns are ignored, an empty table gives none. ``texts`` are known texts as (licence, text), a fixed list;
+    other columns are ignored, an empty table gives none. Long texts are taken whole, each by one task; of several licences
+    with one digest the first by name counts. ``texts`` are known texts as (licence, text), a fixed list;
     without it, ``TEXTS`` and the full texts of ``license_texts``.
     """
     known = known_digests(docs.sparkSession, texts or TEXTS)

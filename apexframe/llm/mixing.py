@@ -85,7 +85,7 @@ def mixed(
     ``taken`` counts the words the mix takes of the row, repeats included, so it is at most ``epochs`` sizes; a source's
     taken words add up to its target without the fraction. At most one row of a source is taken in part. The order is a
     hash of id and text, so reruns agree; rows that repeat both are alike. Null text has size 0, null sources are one
-    source, the last; null ids are rows like others; an empty table gives none. Other columns are ignored.
+    source, the last; null ids are rows like others; an empty table gives none. Long texts count whole. Other columns are ignored.
     """
     rows = settle(sized(docs, row_id, text, source, row))
     shares = targets(rows, weights, share, epochs)

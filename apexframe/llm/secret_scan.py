@@ -331,7 +331,8 @@ def secrets(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Data
     """One row per input row: ``doc_id`` and ``found``, an array of (kind, start, end) by start and order of kinds.
 
     Whole texts are scanned where they lie, without a shuffle. Null text is empty: nothing found. Null ids and repeated
-    rows are rows like others, other columns are ignored, an empty table gives none.
+    rows are rows like others, other columns are ignored, an empty table gives none. Spans that start together stand in
+    the order of ``KINDS``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -274,8 +274,8 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
 
     Fingerprints link at ``bits`` or fewer differing bits; a component is what links reach. ``component_id`` is its
     smallest id (null only if all of its ids are null), ``keep_key`` the row key of the one document that stays: the smallest
-    id, ties by row key. Null, empty and blank texts have fingerprint zero and link like any other. Other columns of
-    ``docs`` are ignored; an empty table gives none.
+    id, ties by row key. Null, empty and blank texts have fingerprint zero and link like any other; long texts
+    are read whole, by one task each. Other columns of ``docs`` are ignored; an empty table gives none.
     """
     prints = settle(fingerprints(docs, row_id, text, shingle))
     per_print = settle(

@@ -102,7 +102,8 @@ def judged(captures: DataFrame, entries: DataFrame, row_id: str = "page_id", url
     An entry is active from its date until its interval stops; entries that remove never decide, they only end what was.
     With ``resume``, a later entry of a key hides an earlier one only until it expires itself.
     The most specific active key decides. Captures without a host or fetch time have the verdict none. Null ids and
-    repeated rows are rows like others, other columns are ignored, an empty table gives none.
+    repeated rows are rows like others, other columns are ignored, an empty table gives none. Of entries of one key and
+    date, block goes before allow before remove. Addresses of any length are compared whole.
     """
     rows = captures.select(
         F.col(row_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), micros(F.col(fetched_at)).alias("at"),

@@ -51,6 +51,10 @@ def test_bad_hosts_fall_and_small_or_unknown_hosts_do_not(make):
     kept = H.passing(make(rows))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in df if r.kept)
     assert kept.columns == make([]).columns and {r["_key"] for r in kept.collect()} == {"x"}
+    clashing = make(rows).withColumns({c: F.lit("x") for c in ("row", "n_words", "n_lines", "bad")})
+    assert sorted(map(tuple, H.passing(clashing).collect())) == sorted((*r, "x", "x", "x", "x") for r in kept.collect())
+    again = H.passing(make(rows).union(make(rows)).withColumn("many", F.array(F.lit(None), F.col("source"))))
+    assert again.count() == 2 * kept.count() and again.schema["many"].dataType.simpleString() == "array<string>"
 
 
 def test_empty_table_and_no_hosts(make):

@@ -78,3 +78,9 @@ def test_filled_in_and_changed_licences(make):
             (5, bsd + "\nNo use on Sundays."), (6, bsd.replace("Neither", "Either")), (7, "see\n" + " ".join(isc.split("\n")[2:]) + "\nend")]
     got = {r.doc_id: r for r in L.licenses(make(rows)).collect()}
     assert [got[i].license for i in range(1, 8)] == ["Apache-2.0", "ISC", None, None, None, None, None] and (got[7].n_notices, got[7].notices) == (1, "ISC")
+
+
+def test_shipped_texts_get_the_second_look():
+    """Only texts that speak of licences or of who is liable are looked up in the form that the shipped texts are known by."""
+    texts = L.full_texts()
+    assert len(texts) > 15 and all(re.search("licen|liab", text.lower()) for _, text in texts)

@@ -107,3 +107,10 @@ def test_earlier_entries_resume(spark):
     got = sorted(map(tuple, U.judged(c, spark.createDataFrame(entries, ENTRY), resume=True).collect()), key=str)
     assert got == brute_resumed(captures, entries)
     assert [r[2] for r in sorted(got) if r[0] >= 10_000] == ["block", "allow", "block", "none", "block", "none"]
+
+
+def test_long_addresses(spark):
+    long = "/" + "p" * 500_000
+    entries = spark.createDataFrame([(f"address:h.example.org{long}", "block", at(1), at(9)), (f"address:h.example.org{long}x", "allow", at(1), at(9))], ENTRY)
+    captures = spark.createDataFrame([(1, f"http://h.example.org{long}", at(2)), (2, f"http://h.example.org{long}x?q", at(2)), (3, f"http://h.example.org{long}y", at(2)), (4, "http://" + "a." * 200 + "org/", at(2))], CAPTURE)
+    assert {r.page_id: r.verdict for r in U.judged(captures, entries).collect()} == {1: "block", 2: "allow", 3: "none", 4: "none"}

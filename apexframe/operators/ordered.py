@@ -184,10 +184,18 @@ def _exact_cuts(rows: DataFrame, n: int) -> list[tuple[object, bool]]:
     return [(r[0], r[1]) for r in numbers.withColumn("_new", new).filter("_new").orderBy("_place").select("_x", "_alone").collect()]
 
 
+#: Up to so many borders are a nested condition that Spark compiles; a longer list is one array literal that is searched.
+_COMPILED = 128
+
+
 def _reached(x: Column, borders: Sequence[object], passed: int = 0) -> Column:
     """How many of the sorted ``borders`` are not above ``x``, by halving."""
     if not borders:
         return F.lit(passed)
+    if len(borders) > _COMPILED:
+        held, n = F.array(*map(F.lit, borders)), len(borders)
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= x), at + step).otherwise(at)) + passed
     half = len(borders) // 2
     return F.when(x < F.lit(borders[half]), _reached(x, borders[:half], passed)).otherwise(
         _reached(x, borders[half + 1 :], passed + half + 1)

@@ -347,11 +347,9 @@ def _(t):
 
 @query("prj31_prediction_tags", """
 SELECT o_orderkey, 'Race' AS "SessionType", TRUE AS "IsPrediction", "Year" AS "SourceYear", "GrandPrix" AS "SourceEvent"
-FROM results WHERE "Year" IN (1996, 1998)""", uses="results")
+FROM results""", uses="results")
 def _(t):
-    return R.prediction_tags(t.results.filter(F.col("Year").isin(1996, 1998))).select(
-        "o_orderkey", "SessionType", "IsPrediction", "SourceYear", "SourceEvent"
-    )
+    return R.prediction_tags(t.results).select("o_orderkey", "SessionType", "IsPrediction", "SourceYear", "SourceEvent")
 
 
 @query("prj32_rounded_weather", """

@@ -1,5 +1,6 @@
 """Chunked ordered operators against plain windows, with a hot key and heavy ties."""
 
+import bisect
 import random
 import statistics
 
@@ -184,3 +185,14 @@ def test_alignments(spark):
     assert [r.Speed for r in spread.orderBy("t").collect()] == [[10.0, 0.0, 30.0][min(int(i / 5 * 3), 2)] for i in range(5)]
     timed = asof_align(left, right, ["k"], "t", "u", ["Speed"])
     assert [r.Speed for r in timed.orderBy("t").collect()] == [None, 10.0, 10.0, 0.0, 30.0]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "decimal(20,3)", "double"])
+def test_places_among_many_borders(spark, kind):
+    """A long list of borders is searched, a short one is a condition; both count the borders that are not above."""
+    values = [r[0] for r in spark.range(0, 3000).select(F.expr(f"CAST(CAST(id * 7919 % 100003 AS DECIMAL(20,3)) / 8 AS {kind})").alias("x")).distinct().collect()]
+    for n in (1, 128, 129, 1024, 1500):
+        borders = sorted(values[:n])
+        df = spark.createDataFrame([(v,) for v in [*values, None]], f"x {kind}")
+        got = df.withColumn("place", F.when(F.col("x").isNotNull(), W._reached(F.col("x"), borders))).collect()
+        assert all(r.place == (None if r.x is None else bisect.bisect_right(borders, r.x)) for r in got)

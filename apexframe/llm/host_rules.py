@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ordered import settle
-from .common import WORD, row_key, slices, small_batches, texts_of
+from .common import WORD, keep_rows, row_key, slices, small_batches, texts_of
 
 _WORD = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -147,19 +146,7 @@ def judged(
 def passing(docs: DataFrame, row_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that stay, repeated rows included, with their columns unchanged.
 
-    The rows are written once with their counts, whole, and read again without those that fail a base rule; the
-    rejected hosts are joined to what is left. Texts are shuffled only if the rejected hosts are too many for a broadcast.
-    Nulls, long texts and hosts as in ``judged``; every row is judged by its own host.
+    Nulls, long texts and hosts as in ``judged``. Rows that repeat id and text under several hosts stay together if one of them stays.
     """
-    fields = T.StructType([T.StructField("row", docs.schema), T.StructField("host", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            counts = zip(*(measure(t or "") for t in batch.column(0).field(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in counts)], fields.names)
-
-    rows = small_batches(docs).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(host).cast("string").alias("host"))
-    counted = settle(rows.mapInArrow(run, fields))
-    # written first: a host with very many rows can be split, where the join is one by shuffles
-    rejected = settle(rejected_hosts(counted.select("host", *_COUNTS), max_rate))
-    return counted.filter(~base_failed()).join(rejected, "host", "left_anti").select("row.*")
+    found = judged(docs, row_id, text, host, max_rate)
+    return keep_rows(docs, row_id, text, found.filter("kept").select(F.col("row_key").alias("_key")), single=False)

@@ -75,6 +75,13 @@ def _delete(jvm, settings, folder: str) -> None:
         path.getFileSystem(settings).delete(path, True)
 
 
+def enter_scope(folder: str) -> None:
+    """From now on, scratch tables of this thread go to ``folder``, such as the scope of the thread that started it."""
+    if not hasattr(_HERE, "scopes"):
+        _HERE.scopes = []
+    _HERE.scopes.append(folder)
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[str]:
     """Within it, scratch tables go to a folder of their own, which is deleted at its end.
@@ -82,9 +89,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
     For work that is finished inside, such as a micro-batch.
     """
     folder = f"{scratch(spark)}/scope-{uuid.uuid4().hex}"
-    if not hasattr(_HERE, "scopes"):
-        _HERE.scopes = []
-    _HERE.scopes.append(folder)
+    enter_scope(folder)
     try:
         yield folder
     finally:

@@ -369,3 +369,31 @@ def test_no_scratch_is_left_of_a_batch(spark, tmp_path):
     before = set(os.listdir(folder)) if os.path.exists(folder) else set()
     run(spark, s, "telemetry-data")
     assert set(os.listdir(folder)) <= before
+
+
+def test_failing_parts_are_halved_side_by_side(spark):
+    """Many bad rows: attempts go on at the same time, and none reads the blocks of other parts."""
+    import threading
+
+    from apexframe.operators.ordered import scratch, scratch_scope
+    from apexframe.streaming.jobs import failing_rows
+
+    bad = list(range(5, 20_000, 1_500))
+    rows = spark.range(20_000).withColumnRenamed("id", "_row")
+    lock, now, most, scopes = threading.Lock(), [0], [0], set()
+
+    def attempt(part):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            scopes.add(scratch(spark))
+        try:
+            part.select(F.when(F.col("_row").isin(bad), F.raise_error(F.lit("bad"))).otherwise(1)).collect()
+        finally:
+            with lock:
+                now[0] -= 1
+
+    with scratch_scope(spark) as folder:
+        found = failing_rows(rows, attempt)
+    assert sorted(found) == bad and all("bad" in said for said in found.values())
+    assert most[0] > 1 and scopes == {folder}

@@ -92,42 +92,60 @@ class Rule:
     pick: str = "first"
 
 
-_GRAM = 3
+#: Texts up to this length are looked up as a whole, longer ones by their last so many characters.
+_WHOLE = 64
+#: Bits of the filter of the texts that are looked for, 64 to a number.
+_SLOTS = 1 << 22
 
 
-def _grams(c: Column, n: int) -> Column:
-    """All pieces of ``n`` characters; none if the text is shorter."""
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
+def _piece(text: Column) -> Column:
+    """What a text is looked up by."""
+    return F.when(F.length(text) > _WHOLE, F.right(text, F.lit(_WHOLE))).otherwise(text)
 
 
-def _contained(small: DataFrame, large: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``scope, _rule, _small, _large``: the texts (``_text``) of a rule of which one occurs in the other.
+def _offered(large: DataFrame, small: DataFrame) -> DataFrame:
+    """``large`` with a row per piece (``_piece``) of its texts (``_text``) that may be a text of ``small`` or the end of a long one.
 
-    A text is looked up under its rarest piece of three characters (itself, if it is shorter) among the pieces of the larger
-    texts, which are as many as their characters, and what that finds is compared in full. A text that several rules
-    have is cut into pieces once; the bits of a number say which rules have it.
+    Pieces are as long as a text that is looked for, so an equal one is a find and not a candidate, however much texts
+    have in common. Those that a filter of fixed size rules out make no row. A text has at most 64 pieces per character.
     """
-    def once(texts: DataFrame, name: str) -> DataFrame:
-        bit = F.expr("shiftleft(1L, _rule)")
-        return texts.groupBy(*scope, F.col("_text").alias(f"_{name}")).agg(F.bit_or(bit).alias(f"_{name}_rules"))
-
-    ours, theirs = once(small, "small"), once(large, "large")
-    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(F.col("_large"), n) for n in range(1, _GRAM + 1))))
-    offered = theirs.select("*", F.explode(pieces).alias("_gram"))
-    frequency = offered.groupBy(*scope, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    text = F.col("_small")
-    own = F.when(F.length(text) < _GRAM, F.array(text)).otherwise(F.array_distinct(_grams(text, _GRAM)))
-    rarest = (
-        ours.select("*", F.explode(own).alias("_gram"))
-        .join(frequency, [*scope, "_gram"])
-        .groupBy(*scope, "_small", "_small_rules")
-        .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    )
-    both = F.col("_small_rules").bitwiseAND(F.col("_large_rules"))
-    found = rarest.join(offered, [*scope, "_gram"]).filter((both != 0) & F.contains("_large", "_small"))
-    rules = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(both, i) == 1)
-    return found.select(*scope, F.explode(rules).alias("_rule"), "_small", "_large")
+    asked = small.select(_piece(F.col("_text")).alias("_piece"))
+    slot = F.pmod(F.xxhash64("_piece"), F.lit(_SLOTS))
+    sizes = asked.agg(F.array_sort(F.collect_set(F.length("_piece")))).scalar()
+    used = asked.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("_bits"))
+    every = small.sparkSession.range(_SLOTS >> 6).join(used, "id", "left").select(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("bits")).alias("_w"))
+    held = every.agg(F.transform(F.array_sort(F.collect_list("_w")), lambda w: w["bits"])).scalar()
+    text, n = F.col("_text"), F.col("_n")
+    sized = large.withColumn("_sizes", sizes).select("*", F.explode("_sizes").alias("_n")).filter(n <= F.length(text)).drop("_sizes")
+    starts = F.sequence(F.lit(1), F.when(n == 0, 1).otherwise(F.length(text) - n + 1))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+    word = F.get(held, F.shiftright(slot, 6).cast("int"))
+    return sized.select(*large.columns, F.explode(pieces).alias("_piece")).filter(F.getbit(word, (slot % 64).cast("int")) == 1)
+
+
+def _best_around(asked: DataFrame, named: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``key, _text, _row``: for every text of ``asked`` the first row of the texts of ``named`` that it occurs in."""
+    offered = _offered(named, asked).withColumn("_large", F.when(F.length("_text") > _WHOLE, F.col("_text")))
+    texts = asked.select(*key, "_text").distinct().withColumn("_piece", _piece(F.col("_text")))
+    long = F.length("_text") > _WHOLE
+    first = offered.groupBy(*key, "_piece").agg(F.min("_row").alias("_row"))
+    whole = first.join(texts.filter(~long), [*key, "_piece"]).select(*key, "_text", "_row")
+    ends = offered.filter(F.col("_large").isNotNull() & (F.length("_piece") == _WHOLE)).select(*key, "_piece", "_large", "_row")
+    apart = ends.join(texts.filter(long), [*key, "_piece"]).filter(F.contains("_large", "_text"))
+    return whole.unionByName(apart.groupBy(*key, "_text").agg(F.min("_row").alias("_row")))
+
+
+def _best_inside(asked: DataFrame, named: DataFrame, key: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """``key, _text, _row``: for every text of ``asked`` the first row of the texts of ``named`` that occur in it.
+
+    A text that several rules have is cut into pieces once; the bits of a number say which rules have it.
+    """
+    texts = asked.groupBy(*scope, "_text").agg(F.bit_or(F.expr("shiftleft(1L, _rule)")).alias("_rules"))
+    offered = _offered(texts, named)
+    names = named.select(*key, F.col("_text").alias("_small"), _piece(F.col("_text")).alias("_piece"), "_row")
+    inside = (F.length("_small") <= _WHOLE) | F.contains("_text", "_small")
+    found = offered.join(names, [*scope, "_piece"]).filter((F.getbit("_rules", F.col("_rule")) == 1) & inside)
+    return found.groupBy(*key, "_text").agg(F.min("_row").alias("_row"))
 
 
 def resolve_names(
@@ -142,7 +160,7 @@ def resolve_names(
     """Left rows with the best matching right row, unmatched ones kept with nulls (JOIN9-JOIN11).
 
     The lowest tier wins, within a tier the first (or last) right row by ``ordinal``. "Occurs in" is looked up
-    by pieces of the texts (``_contained``), against one row per text. ``scope`` columns must agree on both sides
+    by pieces of the texts (``_offered``), and only the best row per text goes on. ``scope`` columns must agree on both sides
     (a season, say).
     """
     key = [*scope, "_rule"]
@@ -161,16 +179,13 @@ def resolve_names(
         return F.col("_rule").isin([i for i, rule in enumerate(rules) if rule.kind in kinds])
 
     best = wanted.filter(of("equal")).join(named, [*key, "_text"]).select(*left_key, "_row")
-    if any(rule.kind != "equal" for rule in rules):
-        ours, theirs, inside = wanted.select(*key, "_text").distinct(), named.select(*key, "_text"), of("left_in_right")
-        small = ours.filter(inside).unionByName(theirs.filter(of("right_in_left")))
-        large = theirs.filter(inside).unionByName(ours.filter(of("right_in_left")))
-        pairs = _contained(small, large, scope).select(
-            *key, F.when(inside, F.col("_small")).otherwise(F.col("_large")).alias("_text"),
-            F.when(inside, F.col("_large")).otherwise(F.col("_small")).alias("_other"),
-        )
-        found = wanted.join(pairs, [*key, "_text"]).join(named.withColumnRenamed("_text", "_other"), [*key, "_other"])
-        best = best.unionByName(found.select(*left_key, "_row"))
+    pairs = []
+    if any(rule.kind == "left_in_right" for rule in rules):
+        pairs.append(_best_around(wanted.filter(of("left_in_right")), named.filter(of("left_in_right")), key))
+    if any(rule.kind == "right_in_left" for rule in rules):
+        pairs.append(_best_inside(wanted.filter(of("right_in_left")), named.filter(of("right_in_left")), key, scope))
+    for found in pairs:
+        best = best.unionByName(wanted.join(found, [*key, "_text"]).select(*left_key, "_row"))
     chosen = best.groupBy(*left_key).agg(F.min("_row").alias("_row"))
     return left.join(chosen, list(left_key), "left").select(
         *left.columns,

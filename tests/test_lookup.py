@@ -102,3 +102,19 @@ def test_classification_of_unplaced_drivers(spark):
     assert got == {
         "VER": ("1", "VER (1)", "Podium", "T"), "HAM": ("DNF", "HAM", "DNF", "T"), "NOR": ("4", "NOR (4)", "Points", "V"),
     }
+
+
+def test_texts_with_much_in_common_make_no_candidates(spark):
+    """Texts that share all their short pieces: rows are made for finds only, long texts and empty ones included."""
+    from apexframe.operators.lookup import _offered
+
+    names = [(i, f"aaaaaaaaaa {i:04d}") for i in range(300)] + [(400, "x" * 80 + "tail"), (401, "x" * 70)]
+    asked = [(i, f"aaaaa {i:04d}") for i in range(0, 600, 2)] + [(700, "x" * 66), (701, "x" * 66 + "tail"), (702, ""), (703, "y" * 66), (704, "é")]
+    left, right = spark.createDataFrame(asked, "id INT, text STRING"), spark.createDataFrame(names, "n INT, name STRING")
+    pieces = _offered(right.withColumn("_text", F.col("name")), left.withColumn("_text", F.col("text")))
+    assert pieces.count() < 1200
+    for kind in ("left_in_right", "right_in_left"):
+        inside = (lambda a, b: a in b) if kind == "left_in_right" else (lambda a, b: b in a)
+        got = J.resolve_names(left, right, ["id"], "n", ["name"], [Rule(1, kind, F.col("text"), F.col("name"))])
+        expected = {i: next((n for n, name in names if inside(text, name)), None) for i, text in asked}
+        assert {r.id: r.match_name for r in got.collect()} == {i: dict(names).get(n) for i, n in expected.items()}

@@ -128,14 +128,17 @@ def seasons_of_event(
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Saved prediction documents, newest first; unreadable files are skipped (SRC7)."""
+    """Saved prediction documents, newest first; unreadable files are skipped (SRC7).
+
+    Documents of one time are ordered by race and a digest, so that a saved prediction is sorted by many tasks.
+    """
     return (
         spark.read.schema(PREDICTION_DOCUMENT)
         .option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(path)
-        .orderBy(F.desc("timestamp"))
+        .orderBy(F.desc("timestamp"), "race", F.xxhash64("predictions"))
     )
 
 

@@ -88,3 +88,34 @@ def test_prediction_documents_have_one_shape(spark):
         documents = prediction_documents(df, "t").orderBy("place").collect()
         assert documents[0].asDict().keys() == {"race", "timestamp", "place", "predictions"}
         assert [p.id for d in documents for p in d.predictions] == list(range(n))
+
+
+def test_training_rows_are_dealt_out_however_few_files_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 20)
+    kept = []
+
+    class Kept(M.Pipeline):
+        def fit(self, rows):
+            kept.append(rows.rdd.glom().map(len).collect())
+            raise StopIteration
+
+    monkeypatch.setattr(M, "Pipeline", Kept)
+    with pytest.raises(StopIteration):
+        M.fit(spark.range(1000).coalesce(1).withColumn("Position", F.lit(1.0)), key=["id"])
+    assert len(kept[0]) >= 35 and max(kept[0]) <= 30
+
+
+def test_documents_of_one_time_are_sorted_by_many_tasks(spark, tmp_path):
+    from apexframe.schemas import PREDICTION_ROW, conform
+    from apexframe.sources.readers import read_predictions
+    from apexframe.sources.writers import prediction_documents
+
+    rows = spark.range(2000).select(F.concat(F.lit("D"), "id").alias("FullName"), F.lit("Race").alias("GrandPrix"), (F.col("id") / 7).alias("PredictedPosition"))
+    prediction_documents(conform(rows, PREDICTION_ROW), "20260101_000000").write.json(str(tmp_path / "json"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = read_predictions(spark, str(tmp_path / "json")).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 2000 and max(sizes) < 1200

@@ -73,7 +73,7 @@ def feature_table(results: DataFrame, laps: DataFrame, weather: DataFrame) -> Da
     return impute_by_group(settle(chosen), "TeamName", [c for c in NUMERIC if c != "Year"])
 
 
-#: training rows that a task keeps in memory at most; fixed value
+#: training rows that a task keeps in memory, on average, at most; fixed value
 ROWS_PER_TASK = 100_000
 
 
@@ -143,8 +143,9 @@ def fit(features: DataFrame, settings: ModelSettings | None = None, key: Sequenc
     settings = settings or ModelSettings()
     train, test = split(features, settings, key)
     # a stored table may be few files of many rows, while the trees keep a row as a kilobyte or so
-    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // ROWS_PER_TASK))
-    train = train.repartition(parts)
+    rows = train.count()
+    if rows > ROWS_PER_TASK * train.rdd.getNumPartitions():
+        train = train.repartition(-(-rows // ROWS_PER_TASK))
     model = Pipeline(stages=stages(settings)).fit(train)
     scored = model.transform(test)
     return model, scored, prediction_quality(scored, settings.label)

@@ -397,3 +397,18 @@ def test_failing_parts_are_halved_side_by_side(spark):
         found = failing_rows(rows, attempt)
     assert sorted(found) == bad and all("bad" in said for said in found.values())
     assert most[0] > 1 and scopes == {folder}
+
+
+def test_rows_of_many_stretches_wait_in_few_pieces():
+    """A key with few rows a stretch has a piece per delivery, not one per stretch; a stretch of many rows has its own."""
+    import numpy as np
+    import pandas as pd
+
+    fill = S.OrderedFill("shown", "at", ["id"], "filled", 60_000, 3_600_000)
+    at = lambda minutes: pd.to_datetime(np.asarray(minutes) * 60, unit="s")
+    few = pd.DataFrame({"at": at(np.arange(500)[::-1]), "id": range(500)})
+    assert [(a, b, len(rows)) for a, b, rows in fill._pieces(few)] == [(0, 499, 500)]
+    many = pd.DataFrame({"at": at(np.concatenate([np.arange(700), np.full(5000, 700), np.arange(701, 1400)])), "id": range(6399)})
+    pieces = [(a, b, len(rows)) for a, b, rows in fill._pieces(many.sample(frac=1, random_state=1))]
+    assert pieces == [(0, 699, 700), (700, 700, 5000), (701, 1399, 699)]
+    assert not list(fill._pieces(few.iloc[:0]))

@@ -1,6 +1,7 @@
 """Streams end to end over files: stream = batch, replay, rejected rows, late rows."""
 
 import dataclasses
+import datetime
 import json
 import os
 import re
@@ -412,3 +413,28 @@ def test_rows_of_many_stretches_wait_in_few_pieces():
     pieces = [(a, b, len(rows)) for a, b, rows in fill._pieces(many.sample(frac=1, random_state=1))]
     assert pieces == [(0, 699, 700), (700, 700, 5000), (701, 1399, 699)]
     assert not list(fill._pieces(few.iloc[:0]))
+
+
+def test_state_partitions_go_by_the_rows_of_a_batch(spark, tmp_path, monkeypatch):
+    """A small stream has a state partition per core, however many partitions the session's shuffles have."""
+    from apexframe.queries import QUERIES, streams
+    from apexframe.streaming.stateful import STATE_ROWS, state_partitions
+
+    start = datetime.datetime(2024, 1, 1)
+    events = [(n, start + datetime.timedelta(minutes=n), n % 3, "view", float(n), "{}") for n in range(200)]
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, columns).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "_folder", lambda t: str(tmp_path / "run"))
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, 3 * cores)
+    try:
+        assert QUERIES["str4_deduplicate"](spark, str(tmp_path)).count() == 200
+        kept = [p for p in (tmp_path / "run/checkpoint/state/0").iterdir() if p.name.isdigit()]
+        assert len(kept) == cores
+        for rows, wanted in ((0, cores), ((cores + 3) * STATE_ROWS, cores + 3), (9 * cores * STATE_ROWS, 3 * cores)):
+            with state_partitions(spark, rows):
+                assert int(spark.conf.get(name)) == wanted
+        assert int(spark.conf.get(name)) == 3 * cores
+    finally:
+        spark.conf.set(name, before)

@@ -415,6 +415,28 @@ def test_rows_of_many_stretches_wait_in_few_pieces():
     assert not list(fill._pieces(few.iloc[:0]))
 
 
+def test_a_batch_leaves_few_files_per_session(spark, tmp_path):
+    """Not one of every task in each; a session too large for one file is dealt to several."""
+    from apexframe.sources.writers import write_batch
+
+    session = F.when(F.col("id") % 5 > 0, F.lit("small").cast("string")).otherwise(F.concat(F.lit("S"), (F.col("id") % 3).cast("string")))
+    rows = spark.range(0, 20000, 1, 16).select("id", F.when(F.col("id") % 7 > 0, session).alias("Name"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    write_batch(rows, 3, str(tmp_path / "whole"), ["Name"])
+    files = [p.parent.parent.name for p in (tmp_path / "whole").glob("*/*/*.parquet")]
+    assert len(files) <= 16 and len(set(files)) == 5
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100k")
+    try:
+        write_batch(rows, 3, str(tmp_path / "parts"), ["Name"])
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "parts/Name=small").glob("*/*.parquet"))) > 4
+    for folder in ("whole", "parts"):
+        back = spark.read.parquet(str(tmp_path / folder))
+        assert back.exceptAll(rows.withColumn("batch_id", F.lit(3)).select(*back.columns)).isEmpty() and back.count() == 20000
+
+
 def test_state_partitions_go_by_the_rows_of_a_batch(spark, tmp_path, monkeypatch):
     """A small stream has a state partition per core, however many partitions the session's shuffles have."""
     from apexframe.queries import QUERIES, streams

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark import AccumulatorParam, TaskContext
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -177,12 +179,54 @@ def identified(rows: DataFrame) -> DataFrame:
     return rows.withColumn("RecordId", F.coalesce(own, record_id(*[c for c in rows.columns if c != "RecordId"])))
 
 
+#: a part that fails is cut into so many; fixed value.
+PIECES = 8
+
+
+def _failing_parts(blocks: DataFrame, parts: list[int], size: int, attempt: Callable[[DataFrame], None]) -> list[int] | None:
+    """Those of some parts of ``size`` rows that ``attempt`` fails with, by one run of it; None if this cannot be told.
+
+    Every part is one task. A task that failed is tried again: it gets no rows then and reports its part, so the run goes on
+    with the others. Where a task that fails ends the run, as with ``local[8]`` or in a step past a shuffle, there is no answer.
+    """
+    spark = blocks.sparkSession
+
+    class Numbers(AccumulatorParam):  # a class of this function, as one of the module would have every new Python worker import it
+        def zero(self, value: set) -> set:
+            return set()
+
+        def addInPlace(self, value: set, more: set) -> set:
+            return value | more
+
+    found = spark.sparkContext.accumulator(set(), Numbers())
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().attemptNumber() == 0
+        for batch in batches:
+            if first:
+                yield batch
+            else:
+                found.add(set(batch.column("_part").to_pylist()))
+
+    places = spark.createDataFrame(list(enumerate(parts)), "_task int, _part long")
+    dealt = blocks.withColumn("_part", F.floor(F.col("_row") / size).cast("long")).join(places, "_part").repartitionById(len(parts), "_task")
+    # sorted, as then a part's Python worker is done, and lives on, when one of the rows fails
+    guarded = dealt.mapInArrow(once, dealt.schema).sortWithinPartitions("_row")
+    try:
+        attempt(guarded.drop("_part", "_task", "_block"))
+    except (PySparkException, Py4JError):
+        return None
+    return sorted(found.value)
+
+
 def failing_rows(rows: DataFrame, attempt: Callable[[DataFrame], None]) -> dict[int, str]:
     """The numbers (column ``_row``, 0 to n - 1) of rows with which ``attempt`` fails, each with its message (SNK6).
 
-    Rows are halved as long as a part fails, so k bad rows of n take some k log n attempts. The rows are written once in
-    blocks, and an attempt reads the blocks of its part only; parts that are known to fail are halved side by side. What
-    fails without any row is not the rows' fault and is raised.
+    Where tasks are tried again, one run of ``attempt`` tells all parts that fail; these are cut into eight, down to single
+    rows, so log n runs do, whatever the number of bad rows. Each row found is then run alone, for its message and as a proof.
+    Otherwise rows are halved as long as a part fails, so k bad rows of n take some k log n attempts. The rows are written
+    once in blocks, and an attempt reads the blocks of its part only; attempts go side by side. What fails without any row is
+    not the rows' fault and is raised.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -202,6 +246,21 @@ def failing_rows(rows: DataFrame, attempt: Callable[[DataFrame], None]) -> dict[
         except (PySparkException, Py4JError) as error:
             return str(error).split("\n", 1)[0][:500]
 
+    def suspects() -> list[int] | None:
+        """The bad rows by whole runs, none of the good ones but by a failure of the machine."""
+        wide = 1
+        while -(-n // wide) > max(4 * spark.sparkContext.defaultParallelism, n >> 12):
+            wide *= PIECES
+        parts = list(range(-(-n // wide)))
+        while parts:
+            read = sorted({b for p in parts for b in range(p * wide // size, (min(n, (p + 1) * wide) - 1) // size + 1)})
+            parts = _failing_parts(blocks.filter(F.col("_block").isin(read)), parts, wide, attempt)
+            if parts is None or wide == 1:
+                break
+            wide //= PIECES
+            parts = [i for p in parts for i in range(p * PIECES, (p + 1) * PIECES) if i * wide < n]
+        return parts
+
     def halved(low: int, high: int, said: str | None) -> tuple[dict[int, str], list[tuple]]:
         """Of a part that fails, by what it said or by inference: the bad row, or the halves that fail."""
         if high - low == 1:
@@ -217,9 +276,11 @@ def failing_rows(rows: DataFrame, attempt: Callable[[DataFrame], None]) -> dict[
     if whole is None:
         return {}
     attempt(rows.filter(F.lit(False)))
+    single = suspects()
     found: dict[int, str] = {}
     with ThreadPoolExecutor(max(2, min(16, spark.sparkContext.defaultParallelism)), initializer=enter_scope, initargs=(folder,)) as pool:
-        running = {pool.submit(halved, 0, n, whole)}
+        # a run without an answer, or one that met no failure, leaves all to halving
+        running = {pool.submit(halved, row, row + 1, None) for row in single} if single else {pool.submit(halved, 0, n, whole)}
         while running:
             done, running = wait(running, return_when=FIRST_COMPLETED)
             for part in done:

@@ -460,3 +460,39 @@ def test_state_partitions_go_by_the_rows_of_a_batch(spark, tmp_path, monkeypatch
         assert int(spark.conf.get(name)) == 3 * cores
     finally:
         spark.conf.set(name, before)
+
+
+_MANY_BAD_ROWS = """
+import sys
+sys.path.insert(0, ".")
+from pyspark.sql import SparkSession, functions as F
+from apexframe.streaming.jobs import failing_rows
+
+spark = SparkSession.builder.master("local[4,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+rows = spark.range(20_000).withColumnRenamed("id", "_row").withColumn("text", F.concat(F.lit("t"), "_row"))
+runs = [0]
+
+def attempt(part):
+    runs[0] += 1
+    bad = (F.col("_row") % 997 == 5) | (F.col("text") == "t6")
+    part.select(F.when(bad, F.raise_error(F.concat(F.lit("row "), F.col("_row").cast("string")))).otherwise("x")).write.format("noop").mode("overwrite").save()
+
+found = failing_rows(rows, attempt)
+bad = sorted([6, *range(5, 20_000, 997)])
+assert sorted(found) == bad, sorted(found)
+assert all(f"row {n} " in f"{said} " for n, said in found.items()), found
+# a run for the whole, one without rows, one for each size of the parts, one for each row found
+assert runs[0] <= 2 + 5 + len(bad), runs
+print("OK")
+"""
+
+
+def test_bad_rows_are_found_by_few_runs_where_tasks_are_tried_again():
+    """However many rows fail; ``local[4,4]`` tries tasks again as a cluster does, the session of the other tests does not."""
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", _MANY_BAD_ROWS], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.stdout.endswith("OK\n"), done.stderr[-3000:]

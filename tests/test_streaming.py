@@ -496,3 +496,34 @@ def test_bad_rows_are_found_by_few_runs_where_tasks_are_tried_again():
     root = Path(__file__).resolve().parent.parent
     done = subprocess.run([sys.executable, "-c", _MANY_BAD_ROWS], cwd=root, capture_output=True, text=True, timeout=300)
     assert done.stdout.endswith("OK\n"), done.stderr[-3000:]
+
+
+def test_keys_of_the_ordered_fill_share_calls_and_state(spark, tmp_path):
+    """300 drivers in four buckets leave some pieces a bucket, not some entries a driver; long numbers stay exact beside nulls."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    start, big = datetime.datetime(2024, 1, 1), 2**53 + 1
+    rows = []
+    for n in range(300):
+        driver = f"d{n}" if n else None
+        rows.append((big + 2 * n, driver, start + datetime.timedelta(seconds=n), f"v{n}" if n % 3 else None))
+        # the second row of every fifth driver is another session's
+        rows.append((big + 2 * n + 1 if n % 7 else None, driver, start + datetime.timedelta(seconds=n + (7200 if n % 5 == 0 else 60)), None))
+    schema, sizes = "id long, d string, at timestamp, shown string", []
+    for part in (rows, [(None, None, start + datetime.timedelta(days=30), "end")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        filled = S.fill_last_known_ordered(stream, "shown", ["d"], "at", "1 minute", 3600, 600, ["id"], "filled", buckets=4)
+        assert filled.columns == ["id", "d", "at", "shown", "filled"]
+        running = (
+            filled.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+            .trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+        sizes.append(running.recentProgress[0].stateOperators[0].numRowsTotal)
+    got = {(r.d, r.at): (r.id, r.shown, r.filled) for r in spark.read.schema(filled.schema).parquet(str(tmp_path / "out")).collect()}
+    expected = {}
+    for i, (number, driver, at, shown) in enumerate(rows):
+        known = rows[i - 1][3] if i % 2 and (i // 2) % 5 else None
+        expected[driver, at] = (number, shown or known, shown is None and known is not None)
+    assert got == expected
+    assert sizes[0] < 60, sizes
